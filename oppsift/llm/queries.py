@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oppsift.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, token_files
+from oppsift.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", F.coalesce(toxicity.remainder() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -44,7 +50,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_embedding_dedup": op2, "op3_exact_dedup": op3, "op5_token_files": op5, "op8_minhash_dedup": op8, "op10_packing": op10}
+    return {"op1_toxicity": op1, "op2_embedding_dedup": op2, "op3_exact_dedup": op3, "op5_token_files": op5, "op8_minhash_dedup": op8, "op10_packing": op10}
 
 
 #: The same rows by DuckDB.
