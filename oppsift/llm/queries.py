@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oppsift.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, token_files, toxicity
+from oppsift.checkpoints import shared_folder
+from oppsift.llm import chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, sentencepiece_bpe, token_files, token_rollup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,23 +36,68 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat_format.conversation_digests(chat_format.format_conversations(turns.unionByName(own)))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer(), folder, end_id=0)
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup after four batches: all documents by both tokenizers; the first again, which changes nothing; documents
+    in English leave the count of words; and those of src0 are counted again without their capital letters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rollup = token_rollup.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    pieces, words = token_rollup.token_counts(docs, tokenizer(), "byte_bpe_50k"), token_rollup.word_counts(docs)
+    first = token_rollup.inserts(pieces.unionByName(words))
+    rollup.apply(1, first)
+    rollup.apply(1, first)
+    rollup.apply(2, token_rollup.deletes(words.where("lang = 'en'")))
+    lower = docs.where("source = 'src0'").withColumn("text", F.lower("text"))
+    # two signed parts, an old count and a new one, make a revision without a join
+    before = token_rollup.deletes(pieces.where("source = 'src0'"))
+    rollup.apply(3, before.unionByName(token_rollup.inserts(token_rollup.token_counts(lower, tokenizer(), "byte_bpe_50k"))))
+    return rollup.totals()
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    encoded = sentencepiece_bpe.encode_pieces(table(spark, sf_dir, "documents"), model, seed=1)
+    decoded = sentencepiece_bpe.decode_pieces(encoded, model)
+    return decoded.select("doc_id", "n_pieces", F.crc32("pieces").alias("pieces_crc32"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.minhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1, "op2_embedding_dedup": op2, "op3_exact_dedup": op3, "op5_token_files": op5, "op8_minhash_dedup": op8, "op10_packing": op10}
+    return {
+        "op1_toxicity": op1,
+        "op2_embedding_dedup": op2,
+        "op3_exact_dedup": op3,
+        "op4_chat_format": op4,
+        "op5_token_files": op5,
+        "op6_token_rollup": op6,
+        "op7_sentencepiece": op7,
+        "op8_minhash_dedup": op8,
+        "op9_url_filter": op9,
+        "op10_packing": op10,
+    }
 
 
 #: The same rows by DuckDB.
@@ -64,4 +111,4 @@ FROM t WINDOW w AS (PARTITION BY norm)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | {"op9_url_filter": url_filter.oracle_sql()}
