@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from oppsift.llm.segments import mix, spread
 from oppsift.checkpoints import written
-from oppsift.llm.shared import small_side
+from oppsift.llm.shared import runs, small_side
 from oppsift.operators.components import connected_components
 
 TABLES, PROBES, ROUNDS, BLOCK = 10, 3, 3, 1024
@@ -98,30 +98,9 @@ def _hashed(batches: Iterator[pa.RecordBatch], tables: int, probes: int, emit_ve
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + step]), pa.array(key[lo : lo + step].view(np.int64)), pa.array(slot[lo : lo + step]), packed.take(pa.array(part)), vectors.take(pa.array(part))], schema=HASHED)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each run of equal keys in sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if held and held[0].column(key)[0].as_py() != keys[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        lo = 0
-        for hi in cuts.tolist():
-            held.append(batch.slice(lo, hi - lo))
-            yield pa.Table.from_batches(held)
-            held, lo = [], hi
-        held.append(batch.slice(lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(batches: Iterator[pa.RecordBatch], tables: int, probes: int, least: float) -> Iterator[pa.RecordBatch]:
     """For each cell: (u, null, links) of its vectors and (u, v, null) that connect what is linked in it."""
-    for cell in _runs(batches, "cell"):
+    for cell in runs(batches, "cell"):
         if cell.num_rows < 2:
             continue
         slot = cell["slot"].to_numpy()

@@ -5,7 +5,8 @@ and their two low bits packed into four longs. Texts with equal shingle sets are
 each is paired with the band's smallest; pairs that the packed bits do not rule out are confirmed on the full shingle
 sets, and links make components. Then, in bands that still hold several components, every class outside the smallest
 one's component is paired with all classes of other components, so that no pair of a band is left out unless both are
-joined already. Large groups of copies thus cost rows in proportion to their size, not to its square.
+joined already. In bands of few classes these pairs are rows; in larger ones blocks of classes meet, with their sets, and give
+only a forest of the links found. Large groups of copies thus cost rows in proportion to their size, not to its square.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from oppsift.checkpoints import written
 from oppsift.llm.segments import BYTE_VALUES, mix, span_hashes, spread, text_slices, word_spans
-from oppsift.llm.shared import SMALL_ROWS, small_side, text_or_empty
+from oppsift.llm.shared import SMALL_ROWS, runs, small_side, text_or_empty
 from oppsift.operators.components import connected_components
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, BITS = 5, 128, 4, 2
@@ -28,6 +29,9 @@ SHINGLE, PERMUTATIONS, BAND_ROWS, BITS = 5, 128, 4, 2
 #: standard errors of the estimate.
 ESTIMATE_MARGIN = 0.30
 
+#: In bands of more classes blocks of BLOCK classes are compared in place of pairs.
+FEW, BLOCK = 32, 512
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, np.bool_)
@@ -147,6 +151,67 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, lim
     return both.where(100 * F.col("common") >= percent * union).select("u", "v")
 
 
+def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """[row, set]: how many items the sets of ``rows`` share with every set."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often > 1
+    column = (np.cumsum(shared) - 1)[at]
+    keep = shared[at]
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out, width = np.zeros((len(rows), len(sets)), np.float32), 4096
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        out += part[rows] @ part.T
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each cell (id, component, side, shingles): pairs (u, v) of a forest of the links between its components."""
+    for cell in runs(batches, "cell"):
+        ids, part, side = (cell[c].to_numpy() for c in ("id", "mine", "side"))
+        lists = cell["shingles"].combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [flat[lo:hi] for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        size = np.diff(offsets)
+        names, member, count = np.unique(part, return_inverse=True, return_counts=True)
+        root = np.arange(len(names))
+        outside = np.flatnonzero(member != count.argmax())
+        found: list[tuple[int, int]] = []
+        for lo in range(0, len(outside), BLOCK):
+            rows = outside[lo : lo + BLOCK]
+            common = common_counts(sets, rows)
+            similar = 100 * common >= percent * (size[rows][:, None] + size - common)
+            similar &= (member[rows][:, None] != member) & ((side[rows][:, None] == 0) | (side[rows][:, None] != side))
+            for i, j in zip(*(x.tolist() for x in np.nonzero(similar)), strict=True):
+                a, b = root[member[rows[i]]], root[member[j]]
+                if a != b:
+                    root[root == max(a, b)] = min(a, b)
+                    found.append((int(ids[rows[i]]), int(ids[j])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
+
+
+def _by_blocks(marked: DataFrame, texts: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
+    """Links between components within bands (band, id, mine, n); every two classes of a band meet in some cell."""
+    ids = written(marked.select(F.col("id").alias("doc_id")).distinct(), "members")
+    some = texts.join(small_side(ids, limit=limit), "doc_id", "left_semi").select("doc_id", "text")
+    sets = written(some.mapInArrow(lambda b: _sets(b, words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    rows = marked.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "id", "mine", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    )
+    # a cell with one component alone has nothing to find
+    mixed = rows.groupBy("cell").agg(F.min("mine").alias("low"), F.max("mine").alias("high")).where("low != high").select("cell")
+    rows = rows.join(mixed, "cell", "left_semi").join(sets, "id")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _linked(b, percent), "u long, v long")
+
+
 def minhash_dedup(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limit: int = SMALL_ROWS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -166,8 +231,8 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limi
     classes = written(real.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes")
     banded = classes.select("id", F.explode("bands").alias("band"))
     # bands of one class alone are the most: leave them behind
-    leaders = banded.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("last")).where("u != last").select("band", "u")
-    members = written(banded.join(leaders, "band").select("band", "u", F.col("id").alias("v")), "bands")
+    leaders = banded.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("last"), F.count("*").alias("n")).where("u != last").select("band", "u", "n")
+    members = written(banded.join(leaders, "band").select("band", "n", "u", F.col("id").alias("v")), "bands")
     bits = classes.select("id", "bits")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -184,11 +249,13 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limi
     marked = labelled(labelled(members, "v", "mine"), "u", "first")
     mixed = marked.groupBy("band").agg(F.max(F.col("mine") != F.col("first")).alias("mixed")).where("mixed").select("band")
     marked = written(marked.join(mixed, "band", "left_semi"), "mixed")
-    outside = marked.where("mine != first").select("band", F.col("v").alias("a"), F.col("mine").alias("other"))
+    few, many = marked.where(F.col("n") <= FEW), marked.where(F.col("n") > FEW)
+    outside = few.where("mine != first").select("band", F.col("v").alias("a"), F.col("mine").alias("other"))
     # the leader itself was tried with every member of its band
-    pairs = outside.join(marked.where("u != v").select("band", "v", "mine"), "band").where("other != mine")
+    pairs = outside.join(few.where("u != v").select("band", "v", "mine"), "band").where("other != mine")
     pairs = pairs.select(F.least("a", "v").alias("u"), F.greatest("a", "v").alias("v")).distinct()
     more = _confirmed(likely(pairs), texts, words, percent, limit)
+    more = more.unionByName(_by_blocks(many.select("band", F.col("v").alias("id"), "mine", "n"), texts, words, percent, limit))
     joined = connected_components(links.unionByName(more), "u", "v")
     groups = classes.select(*same, "id", "n").join(joined.withColumnsRenamed({"node": "id"}), "id", "left").where("n > 1 or component is not null")
     groups = written(groups.select(*same, F.coalesce("component", "id").alias("component_id")), "groups")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +25,24 @@ def text_or_empty(name: str = "text") -> Column:
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", limit: int = SMALL_ROWS) -> DataFrame:
     """The rows of docs whose key is not in dropped (a written table of one column); rows with a null key stay."""
     return docs.join(small_side(dropped, limit=limit), key, "left_anti").select(docs.columns)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys in sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if held and held[0].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        lo = 0
+        for hi in cuts.tolist():
+            held.append(batch.slice(lo, hi - lo))
+            yield pa.Table.from_batches(held)
+            held, lo = [], hi
+        held.append(batch.slice(lo))
+    if held:
+        yield pa.Table.from_batches(held)
