@@ -26,7 +26,7 @@ _VALUES = spread(0x110000, 11)
 class CachedBpe:
     """Encodes lists of texts; remembers the ids of at most ``limit`` pre-tokens and then starts anew."""
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,7 +37,7 @@ class CachedBpe:
         self.widths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)  # bytes of each id: one character stands for one
         self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.classes = np.zeros(0x110000, np.uint8)
-        self.index = HashIndex(limit + SLICE // 2)
+        self.index = HashIndex((limit + SLICE // 2) * 5 // 8)  # its slots hold the limit and what one slice may add
         self._reset()
 
     def _reset(self) -> None:

@@ -100,7 +100,7 @@ class HashIndex:
 
     def clear(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)  # 0 is an empty slot
-        self.entries = np.full(self.slots, -1, np.int32)
+        self.entries = np.empty(self.slots, np.int32)
         self.count = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:

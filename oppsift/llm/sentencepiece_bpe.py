@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oppsift.llm.segments import SLICE, HashIndex, gather, mix, span_hashes, spread
+from oppsift.llm.segments import HashIndex, gather, mix, span_hashes, spread
 from oppsift.llm.shared import text_or_empty
 
 VARIANTS, RATE = 4, 0.1
 
-#: Segments, by variant, that a process remembers; longer ones than LONG it does not.
-REMEMBERED, LONG = 1_200_000, 48
+#: Segments, by variant, that a process remembers; longer ones than LONG it does not. Texts are worked on STEP characters or so at a time.
+REMEMBERED, LONG, STEP = 500_000, 48, 300_000
 
 _BLANK, _ESCAPE = "\u2581", "\ue000"
 _MASK = (1 << 64) - 1
@@ -49,6 +49,7 @@ class DropoutBpe:
         self.pieces = {names[i]: (-model.get_score(i), i) for i in plain}
         self.bytes = {int(names[i][3:5], 16): i for i in range(len(names)) if model.is_byte(i)}
         inside = [_pairs(np.array([ord(c) for c in names[i]], np.uint32)) for i in plain if len(names[i]) > 1]
+        self.apart = None
         self.joint = np.unique(np.concatenate(inside))
         spelled = [b""] * len(names)
         for i in plain:
@@ -57,11 +58,10 @@ class DropoutBpe:
             spelled[i] = bytes([value])
         self.widths = np.array([len(s) for s in spelled])
         self.spelled, self.at = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(self.widths) - self.widths
-        self.index = HashIndex(REMEMBERED + SLICE)
-        self.apart = HashIndex(1 << 16)
-        self._reset()
+        self.index = None
 
     def _reset(self) -> None:
+        self.index = self.index or HashIndex(REMEMBERED)  # twice as many slots
         self.index.clear()
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -121,7 +121,7 @@ class DropoutBpe:
         ids, counts, lo = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE // 2):
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= STEP):
                 size += len(texts[hi]) + 1
                 hi += 1
             a, b = self._encode(texts[lo:hi], keys[lo:hi])
@@ -131,7 +131,7 @@ class DropoutBpe:
         return np.concatenate(ids), np.concatenate(counts)
 
     def _encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.index.count > REMEMBERED:
+        if self.index is None or self.index.count > REMEMBERED:
             self._reset()
         # the escape stands for a U+2581 of the text; a text that has the escape too is spelled out by itself
         odd = [k for k, t in enumerate(texts) if _ESCAPE in t]
@@ -179,7 +179,7 @@ class DropoutBpe:
 
     def _joint(self, pairs: np.ndarray) -> np.ndarray:
         """Whether the two characters stand side by side in some piece."""
-        if not self.apart.count:
+        if self.apart is None:
             self.apart = HashIndex(2 * len(self.joint))
             self.apart.add(mix(self.joint), np.arange(len(self.joint)))
         return self.apart.find(mix(pairs)) >= 0
