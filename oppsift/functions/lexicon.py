@@ -90,7 +90,7 @@ def tags(text: Column, patterns: dict[str, str], prefix: str = "") -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def positive_reasons(text: Column) -> Column:
@@ -133,7 +133,7 @@ def count(text: Column, pattern: str) -> Column:
 
 def effort_score(text: Column) -> Column:
     score = clamp(F.lit(0.3) + F.lit(0.15) * F.least(count(text, HIGH_EFFORT), F.lit(4)) - F.lit(0.15) * F.least(count(text, LOW_EFFORT), F.lit(3)))
-    return F.coalesce(score, F.lit(0.3))
+    return F.when(text.isNotNull(), score).otherwise(0.3)
 
 
 def money_score(text: Column) -> Column:

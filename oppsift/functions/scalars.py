@@ -21,14 +21,15 @@ def counter(value: Column) -> Column:
     number = F.regexp_extract(text, shape, 1).try_cast("double")
     unit = F.lower(F.regexp_extract(text, shape, 2))
     factor = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
-    return F.least(number * factor, F.lit(float(COUNTER_CAP))).cast("bigint")
+    # least and greatest pass over nulls, so each stands behind a test
+    return F.when(number.isNotNull(), F.least(number * factor, F.lit(float(COUNTER_CAP)))).cast("bigint")
 
 
 def counter_of_number(value: Column) -> Column:
     """A whole number from a number: cut off, held within COUNTER_CAP, null if not finite."""
     number = value.try_cast("double")
     held = F.greatest(F.least(number, F.lit(float(COUNTER_CAP))), F.lit(-float(COUNTER_CAP)))
-    return F.when(F.isnan(number) | (F.abs(number) == float("inf")), None).otherwise(held).cast("bigint")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), held).cast("bigint")
 
 
 def counter_of_variant(value: Column) -> Column:
@@ -49,7 +50,7 @@ def text_of_variant(value: Column) -> Column:
 
 def squash(value: Column, saturate_at: float) -> Column:
     """0 to 1 on a logarithmic scale, 1 from ``saturate_at`` on."""
-    return F.when(value <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.log1p(value.cast("double")) / F.lit(math.log1p(saturate_at))))
+    return F.when(value <= 0, 0.0).when(value > 0, F.least(F.lit(1.0), F.log1p(value.cast("double")) / F.lit(math.log1p(saturate_at))))
 
 
 def mail_date(text: Column) -> Column:
@@ -80,7 +81,8 @@ def hours_between(start: Column, end: Column) -> Column:
 
 def hours_since(ts: Column, as_of: Column) -> Column:
     """Hours from ts to as_of, 0 at least; 999 without a time."""
-    return F.coalesce(F.greatest(F.lit(0.0), hours_between(ts, as_of)), F.lit(999.0))
+    hours = hours_between(ts, as_of)
+    return F.when(hours.isNull(), 999.0).otherwise(F.greatest(F.lit(0.0), hours))
 
 
 def filled(*values: Column) -> Column:

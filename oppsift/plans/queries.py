@@ -278,7 +278,7 @@ COUNTERS = ["1200", "1,234", "1.2K", "3M", "2b", "", "N/A", "many", "-5", " 7 ",
 
 @query(
     "WITH t(v) AS (VALUES " + ", ".join(f"('{c}')" for c in COUNTERS) + r"), p AS (SELECT v, regexp_extract(replace(trim(v), ',', ''), '^(\d+(?:\.\d+)?)\s*([kKmMbB])?$', 1) AS n, lower(regexp_extract(replace(trim(v), ',', ''), '^(\d+(?:\.\d+)?)\s*([kKmMbB])?$', 2)) AS u FROM t) "
-    "SELECT v, trunc(least(try_cast(n AS DOUBLE) * CASE u WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END, 1e15))::BIGINT AS n FROM p"
+    "SELECT v, CASE WHEN n <> '' THEN trunc(least(try_cast(n AS DOUBLE) * CASE u WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END, 1e15))::BIGINT END AS n FROM p"
 )
 def q_safe_int(spark, d):
     return spark.createDataFrame([(c,) for c in COUNTERS], "v string").select("v", S.counter(F.col("v")).alias("n"))
