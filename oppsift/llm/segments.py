@@ -16,7 +16,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 #: Texts are worked on in slices of about so many bytes or code points, which bounds the temporary arrays.
-SLICE = 2_000_000
+SLICE = 800_000
 
 
 def _power(kind: str, n: int) -> np.ndarray:
