@@ -26,7 +26,7 @@ _VALUES = spread(0x110000, 11)
 class CachedBpe:
     """Encodes lists of texts; remembers the ids of at most ``limit`` pre-tokens and then starts anew."""
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

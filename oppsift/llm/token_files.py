@@ -24,7 +24,7 @@ from oppsift.llm.bpe import cached_bpe
 from oppsift.llm.shared import text_or_empty
 
 #: Documents are encoded so many code points or so at a time.
-STEP = 1_500_000
+STEP = 600_000
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
