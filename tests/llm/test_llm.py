@@ -390,6 +390,32 @@ def test_toxicity(spark, odd):
     assert {r["score"] for r in toxicity.score_toxicity(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_counts_all_training_rows(spark):
+    """An expression that few training rows have is learnt, however few rows fit the logistic function."""
+    rows = [(d, t + (" qwkzpf" if y and d % 40 == 0 else ""), y) for d, t, y in toxic_rows()]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, rows_per_class=5)
+    codes, _ = toxicity._codes("qwkzpf")
+    assert model.words(codes, np.array([0]), np.array([6]))[0] > 1
+
+
+def test_gathered_counts_are_the_plain_ones(spark):
+    counts = collections.defaultdict(lambda: [0, 0])
+    for _, t, y in [*toxic_rows(), (-1, "\U00020001 İx 한국 été étés", 1)]:
+        for w in set(re.findall(r"\w+", t.lower())):
+            counts[w][1 - y] += 1
+    words, n = list(counts), np.array(list(counts.values()), np.float64)
+    df = spark.createDataFrame([(w, int(a), int(b)) for w, (a, b) in zip(words, n.tolist(), strict=True)], "word string, toxic long, ordinary long")
+    model, plain = toxicity.KneserNey.of_grams(toxicity.gathered(df).orderBy("n", "gram").toArrow()), toxicity.KneserNey.of(words, n)
+    other = [*words, "vyxaaa", "vyxq", "zombogs", "unknown", "ét"]
+    codes, _ = toxicity._codes("".join(other))
+    ends = np.cumsum([len(w) for w in other])
+    starts = ends - np.diff(ends, prepend=0)
+    assert np.allclose(model.words(codes, starts, ends), plain.words(codes, starts, ends), atol=1e-5)
+    assert len(model.grams) < len(plain.grams) / 2
+
+
 def test_kneser_ney_sums_to_one():
     """Of any context the probabilities of what occurs and of all that does not add up to one, for each class."""
     words, counts = ["abab", "abba", "baab"], np.array([[2.0, 0], [9, 3], [0, 7]])
