@@ -86,7 +86,7 @@ def minima(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarr
 
 def band_keys(low: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     """One 64-bit key for each band of ``rows`` minima, different between bands."""
-    bands = low.reshape(len(low), -1, rows).astype(np.uint64)
+    bands = low.reshape(len(low), low.shape[1] // rows, rows).astype(np.uint64)
     key = np.broadcast_to(spread(bands.shape[1], 41), bands.shape[:2]).copy()
     for k in range(rows):
         key = mix(key + bands[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
@@ -96,7 +96,7 @@ def band_keys(low: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 def pack_bits(low: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The low bits of the minima, packed into longs."""
     shifts = (np.arange(64 // bits) * bits).astype(np.uint64)
-    parts = (low & np.uint32((1 << bits) - 1)).reshape(len(low), -1, 64 // bits).astype(np.uint64)
+    parts = (low & np.uint32((1 << bits) - 1)).reshape(len(low), low.shape[1] * bits // 64, 64 // bits).astype(np.uint64)
     return np.bitwise_or.reduce(parts << shifts, axis=2)
 
 

@@ -250,6 +250,11 @@ def test_minhash_of_the_table(spark, sf):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op8(spark, sf).collect()} == plain_near(rows)
 
 
+def test_minhash_of_empty_texts_alone(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, " \n ")], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, minhash_dedup.minhash_dedup(df).collect())) == [(k, 0, k, True) for k in (1, 2, 3)]
+
+
 def test_common_counts():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, 20)) for _ in range(30)]
