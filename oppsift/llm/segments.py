@@ -94,11 +94,15 @@ class HashIndex:
     """A map from 64-bit hashes to entry numbers: open addressing in two arrays, probed for many keys at once."""
 
     def __init__(self, limit: int) -> None:
-        """limit: entries; twice as many slots are held."""
-        self.slots = 1 << max(4, (2 * limit - 1).bit_length())
+        """limit: entries that are expected; twice as many slots are held, and more once they are 7/8 full."""
+        self.least = 1 << max(4, (2 * limit - 1).bit_length())
         self.clear()
 
     def clear(self) -> None:
+        self._empty(self.least)
+
+    def _empty(self, slots: int) -> None:
+        self.slots = slots
         self.keys = np.zeros(self.slots, np.uint64)  # 0 is an empty slot
         self.entries = np.empty(self.slots, np.int32)
         self.count = 0
@@ -120,6 +124,11 @@ class HashIndex:
 
     def add(self, keys: np.ndarray, entries: np.ndarray) -> None:
         """Different keys, none of which is there."""
+        if 8 * (self.count + len(keys)) > 7 * self.slots:  # without an empty slot, a search would not end
+            held = np.flatnonzero(self.keys)
+            old, numbers = self.keys[held], self.entries[held]
+            self._empty(1 << (2 * (self.count + len(keys)) - 1).bit_length())
+            self.add(old, numbers)
         keys, entries = np.maximum(keys, np.uint64(1)), entries.astype(np.int32)
         at = (keys & np.uint64(self.slots - 1)).astype(np.int64)
         self.count += len(keys)

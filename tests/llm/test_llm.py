@@ -63,6 +63,31 @@ def test_hash_index():
     assert index.find(keys).tolist() == [*range(800), *[-1] * 100]
 
 
+def test_hash_index_grows():
+    index, keys = segments.HashIndex(4), segments.spread(1000, 5)
+    index.add(keys[:10], np.arange(10))
+    index.add(keys[10:900], np.arange(10, 900))
+    assert index.slots > 900 and index.find(keys).tolist() == [*range(900), *[-1] * 100]
+    index.clear()
+    assert index.slots == 16 and index.find(keys).tolist() == [-1] * 1000
+
+
+def test_texts_of_more_words_than_slots(monkeypatch):
+    text = " ".join(f"w{k}x" for k in range(3000))
+    for module in (toxicity, sentencepiece_bpe):
+        monkeypatch.setattr(module, "REMEMBERED", 100)
+    model = toxicity.KneserNey.of(["ab", "ba"], np.array([[2.0, 0], [0, 7]]))
+    assert np.isfinite(toxicity.Scorer(model).evidence([text])).all()
+    small = bpe.CachedBpe(BPE, limit=100)
+    small.index = segments.HashIndex(100)
+    assert small.encode([text])[0].tolist() == small.tokenizer.encode(text, add_special_tokens=False).ids
+    plain = sentencepiece_bpe.DropoutBpe(PIECES, rate=0.0)
+    pieces = plain.encode([text], np.zeros(1, np.uint64))[0]
+    import sentencepiece
+
+    assert pieces.tolist() == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
+
+
 def test_token_files(spark, odd, tmp_path):
     folder = f"file://{tmp_path}/t"
     shards = token_files.write_token_files(odd, BPE, folder, end_id=0)
