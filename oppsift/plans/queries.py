@@ -213,9 +213,9 @@ WORD_PAIRS = [("fuzzy was a bear", "fuzzy fuzzy was a bear"), ("new york mets",
 
 @query()
 def q_token_set_ratio(spark, d):
-    """The opening words of each document's text against those of the benchmark passage of its number, and fixed pairs."""
-    docs = _docs(spark, d).select("doc_id", F.substring_index(T.clean_text(F.col("text")), " ", 20).alias("a"))
-    marks = table(spark, d, "benchmark").select("item_id", F.substring_index(T.clean_text(F.col("text")), " ", 20).alias("b"))
+    """Each document's whole text against the whole benchmark passage of its number, and fixed pairs."""
+    docs = _docs(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("a"))
+    marks = table(spark, d, "benchmark").select("item_id", T.clean_text(F.col("text")).alias("b"))
     n = table(spark, d, "benchmark").agg(F.count("*").alias("n"))
     pairs = docs.join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).join(marks, "item_id").select("doc_id", "a", "b")
     fixed = spark.createDataFrame([(-k - 1, a, b) for k, (a, b) in enumerate(WORD_PAIRS)], "doc_id long, a string, b string")

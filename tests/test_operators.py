@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from oppsift.functions import text as T
 from oppsift.functions.similarity import token_set_ratio
 from oppsift.operators import alerts as A
 from oppsift.operators import clusters as C
@@ -19,7 +20,7 @@ from oppsift.operators import verify as V
 from oppsift.operators.components import connected_components
 from oppsift.operators.trend import trend, velocity
 from oppsift.plans import fixtures as X
-from oppsift.plans.queries import raw_rows
+from oppsift.plans.queries import q_token_set_ratio, raw_rows
 
 T0 = datetime(2024, 1, 1)
 
@@ -216,3 +217,11 @@ def test_verify(spark):
 
 def test_phrases(spark, sf):
     assert X.phrased(spark, sf).where("text like 'Orbit Labs giveaway%'").count() > 0
+
+
+def test_token_set_ratio_of_whole_texts(spark, sf):
+    tables = {k: spark.read.parquet(f"{sf}/{k}.parquet") for k in ("documents", "benchmark")}
+    docs, marks = ({r[0]: r[1] for r in tables[k].select(c, T.clean_text(F.col("text"))).collect()} for k, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = {r["doc_id"]: r["ratio"] for r in q_token_set_ratio(spark, sf).collect() if r["doc_id"] >= 0}
+    want = {d: token_set_ratio(t, marks[d % len(marks)]) for d, t in docs.items() if d % len(marks) in marks}
+    assert got == {d: pytest.approx(x, abs=1e-3) for d, x in want.items()}
