@@ -557,7 +557,7 @@ def q_resolve_runs(spark, d):
     signals = X.signals(_docs(spark, d)).withColumn("cluster_id", F.format_string("cluster-%09d", "pos"))
     stored = signals.where("pos % 2 = 0").select(
         F.concat(F.lit("o"), "source_id").alias("opportunity_id"), _as_of().alias("first_seen"), _as_of().alias("last_seen"), F.col("normalized_text").alias("representative_text"), F.lit(None).cast("string").alias("representative_url"),
-        F.array().cast("array<string>").alias("entities"),
+        T.entities(F.coalesce(F.nullif("text", F.lit("")), "title", F.lit(""))).alias("entities"),
     )
     fresh = signals.where("pos % 2 = 1").select("cluster_id", F.struct("text", "title", "canonical_url", "normalized_text").alias("rep"))
     return R.resolve(fresh, stored, "run-2")

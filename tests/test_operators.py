@@ -20,7 +20,7 @@ from oppsift.operators import verify as V
 from oppsift.operators.components import connected_components
 from oppsift.operators.trend import trend, velocity
 from oppsift.plans import fixtures as X
-from oppsift.plans.queries import q_token_set_ratio, raw_rows
+from oppsift.plans.queries import q_resolve_runs, q_token_set_ratio, raw_rows
 
 T0 = datetime(2024, 1, 1)
 
@@ -225,3 +225,8 @@ def test_token_set_ratio_of_whole_texts(spark, sf):
     got = {r["doc_id"]: r["ratio"] for r in q_token_set_ratio(spark, sf).collect() if r["doc_id"] >= 0}
     want = {d: token_set_ratio(t, marks[d % len(marks)]) for d, t in docs.items() if d % len(marks) in marks}
     assert got == {d: pytest.approx(x, abs=1e-3) for d, x in want.items()}
+
+
+def test_stored_opportunities_have_entities(spark, sf, monkeypatch):
+    monkeypatch.setattr(R, "resolve", lambda fresh, stored, run_id: stored)
+    assert q_resolve_runs(spark, sf).where(F.size("entities") > 0).count() > 0
