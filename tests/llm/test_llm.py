@@ -76,7 +76,7 @@ def test_texts_of_more_words_than_slots(monkeypatch):
     text = " ".join(f"w{k}x" for k in range(3000))
     for module in (toxicity, sentencepiece_bpe):
         monkeypatch.setattr(module, "REMEMBERED", 100)
-    model = toxicity.KneserNey.of(["ab", "ba"], np.array([[2.0, 0], [0, 7]]))
+    model = toxicity.KneserNey.of(["\x02w", "\x02w1"], np.array([2.0, -1.0]))
     assert np.isfinite(toxicity.Scorer(model).evidence([text])).all()
     small = bpe.CachedBpe(BPE, limit=100)
     small.index = segments.HashIndex(100)
@@ -427,45 +427,102 @@ def test_toxicity_counts_all_training_rows(spark):
     labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, labels, rows_per_class=5)
     codes, _ = toxicity._codes("qwkzpf")
-    assert model.words(codes, np.array([0]), np.array([6]))[0] > 1
-
-
-def test_gathered_counts_are_the_plain_ones(spark):
-    counts = collections.defaultdict(lambda: [0, 0])
-    for _, t, y in [*toxic_rows(), (-1, "\U00020001 İx 한국 été étés", 1)]:
-        for w in set(re.findall(r"\w+", t.lower())):
+    assert model.words(codes, np.array([0]), np.array([6]))[0] > 0.5
+
+
+def plain_probabilities(words):
+    """{(context, char): (toxic, ordinary)} and the shared model, by the definition, of {word: (toxic, ordinary)}."""
+    count = collections.defaultdict(lambda: np.zeros(2))
+    for w, n in words.items():
+        z = chr(2) + w + chr(3)
+        for k in range(1, len(z)):
+            count[z[max(0, k - toxicity.ORDER + 1) : k], z[k]] += n
+    d = []
+    for of in (lambda v: v[0], lambda v: v[1], sum):
+        one, two = (sum(of(v) == k for v in count.values()) for k in (1, 2))
+        d.append(one / (one + 2 * two) if one and two else 0.5)
+    kinds = collections.Counter(x for _, x in count)
+    by = collections.defaultdict(dict)
+    for (h, x), v in count.items():
+        by[h][x] = v
+
+    def p(h, x):
+        seen = by[h]
+        total, c = sum(sum(v) for v in seen.values()), sum(seen.get(x, (0, 0)))
+        shared = max(c - d[2], 0) / total + sum(min(sum(v), d[2]) for v in seen.values()) / total * kinds[x] / len(count)
+        out = []
+        for k in range(2):
+            low, mine = sum(min(v[k], d[k]) for v in seen.values()), seen.get(x, (0, 0))[k]
+            out.append((max(mine - d[k], 0) + (low + toxicity.SHARED) * shared) / (sum(v[k] for v in seen.values()) + toxicity.SHARED))
+        return out
+
+    return p, by, kinds
+
+
+def plain_features(texts, words):
+    p, by, _ = plain_probabilities(words)
+    out = []
+    for t in texts:
+        top = length = 0.0
+        for w, n in collections.Counter(re.findall(r"[^\W_]+", "".join(c.lower() if len(c.lower()) == 1 else c for c in t or ""))).items():
+            z, ratio = chr(2) + w + chr(3), 0.0
+            for k in range(1, len(z)):
+                h = z[max(0, k - toxicity.ORDER + 1) : k]
+                if h in by and z[k] in by[h]:
+                    a, b = p(h, z[k])
+                    ratio += np.log(a / b) if abs(np.log(a / b)) >= toxicity.LEAST else 0
+            top += np.log2(1 + n) * np.log(1 + toxicity.RATE * (np.exp(np.clip(ratio, -30, 30)) - 1))
+            length += np.log2(1 + n)
+        mean = top / length if length else 0.0
+        out.append((mean, mean * length**0.5))
+    return np.array(out)
+
+
+def counted_words(rows):
+    counts = collections.defaultdict(lambda: np.zeros(2))
+    for t, y in rows:
+        for w in set(re.findall(r"[^\W_]+", (t or "").lower())):
             counts[w][1 - y] += 1
-    words, n = list(counts), np.array(list(counts.values()), np.float64)
-    df = spark.createDataFrame([(w, int(a), int(b)) for w, (a, b) in zip(words, n.tolist(), strict=True)], "word string, toxic long, ordinary long")
-    model, plain = toxicity.KneserNey.of_grams(toxicity.gathered(df).orderBy("n", "gram").toArrow()), toxicity.KneserNey.of(words, n)
-    other = [*words, "vyxaaa", "vyxq", "zombogs", "unknown", "ét"]
-    codes, _ = toxicity._codes("".join(other))
-    ends = np.cumsum([len(w) for w in other])
-    starts = ends - np.diff(ends, prepend=0)
-    assert np.allclose(model.words(codes, starts, ends), plain.words(codes, starts, ends), atol=1e-5)
-    assert len(model.grams) < len(plain.grams) / 2
+    return counts
+
+
+def test_kneser_ney_against_the_plain_one(spark):
+    """The distributed counts and the tables give what the definition gives, for texts of any characters."""
+    counts = counted_words([(t, y) for _, t, y in toxic_rows()] + [("\U00020001\U00020002 한국 \U00020001 été étés", 1), ("\U00020001\U00020002", 1)])
+    df = spark.createDataFrame([(w, int(a), int(b)) for w, (a, b) in counts.items()], "word string, toxic long, ordinary long").repartition(3)
+    grams = df.mapInArrow(toxicity._cut, "context string, char string, toxic long, ordinary long").groupBy("context", "char").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    rows = toxicity.evidence_of(grams.cache()).collect()
+    p, by, _ = plain_probabilities(counts)
+    want = {h + x: np.log(a / b) for h, seen in by.items() for x in seen for a, b in [p(h, x)]}
+    want = {g: v for g, v in want.items() if abs(v) >= toxicity.LEAST}
+    got = {r["gram"]: r["evidence"] for r in rows}
+    assert set(got) == set(want) and np.allclose([got[g] for g in want], list(want.values()))
+    model = toxicity.KneserNey.of(list(got), np.array(list(got.values())))
+    texts = [*(t for _, t, _ in toxic_rows()[:40]), None, "", "...", "Zombog zombog vyxaaa été", "\U00020001\U00020002", "x" * 400, "vyxaaa " * 50]
+    features = toxicity.Scorer(model).evidence([t or "" for t in texts])
+    assert np.allclose(features, plain_features(texts, counts), atol=1e-4) and features[-3, 0] > 0
 
 
 def test_kneser_ney_sums_to_one():
-    """Of any context the probabilities of what occurs and of all that does not add up to one, for each class."""
-    words, counts = ["abab", "abba", "baab"], np.array([[2.0, 0], [9, 3], [0, 7]])
-    model = toxicity.KneserNey.of(words, counts)
-
-    def p(k, before, c):
-        codes = np.array([toxicity._HEAD, *map(ord, before), ord(c)], np.uint32)
-        values, n = toxicity._VALUES[codes], len(codes)
-        best = toxicity.UNSEEN
-        for size in range(1, min(n, toxicity.ORDER) + 1):
-            gram = np.flatnonzero(model.grams == segments.span_hashes(values, np.array([n - size]), np.array([n]))[0])
-            context = np.flatnonzero(model.contexts == segments.span_hashes(values, np.array([n - size]), np.array([n - 1]))[0])
-            best = model.p[gram[0], k] if len(gram) else best * (model.back[context[0], k] if len(context) else 1)
-        return float(best)
-
-    for k in range(2):
-        for before in ("", "a", "ab", "aba", "bb", "zz"):
-            seen = [p(k, before, c) for c in "ab" + chr(toxicity._TAIL)]
-            other = p(k, before, "z")
-            assert sum(seen) + other * (1 / toxicity.UNSEEN - 3) == pytest.approx(1, abs=1e-4)
+    """After any context the probabilities of all characters, those that never follow it too, add up to one for each class."""
+    p, by, kinds = plain_probabilities({"abab": np.array([2, 0]), "abba": np.array([9, 3]), "baab": np.array([0, 7])})
+    for h in by:
+        assert np.allclose(np.sum([p(h, x) for x in kinds], axis=0), 1)
+
+
+def test_op1_against_the_plain_score(spark, sf):
+    """The scores of the whole table by the definition: counts, evidence, fit and all."""
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    label = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall())
+    part = lambda d, n: zlib.crc32(str(d).encode()) % n
+    training = [(d, t, label[d]) for d, t in docs if d in label and part(d, 3) != 1]
+    words = counted_words([(t, y) for d, t, y in training if part(d, 15) >= 3])
+    fit = [(t, y) for d, t, y in training if part(d, 15) < 3]
+    weights = toxicity.fit_logistic(plain_features([t for t, _ in fit], words), np.array([y for _, y in fit], float))
+    z = plain_features([t for _, t in docs], words) @ weights[1:] + weights[0]
+    got = {r["doc_id"]: r for r in queries.op1(spark, sf).collect()}
+    assert np.allclose([got[d]["score"] for d, _ in docs], 1 / (1 + np.exp(-z)), atol=1e-3)
+    assert all(got[d]["held_out"] == (part(d, 3) == 1) and got[d]["predicted"] == (got[d]["score"] >= 0.7) for d, _ in docs)
 
 
 def test_held_out_toxicity(spark):
