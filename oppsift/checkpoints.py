@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where a session has none, as in tests."""
+    """The folder in spark.checkpoint.dir; a local one is set only where a local session has none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="oppsift-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -23,3 +25,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """The same, and aggregates of the rows that the write itself finds, without a job of their own."""
+    seen = Observation()
+    out = written(df.observe(seen, *(v.alias(k) for k, v in measures.items())), name)
+    return out, seen.get
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes what ``written`` made for df, once nothing reads it any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
