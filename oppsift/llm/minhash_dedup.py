@@ -1,12 +1,13 @@
 """Near-duplicate texts: b-bit MinHash over shingles of words.
 
 One pass over the texts hashes the distinct shingles of each and keeps, for 128 permutations, the minima as 32 band keys of four
-and their two low bits packed into four longs. Texts with equal shingle sets are one class. Of classes that share a band, first
-each is paired with the band's smallest; pairs that the packed bits do not rule out are confirmed on the full shingle
-sets, and links make components. Then, in bands that still hold several components, every class outside the smallest
-one's component is paired with all classes of other components, so that no pair of a band is left out unless both are
-joined already. In bands of few classes these pairs are rows; in larger ones blocks of classes meet, with their sets, and give
-only a forest of the links found. Large groups of copies thus cost rows in proportion to their size, not to its square.
+and their two low bits packed into four longs. Texts with equal shingle sets are one class, known by a number of its own. Of
+classes that share a band, first each is paired with the band's first and last; pairs that the packed bits do not rule out are
+confirmed on the full sets (of 64-bit shingle hashes), and links make components. Then, in bands that still hold several
+components, blocks of their classes meet with their packed bits alone, and name the pairs of different components that
+may be similar. Where these are few for the classes they join, pairs are confirmed one by one; where they are many, the full sets
+of a block's classes meet and give a forest of the links found. So no pair of a band is left out unless both are joined
+already, and large groups of copies cost rows in proportion to their size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oppsift.checkpoints import written
+from oppsift.checkpoints import measured, written
 from oppsift.llm.segments import BYTE_VALUES, mix, span_hashes, spread, text_slices, word_spans
 from oppsift.llm.shared import SMALL_ROWS, runs, small_side, text_or_empty
 from oppsift.operators.components import connected_components
@@ -29,8 +30,8 @@ SHINGLE, PERMUTATIONS, BAND_ROWS, BITS = 5, 128, 4, 2
 #: standard errors of the estimate.
 ESTIMATE_MARGIN = 0.30
 
-#: In bands of more classes blocks of BLOCK classes are compared in place of pairs.
-FEW, BLOCK = 32, 512
+#: Classes of a band meet in blocks of so many. If a block has more likely pairs for each of its classes, their sets meet.
+BLOCK, PAIRS_EACH = 256, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -117,10 +118,9 @@ def _long_lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "bits", "bands"]
+    names = ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bits", "bands"]
     for batch in batches:
-        docs = batch.column(0)
-        for first, sets in shingles(batch.column(1), words):
+        for first, sets in shingles(batch.column(2), words):
             size = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(size)
             low = minima([sets[k] for k in full])
@@ -129,7 +129,8 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
                 bits[k], bands[k] = x, y
             a = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
             b = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([docs.slice(first, len(sets)), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _long_lists(bits), _long_lists(bands)], names)
+            row = [batch.column(k).slice(first, len(sets)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*row, pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _long_lists(bits), _long_lists(bands)], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -138,13 +139,8 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), _long_lists(sets)], ["id", "shingles"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose full shingle sets are similar enough."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "members")
-    some = texts.join(small_side(ids, limit=limit), "doc_id", "left_semi").select("doc_id", "text")
-    sets = some.mapInArrow(lambda b: _sets(b, words), "id long, shingles array<long>")
-    sets = written(sets.dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "v", "shingles": "right"}), "v").join(sets.withColumnsRenamed({"id": "u", "shingles": "left"}), "u")
     both = both.withColumn("common", F.size(F.array_intersect("left", "right")))
     union = F.size("left") + F.size("right") - F.col("common")
@@ -170,15 +166,55 @@ def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _meets(mine: np.ndarray, side: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """[row, class]: of different components, and of different blocks unless the cell is one block's own."""
+    return (mine[rows][:, None] != mine) & ((side[rows][:, None] == 0) | (side[rows][:, None] != side))
+
+
+CANDIDATES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cell", pa.int64()), ("side", pa.int32()), ("mine", pa.int64())])
+
+
+def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """For each cell (cell, side, id, mine, bits): the pairs (u, v) that may be similar; of cells with many, the classes (u, cell,
+    side, mine) that have a part in any."""
+    chance, width = 0.5**BITS, PERMUTATIONS * BITS // 64
+    for cell in runs(batches, "cell"):
+        ids, mine, side = (cell[c].to_numpy() for c in ("id", "mine", "side"))
+        bits = cell["bits"].combine_chunks().values.to_numpy().view(np.uint64).reshape(len(ids), width)
+        us, vs = [], []
+        for lo in range(0, len(ids), 128):
+            rows = np.arange(lo, min(lo + 128, len(ids)))
+            different = np.zeros((len(rows), len(ids)), np.int64)
+            for k in range(width):
+                x = bits[rows, k][:, None] ^ bits[:, k]
+                different += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+            similar = (1 - different / PERMUTATIONS - chance) / (1 - chance) >= least
+            i, j = np.nonzero(similar & _meets(mine, side, rows))
+            us.append(rows[i])
+            vs.append(j)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        u, v = np.unique(np.stack([u, v]), axis=1) if len(u) else (u, v)
+        part = np.unique(np.concatenate([u, v]))
+        none = lambda n, t: pa.nulls(n, t)
+        if len(u) <= PAIRS_EACH * len(part):
+            if len(u):
+                a, b = np.minimum(ids[u], ids[v]), np.maximum(ids[u], ids[v])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(u), pa.int64()), none(len(u), pa.int32()), none(len(u), pa.int64())], schema=CANDIDATES)
+        else:
+            key = pa.array(np.full(len(part), cell["cell"][0].as_py(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), none(len(part), pa.int64()), key, pa.array(side[part].astype(np.int32)), pa.array(mine[part])], schema=CANDIDATES)
+
+
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each cell (id, component, side, shingles): pairs (u, v) of a forest of the links between its components."""
     for cell in runs(batches, "cell"):
-        ids, part, side = (cell[c].to_numpy() for c in ("id", "mine", "side"))
+        ids, mine, side = (cell[c].to_numpy() for c in ("id", "mine", "side"))
         lists = cell["shingles"].combine_chunks()
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         sets = [flat[lo:hi] for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         size = np.diff(offsets)
-        names, member, count = np.unique(part, return_inverse=True, return_counts=True)
+        names, member, count = np.unique(mine, return_inverse=True, return_counts=True)
         root = np.arange(len(names))
         outside = np.flatnonzero(member != count.argmax())
         found: list[tuple[int, int]] = []
@@ -186,8 +222,7 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             rows = outside[lo : lo + BLOCK]
             common = common_counts(sets, rows)
             similar = 100 * common >= percent * (size[rows][:, None] + size - common)
-            similar &= (member[rows][:, None] != member) & ((side[rows][:, None] == 0) | (side[rows][:, None] != side))
-            for i, j in zip(*(x.tolist() for x in np.nonzero(similar)), strict=True):
+            for i, j in zip(*(x.tolist() for x in np.nonzero(similar & _meets(mine, side, rows))), strict=True):
                 a, b = root[member[rows[i]]], root[member[j]]
                 if a != b:
                     root[root == max(a, b)] = min(a, b)
@@ -196,20 +231,61 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
 
-def _by_blocks(marked: DataFrame, texts: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
-    """Links between components within bands (band, id, mine, n); every two classes of a band meet in some cell."""
-    ids = written(marked.select(F.col("id").alias("doc_id")).distinct(), "members")
-    some = texts.join(small_side(ids, limit=limit), "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(some.mapInArrow(lambda b: _sets(b, words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+def _cells(marked: DataFrame) -> DataFrame:
+    """The classes of bands (band, n, id, mine, bits) in cells, so that every two classes of a band meet in one."""
     rows = marked.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "id", "mine", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
-    )
-    # a cell with one component alone has nothing to find
-    mixed = rows.groupBy("cell").agg(F.min("mine").alias("low"), F.max("mine").alias("high")).where("low != high").select("cell")
-    rows = rows.join(mixed, "cell", "left_semi").join(sets, "id")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _linked(b, percent), "u long, v long")
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    rows = rows.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), side.alias("side"), "id", "mine", "bits")
+    return rows.repartition("cell").sortWithinPartitions("cell")
+
+
+def judged(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limit: int = SMALL_ROWS) -> DataFrame:
+    """What ``minhash_dedup`` gives, with the xxhash64 of each text as text_hash, which tells rows of one doc_id apart."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    shape = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bits array<long>, bands array<long>"
+    signed = written(texts.mapInArrow(lambda b: _sign(b, words), shape), "signatures")
+    same = ["set_a", "set_b", "n_shingles"]
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same)
+    classes = classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    classes = written(classes.select("doc.*", *same, "bits", "bands", "n", F.monotonically_increasing_id().alias("id")), "classes")
+    bits = classes.select("id", "bits")
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        """(id, shingles) of some classes, from the text of one row of each."""
+        wanted, n = measured(classes.join(ids.distinct(), "id", "left_semi").select("id", "doc_id", "text_hash"), f"wanted-{name}", n=F.count("*"))
+        some = texts.join(small_side(wanted, n["n"], limit), ["doc_id", "text_hash"]).select("id", "text")
+        return written(some.mapInArrow(lambda b: _sets(b, words), "id long, shingles array<long>").dropDuplicates(["id"]), f"sets-{name}")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("u", "v")).alias("id"))
+
+    # bands of one class alone are the most: leave them behind
+    banded = classes.select("id", F.explode("bands").alias("band"))
+    heads = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
+    members = written(banded.join(heads, "band"), "bands")
+    pairs = members.select("id", F.explode(F.array("first", "last")).alias("head")).where("id != head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
+    pairs = pairs.join(bits.withColumnsRenamed({"id": "v", "bits": "right"}), "v").join(bits.withColumnsRenamed({"id": "u", "bits": "left"}), "u")
+    pairs = written(pairs.where(estimate("left", "right") >= percent / 100 - ESTIMATE_MARGIN).select("u", "v"), "pairs")
+    links = written(_confirmed(pairs, sets_of(ends(pairs), "pairs"), percent), "links")
+    labels, n = measured(connected_components(links, "u", "v").withColumnRenamed("node", "id"), "labels", n=F.count("*"))
+    # what was tried with a band's first and last is behind; left are bands with others of several components
+    marked = members.where("id not in (first, last)").join(small_side(labels, n["n"], limit), "id", "left").select("band", "id", F.coalesce("component", "id").alias("mine"))
+    mixed = marked.groupBy("band").agg(F.min("mine").alias("low"), F.max("mine").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all")).where("low != high")
+    # bands of the same classes need one look
+    mixed = mixed.groupBy("n", "all").agg(F.min("band").alias("band")).select("band", "n")
+    found = written(_cells(marked.join(mixed, "band").join(bits, "id")).mapInArrow(lambda b: _likely(b, percent / 100 - ESTIMATE_MARGIN), "u long, v long, cell long, side int, mine long"), "found")
+    pairs, cells = found.where("cell is null").select("u", "v").distinct(), found.where("cell is not null").withColumnRenamed("u", "id").drop("v")
+    sets = sets_of(ends(pairs).unionByName(cells.select("id")), "found")
+    forest = cells.join(sets, "id").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _linked(b, percent), "u long, v long")
+    links = labels.where("id != component").select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(_confirmed(pairs, sets, percent)).unionByName(forest)
+    joined = connected_components(links, "u", "v").withColumnRenamed("node", "id")
+    groups = classes.select(*same, "id", "doc_id", "n").join(joined, "id", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups, n = measured(groups.join(least, "component").select(*same, "component_id"), "groups", n=F.count("*"))
+    out = signed.select("doc_id", "text_hash", *same).join(small_side(groups, n["n"], limit), same, "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def minhash_dedup(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limit: int = SMALL_ROWS) -> DataFrame:
@@ -217,48 +293,10 @@ def minhash_dedup(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limi
 
     Words are lower-cased (A-Z) and parted by ASCII white space. Texts are linked if 100 * intersection of their sets of
     shingles is ``percent`` * union or more; component_id is the smallest doc_id that links reach. Texts without words
-    and rows with a null doc_id link with nothing and stay (a null id has a null component). If rows repeat a doc_id with
-    different texts, their links are those of any of the texts that share a band. Empty tables give an empty result;
-    other columns are ignored.
+    and rows with a null doc_id link with nothing and stay (a null id has a null component). Rows that repeat a doc_id with
+    other texts are judged each by its own text, in any order of rows. Empty tables give an empty result; other columns are
+    ignored.
 
     A pair of similarity 0.75 shares no band with a chance of 5 in a million, and more similar pairs less.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    shape = "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, bands array<long>"
-    signed = written(texts.mapInArrow(lambda b: _sign(b, words), shape), "signatures")
-    real = signed.where("n_shingles > 0 and doc_id is not null")
-    same = ["set_a", "set_b", "n_shingles"]
-    classes = written(real.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes")
-    banded = classes.select("id", F.explode("bands").alias("band"))
-    # bands of one class alone are the most: leave them behind
-    leaders = banded.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("last"), F.count("*").alias("n")).where("u != last").select("band", "u", "n")
-    members = written(banded.join(leaders, "band").select("band", "n", "u", F.col("id").alias("v")), "bands")
-    bits = classes.select("id", "bits")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(bits.withColumnsRenamed({"id": "v", "bits": "right_bits"}), "v").join(bits.withColumnsRenamed({"id": "u", "bits": "left_bits"}), "u")
-        return pairs.where(estimate("left_bits", "right_bits") >= percent / 100 - ESTIMATE_MARGIN).select("u", "v")
-
-    links = written(_confirmed(likely(members.where("u != v").select("u", "v").distinct()), texts, words, percent, limit), "links")
-    labels = written(connected_components(links, "u", "v"), "labels")
-
-    def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
-        found = df.join(small_side(labels.withColumnsRenamed({"node": key, "component": name}), labels.count(), limit), key, "left")
-        return found.withColumn(name, F.coalesce(name, key))
-
-    marked = labelled(labelled(members, "v", "mine"), "u", "first")
-    mixed = marked.groupBy("band").agg(F.max(F.col("mine") != F.col("first")).alias("mixed")).where("mixed").select("band")
-    marked = written(marked.join(mixed, "band", "left_semi"), "mixed")
-    few, many = marked.where(F.col("n") <= FEW), marked.where(F.col("n") > FEW)
-    outside = few.where("mine != first").select("band", F.col("v").alias("a"), F.col("mine").alias("other"))
-    # the leader itself was tried with every member of its band
-    pairs = outside.join(few.where("u != v").select("band", "v", "mine"), "band").where("other != mine")
-    pairs = pairs.select(F.least("a", "v").alias("u"), F.greatest("a", "v").alias("v")).distinct()
-    more = _confirmed(likely(pairs), texts, words, percent, limit)
-    more = more.unionByName(_by_blocks(many.select("band", F.col("v").alias("id"), "mine", "n"), texts, words, percent, limit))
-    joined = connected_components(links.unionByName(more), "u", "v")
-    groups = classes.select(*same, "id", "n").join(joined.withColumnsRenamed({"node": "id"}), "id", "left").where("n > 1 or component is not null")
-    groups = written(groups.select(*same, F.coalesce("component", "id").alias("component_id")), "groups")
-    out = signed.select("doc_id", *same).join(small_side(groups, limit=limit), same, "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return judged(docs, percent, words, limit).drop("text_hash")

@@ -252,13 +252,14 @@ def near_groups(n=120):
     return rows
 
 
-@pytest.mark.parametrize("few", [32, 2])
-def test_minhash_dedup(spark, odd, few, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "FEW", few)
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 40)
+@pytest.mark.parametrize("each", [8, 0])
+def test_minhash_dedup(spark, odd, each, monkeypatch):
+    """each: 0 lets sets meet in all cells."""
+    monkeypatch.setattr(minhash_dedup, "PAIRS_EACH", each)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 256 if each else 20)
     rows = [(d, t) for d, t, _ in ODD] + near_groups()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
-    got = minhash_dedup.minhash_dedup(df, limit=0 if few == 2 else 10**6).collect()
+    got = minhash_dedup.minhash_dedup(df, limit=10**6 if each else 0).collect()
     want = plain_near([(d, t) for d, t in rows if d is not None])
     assert len(got) == len(rows)
     for r in got:
@@ -266,10 +267,19 @@ def test_minhash_dedup(spark, odd, few, monkeypatch):
             assert r["component_id"] is None and r["kept"]
         else:
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
-    if few == 32:
+    if each:
         assert minhash_dedup.minhash_dedup(odd.limit(0)).count() == 0
 
 
+def test_minhash_of_repeated_ids(spark):
+    """Rows of one doc_id with different texts are judged each by its own text, whatever the order of rows."""
+    a, b = ([f"{x}{k}" for k in range(40)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "more"])), (3, " ".join([*b, "more"])), (2, " ".join(f"c{k}" for k in range(9))), (2, "one"), (2, "one")]
+    for order in (rows, rows[::-1]):
+        got = minhash_dedup.judged(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(1, 36, 1, True), (1, 36, 1, True), (2, 1, 2, True), (2, 1, 2, True), (2, 5, 2, True), (2, 37, 1, False), (3, 37, 1, False)]
+
+
 def test_minhash_of_the_table(spark, sf):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op8(spark, sf).collect()} == plain_near(rows)
