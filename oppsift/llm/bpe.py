@@ -14,6 +14,7 @@ import os
 import numpy as np
 
 from oppsift.llm.segments import SLICE, HashIndex, gather, span_hashes, spread
+from oppsift.llm.shared import only
 
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 4
 
@@ -192,11 +193,6 @@ class CachedBpe:
         return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.empty(0, np.uint32), np.zeros(0, np.int64))
 
 
-_made: dict[str, CachedBpe] = {}
-
-
 def cached_bpe(path: str) -> CachedBpe:
-    """One for each tokenizer file and process."""
-    if path not in _made:
-        _made[path] = CachedBpe(path)
-    return _made[path]
+    """One for each tokenizer file and process, until another operator needs the room."""
+    return only(("bpe", path), lambda: CachedBpe(path))

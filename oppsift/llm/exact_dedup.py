@@ -1,9 +1,10 @@
 """Exact duplicates: counting quotient filters per partition, merged by sorted remainders, then byte verification.
 
 Each partition puts the 64-bit fingerprints of its texts into a counting quotient filter. As quotient and remainder keep
-all 64 bits, a filter lists its fingerprints in order and two filters merge without loss by their sorted remainders.
-Filters travel cut by ranges of quotients; a merged range gives the fingerprints counted more than once. Only texts with
-such a fingerprint are compared, byte for byte, by an aggregate that combines copies before the shuffle.
+all 64 bits, two filters merge without loss, run by run, by their sorted remainders; one with fewer quotients first hands
+bits of its remainders over. Filters travel in compact form, cut by ranges of quotients; a merged range gives the
+fingerprints counted more than once. Only texts with such a fingerprint are compared, byte for byte, by an aggregate that
+combines copies before the shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oppsift.checkpoints import written
+from oppsift.checkpoints import measured, written
 from oppsift.llm.shared import SMALL_ROWS, small_side, text_or_empty
 
 #: Runs of these become one space: the ASCII white space characters.
@@ -24,57 +25,112 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
 class CountingQuotientFilter:
-    """Sorted 64-bit fingerprints with counts: runs of remainders under occupied quotients."""
+    """Values of ``width`` bits with counts. The top ``quotient_bits`` of a value are its quotient, the rest its remainder; the
+    remainders of one quotient are a run, in ascending order, and runs lie in the order of their quotients."""
 
-    def __init__(self, quotient_bits: int, occupied: np.ndarray, run_ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray) -> None:
-        self.quotient_bits, self.occupied, self.run_ends, self.remainders, self.counts = quotient_bits, occupied, run_ends, remainders, counts
+    def __init__(self, width: int, quotient_bits: int, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray) -> None:
+        self.width, self.quotient_bits, self.runs, self.remainders, self.counts = width, quotient_bits, runs, remainders, counts
+
+    @property
+    def remainder_bits(self) -> int:
+        return self.width - self.quotient_bits
 
     @classmethod
-    def of(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, quotient_bits: int | None = None) -> CountingQuotientFilter:
-        """Of fingerprints (uint64), each counted once or as often as ``counts`` says."""
-        values, at = np.unique(fingerprints, return_inverse=True)
-        n = np.bincount(at, counts, len(values)).astype(np.int64) if len(values) else np.zeros(0, np.int64)
-        bits = quotient_bits if quotient_bits is not None else max(1, int(len(values)).bit_length())
-        quotients = (values >> np.uint64(64 - bits)).astype(np.int64)
-        occupied = np.zeros(1 << bits, np.bool_)
-        occupied[quotients] = True
-        run_ends = np.ones(len(values), np.bool_)
-        run_ends[:-1] = quotients[1:] != quotients[:-1]
-        return cls(bits, occupied, run_ends, values & np.uint64((1 << (64 - bits)) - 1), n)
-
-    def fingerprints(self) -> np.ndarray:
-        """In ascending order: the k-th run belongs to the k-th occupied quotient."""
-        run = np.cumsum(self.run_ends) - self.run_ends
-        return (np.flatnonzero(self.occupied)[run].astype(np.uint64) << np.uint64(64 - self.quotient_bits)) | self.remainders
-
-    def merge(self, *others: CountingQuotientFilter) -> CountingQuotientFilter:
-        """Counts add up; nothing is lost, whatever the filters' sizes."""
-        every = (self, *others)
-        return CountingQuotientFilter.of(np.concatenate([f.fingerprints() for f in every]), np.concatenate([f.counts for f in every]))
-
-    def pieces(self, bits: int) -> Iterator[tuple[int, bytes]]:
-        """The filter cut by the top ``bits`` of the fingerprints, each part as bytes: remainders in order, then what counts exceed one."""
-        values = self.fingerprints()
-        part = (values >> np.uint64(64 - bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=1 << bits))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            more = np.flatnonzero(self.counts[lo:hi] > 1)
-            head = np.array([hi - lo, len(more)], np.int64)
-            yield int(part[lo]), b"".join(x.tobytes() for x in (head, values[lo:hi], more, self.counts[lo:hi][more]))
+    def of(cls, values: np.ndarray, width: int = 64) -> CountingQuotientFilter:
+        """Of values (uint64), each counted once; about as many quotients as values."""
+        values, counts = np.unique(values, return_counts=True)
+        bits = min(max(1, len(values).bit_length()), width - 1)
+        quotients, remainders = _split(values, width - bits)
+        return cls(width, bits, np.bincount(quotients, minlength=1 << bits), remainders, counts.astype(np.int64))
+
+    def quotients(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.runs)), self.runs)
+
+    def values(self, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return self.quotients()[some].astype(np.uint64) << np.uint64(self.remainder_bits) | self.remainders[some]
+
+    def widened(self, quotient_bits: int) -> CountingQuotientFilter:
+        """The same with more bits in the quotients: each remainder gives up its highest, which leaves the order as it is."""
+        more = quotient_bits - self.quotient_bits
+        if not more:
+            return self
+        high, remainders = _split(self.remainders, self.remainder_bits - more)
+        return CountingQuotientFilter(self.width, quotient_bits, np.bincount((self.quotients() << more) + high, minlength=1 << quotient_bits), remainders, self.counts)
+
+    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both runs of each quotient are merged by their sorted remainders; counts of equal ones add up. Nothing is lost,
+        whatever the filters' sizes."""
+        size = min(max(1, (len(self.remainders) + len(other.remainders)).bit_length()), self.width - 1)
+        bits = max(size, self.quotient_bits, other.quotient_bits)
+        a, b = self.widened(bits), other.widened(bits)
+        quotients, starts = a.quotients(), np.cumsum(b.runs) - b.runs
+        # the place of each of a's remainders in b's run of its quotient, by halving
+        low, high = starts[quotients], starts[quotients] + b.runs[quotients]
+        end = high.copy()
+        while (open_ := low < high).any():
+            at = np.flatnonzero(open_)
+            middle = (low[at] + high[at]) >> 1
+            less = b.remainders[middle] < a.remainders[at]
+            low[at[less]], high[at[~less]] = middle[less] + 1, middle[~less]
+        same = low < end
+        same[same] = b.remainders[low[same]] == a.remainders[same]
+        counts = b.counts.copy()
+        counts[low[same]] += a.counts[same]
+        new = np.flatnonzero(~same)
+        place, old = low[new] + np.arange(len(new)), np.ones(len(b.remainders) + len(new), np.bool_)
+        old[place] = False
+        out = [np.empty(len(old), x.dtype) for x in (b.remainders, counts)]
+        for x, was, came in zip(out, (b.remainders, counts), (a.remainders, a.counts), strict=True):
+            x[old], x[place] = was, came[new]
+        return CountingQuotientFilter(self.width, bits, b.runs + np.bincount(quotients[new], minlength=len(b.runs)), *out)
+
+    def pieces(self, bits: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
+        """The filter cut by the top ``bits`` of its values, which the parts leave out; empty parts are not given."""
+        wide = self.widened(max(self.quotient_bits, min(bits + 1, self.width - 1)))
+        each = 1 << (wide.quotient_bits - bits)
+        ends = np.concatenate([[0], np.cumsum(wide.runs)])
+        for k in np.unique(wide.quotients() // each).tolist():
+            lo, hi = ends[k * each], ends[(k + 1) * each]
+            yield k, CountingQuotientFilter(wide.width - bits, wide.quotient_bits - bits, wide.runs[k * each : (k + 1) * each], wide.remainders[lo:hi], wide.counts[lo:hi])
+
+    def bytes(self) -> bytes:
+        """Compact: a bit for each quotient and value, the bytes that remainders need, and what counts exceed one."""
+        n, unary = len(self.remainders), np.ones(len(self.runs) + len(self.remainders), np.uint8)
+        unary[np.cumsum(self.runs) + np.arange(len(self.runs))] = 0  # a zero ends each run
+        more, each = np.flatnonzero(self.counts > 1), -(-self.remainder_bits // 8)
+        head = np.array([self.width, self.quotient_bits, n, len(more)], np.int64)
+        short = self.remainders.astype("<u8").view(np.uint8).reshape(n, 8)[:, :each]
+        return b"".join(x.tobytes() for x in (head, more, self.counts[more], np.packbits(unary), short))
 
     @classmethod
-    def read(cls, piece: bytes) -> CountingQuotientFilter:
-        n, more = np.frombuffer(piece, np.int64, 2).tolist()
-        counts = np.ones(n, np.int64)
-        counts[np.frombuffer(piece, np.int64, more, 16 + 8 * n)] = np.frombuffer(piece, np.int64, more, 16 + 8 * (n + more))
-        return cls.of(np.frombuffer(piece, np.uint64, n, 16), counts)
+    def read(cls, data: bytes) -> CountingQuotientFilter:
+        width, bits, n, more = np.frombuffer(data, np.int64, 4).tolist()
+        counts, at = np.ones(n, np.int64), 32 + 16 * more
+        counts[np.frombuffer(data, np.int64, more, 32)] = np.frombuffer(data, np.int64, more, 32 + 8 * more)
+        length = (1 << bits) + n
+        unary = np.unpackbits(np.frombuffer(data, np.uint8, -(-length // 8), at), count=length)
+        zeros = np.flatnonzero(unary == 0)
+        each, remainders = -(-(width - bits) // 8), np.zeros((n, 8), np.uint8)
+        remainders[:, :each] = np.frombuffer(data, np.uint8, n * each, at + -(-length // 8)).reshape(n, each)
+        return cls(width, bits, np.diff(zeros, prepend=-1) - 1, remainders.view("<u8")[:, 0].astype(np.uint64), counts)
+
+
+def _split(values: np.ndarray, low_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (values >> np.uint64(low_bits)).astype(np.int64), values & np.uint64((1 << low_bits) - 1)
+
+
+def merged(filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+    """All of them, merged two by two, so that each value is moved a logarithm of their number of times."""
+    while len(filters) > 1:
+        filters = [a.merge(b) for a, b in zip(filters[::2], filters[1::2], strict=False)] + filters[len(filters) & ~1 :]
+    return filters[0]
 
 
 def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """One filter for each partition, or for each 4 million rows of it."""
+    """One filter for each partition, or for each 4 million rows of it, cut into pieces."""
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        parts = list(CountingQuotientFilter.of(np.concatenate(held)).pieces(bits))
+        parts = [(k, f.bytes()) for k, f in CountingQuotientFilter.of(np.concatenate(held)).pieces(bits)]
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int64()), pa.array([b for _, b in parts], pa.binary())], ["part", "filter"])
 
     held, rows = [], 0
@@ -88,39 +144,45 @@ def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         yield out(held)
 
 
-def _repeated(group: pd.DataFrame) -> pd.DataFrame:
-    filters = [CountingQuotientFilter.read(x) for x in group["filter"]]
-    merged = filters[0].merge(*filters[1:])
-    twice = merged.counts > 1
-    return pd.DataFrame({"fp": merged.fingerprints()[twice].view(np.int64), "n": merged.counts[twice]})
+def _repeated(group: pd.DataFrame, bits: int) -> pd.DataFrame:
+    whole = merged([CountingQuotientFilter.read(x) for x in group["filter"]])
+    twice = np.flatnonzero(whole.counts > 1)
+    top = np.uint64(int(group["part"].iloc[0])) << np.uint64(64 - bits)
+    return pd.DataFrame({"fp": (whole.values(twice) | top).view(np.int64), "n": whole.counts[twice]})
 
 
 def repeated_fingerprints(fingerprints: DataFrame, parts: int | None = None) -> DataFrame:
     """(fp, n) of the values of the one long column that occur more than once. parts: into how many ranges filters are cut."""
     parts = parts or 4 * int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, min(24, (parts - 1).bit_length()))
-    return fingerprints.mapInArrow(lambda b: _filters(b, bits), "part long, filter binary").groupBy("part").applyInPandas(_repeated, "fp long, n long")
+    return fingerprints.mapInArrow(lambda b: _filters(b, bits), "part long, filter binary").groupBy("part").applyInPandas(lambda g: _repeated(g, bits), "fp long, n long")
 
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), WHITE_SPACE, " ")
 
 
+def judged(docs: DataFrame, fingerprint: Column | None = None, limit: int = SMALL_ROWS) -> DataFrame:
+    """What ``exact_dedup`` gives, with the xxhash64 of each text as text_hash, which tells rows of one doc_id apart."""
+    fp = fingerprint if fingerprint is not None else F.xxhash64("norm")
+    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), normalised().alias("norm"))
+    keys = written(texts.select("doc_id", "text_hash", fp.alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "keys")
+    twice, n = measured(repeated_fingerprints(keys.select("fp")).select("fp"), "fingerprints", n=F.count("*"))
+    copies = texts.withColumn("fp", fp).join(small_side(twice, n["n"], limit), "fp", "left_semi")
+    groups = copies.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups, n = measured(groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "groups", n=F.count("*"))
+    out = keys.join(small_side(groups, n["n"], limit), "sha", "left").withColumn("grouped", F.col("group_size").isNotNull())
+    keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id"))
+    size, sha = F.coalesce("group_size", F.lit(1)), F.lower(F.hex("sha"))
+    return out.select("doc_id", "text_hash", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), sha.alias("text_sha256"))
+
+
 def exact_dedup(docs: DataFrame, fingerprint: Column | None = None, limit: int = SMALL_ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are the same after each run of ASCII white space has become one space; a null text is an empty
     one. The row with the smallest doc_id stays (a null id only if no row has one); rows that repeat an id with the same
-    text share its result. Empty tables give an empty result; other columns are ignored. fingerprint: a long Column of
-    ``norm`` (tests give a weak one); limit: see ``small_side``.
+    text share its result, and those that repeat it with other texts are judged each by its own. Empty tables give an empty
+    result; other columns are ignored. fingerprint: a long Column of ``norm`` (tests give a weak one); limit: see ``small_side``.
     """
-    fp = fingerprint if fingerprint is not None else F.xxhash64("norm")
-    texts = docs.select("doc_id", normalised().alias("norm"))
-    keys = written(texts.select("doc_id", fp.alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "keys")
-    twice = written(repeated_fingerprints(keys.select("fp")).select("fp"), "fingerprints")
-    copies = texts.withColumn("fp", fp).join(small_side(twice, limit=limit), "fp", "left_semi")
-    groups = copies.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = written(groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "groups")
-    out = keys.join(small_side(groups, limit=limit), "sha", "left").withColumn("grouped", F.col("group_size").isNotNull())
-    keep = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return judged(docs, fingerprint, limit).drop("text_hash")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", limit: int = SMALL_ROWS) -> DataFrame:
-    """The rows of docs whose key is not in dropped (a written table of one column); rows with a null key stay."""
-    return docs.join(small_side(dropped, limit=limit), key, "left_anti").select(docs.columns)
+_held: dict[Hashable, Any] = {}
+
+
+def only(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a process for the last key asked for: one operator's tables make room for the next's."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def without(docs: DataFrame, dropped: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """The rows of docs (doc_id, text) but those in dropped, a written table of doc_id and the xxhash64 of texts as text_hash."""
+    hashed = docs.withColumn("dropped hash", F.xxhash64(text_or_empty()))
+    dropped = small_side(dropped.withColumnRenamed("text_hash", "dropped hash"), limit=limit)
+    return hashed.join(dropped, ["doc_id", "dropped hash"], "left_anti").select(docs.columns)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -200,10 +200,20 @@ def test_exact_dedup(odd):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 5), max_size=20), min_size=1, max_size=4), st.integers(1, 12))
 def test_quotient_filters_merge_without_loss(parts, bits):
+    """Filters of any sizes, cut, packed, read and merged, have each value as often as it came; runs stay in order."""
     filters = [exact_dedup.CountingQuotientFilter.of(np.array(p, np.uint64)) for p in parts]
-    read = [exact_dedup.CountingQuotientFilter.read(piece) for f in filters for _, piece in f.pieces(bits)]
-    merged = read[0].merge(*read[1:]) if read else filters[0]
-    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist(), strict=True)) == collections.Counter(x for p in parts for x in p)
+    pieces = collections.defaultdict(list)
+    for f in filters:
+        for k, piece in f.pieces(bits):
+            pieces[k].append(exact_dedup.CountingQuotientFilter.read(piece.bytes()))
+    got = {}
+    for k, own in pieces.items():
+        whole = exact_dedup.merged(own)
+        values = whole.values().tolist()
+        assert values == sorted(set(values)) and whole.runs.sum() == len(values)
+        got |= {(k << 64 - bits) + v: n for v, n in zip(values, whole.counts.tolist(), strict=True)}
+    assert got == collections.Counter(x for p in parts for x in p)
+    assert exact_dedup.merged(filters).counts.sum() == sum(map(len, parts))
 
 
 def words_of(text):
@@ -566,6 +576,17 @@ def test_pipeline(spark, sf):
     assert all(total[d] == len(ids_of(t, 1)) for d, t in left.items())
 
 
+def test_stages_drop_rows_not_ids(spark, sf):
+    """Of two rows of one doc_id with different texts, only the one that is a copy goes."""
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long), (2, "other text"), (2, long), (3, long + " more"), (3, "third")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.exact(spark, df, sf).collect()}
+    assert left == {(1, long), (2, "other text"), (3, long + " more"), (3, "third")}
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, df, sf).collect()}
+    assert left == {(1, long), (2, "other text"), (3, "third")}
+
+
 def test_stages_on_odd_rows(spark, odd, sf):
     rows = odd.select("doc_id", "text", "lang", "source", F.lit(0).cast("long").alias("n_chars"))
     for df in (rows, rows.limit(0)):
