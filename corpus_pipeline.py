@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oppsift.checkpoints import shared_folder, written
-from oppsift.llm.exact_dedup import exact_dedup
-from oppsift.llm.minhash_dedup import minhash_dedup
+from oppsift.llm import exact_dedup, minhash_dedup
 from oppsift.llm.packing import pack_documents
 from oppsift.llm.queries import table, tokenizer
 from oppsift.llm.shared import without
@@ -23,17 +22,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _kept(docs: DataFrame, judged: DataFrame, name: str) -> DataFrame:
-    return without(docs, written(judged.where("not kept and doc_id is not null").select("doc_id").distinct(), name))
+    """docs without the rows that are not kept, told apart by doc_id and text: rows that repeat both share one fate."""
+    return without(docs, written(judged.where("not kept and doc_id is not null").select("doc_id", "text_hash").distinct(), name))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
-    return _kept(docs, exact_dedup(docs), "exact")
+    """Of equal texts the rows with the smallest doc_id stay, each of them if several have that id; rows without an id stay."""
+    return _kept(docs, exact_dedup.judged(docs), "exact")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return _kept(docs, minhash_dedup(docs), "near")
+    """Of each group of near-duplicates the document with the smallest doc_id stays; rows without an id stay."""
+    return _kept(docs, minhash_dedup.judged(docs), "near")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
