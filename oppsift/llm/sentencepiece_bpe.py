@@ -1,18 +1,20 @@
 """SentencePiece BPE with seeded merge-dropout, and its inverse.
 
 Symbols start as characters and merge by an agenda of candidate pairs, best score first, leftmost on ties. Each candidate
-that comes off the agenda is skipped if its keyed hash (of the seed, the variant, the text around it and its place) falls
-below the rate. Without dropout the ids are those of the library, but that a U+2581 of the text itself is spelled in
-bytes, so that decoding gives every text back.
+that comes off the agenda is skipped if its keyed hash, of the seed, the document and the candidate's place in it, falls
+below the rate, so a word is cut differently wherever it stands. Without dropout the ids are those of the library, but that a
+U+2581 of the text itself is spelled in bytes, so that decoding gives every text back.
 
 No piece spans two characters that stand side by side in no piece, so a text falls into segments that merge by
-themselves; each segment's ids are found once for each of VARIANTS keyed variants and then copied.
+themselves. What a segment becomes depends on which of its candidates are skipped: a process remembers, for each segment, the
+candidates in the order of the agenda as a tree that branches where one is skipped. All segments of some texts go down their
+trees at once, a hash a step; only ways that have not been gone before run the agenda.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oppsift.llm.segments import HashIndex, gather, mix, span_hashes, spread
-from oppsift.llm.shared import text_or_empty
+from oppsift.llm.shared import only, text_or_empty
 
-VARIANTS, RATE = 4, 0.1
+RATE = 0.1
 
-#: Segments, by variant, that a process remembers; longer ones than LONG it does not. Texts are worked on STEP characters or so at a time.
+#: Segments, and ends and forks of their trees, that a process remembers; segments longer than LONG it does not. Texts are
+#: worked on STEP characters or so at a time.
 REMEMBERED, LONG, STEP = 500_000, 48, 300_000
 
-_BLANK, _ESCAPE = "\u2581", "\ue000"
+#: A lone surrogate, which no text can hold, stands for a U+2581 of the text.
+_BLANK, _ESCAPE = "\u2581", "\ud800"
 _MASK = (1 << 64) - 1
 _VALUES = spread(0x110000, 61)
+#: Of the first, middle and last place of a candidate, and of all three moved on by one.
+_PLACES = [int(x) | 1 for x in spread(3, 67)]
+_ALONG = np.uint64(sum(_PLACES) & _MASK)
+
+
+def base_of(seed: int, doc: int) -> int:
+    """What the hashes of a document's candidates have in common."""
+    return mixed((doc * 0x9E3779B97F4A7C15 + seed * 0xD6E8FEB86659FD93) & _MASK)
+
+
+def mixed(x: int) -> int:
+    """``segments.mix`` of one number."""
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _MASK
+    return x ^ x >> 31
 
 
 def _pairs(codes: np.ndarray) -> np.ndarray:
@@ -39,11 +58,11 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
 class DropoutBpe:
     """Encodes and decodes texts with one model file, seed and rate."""
 
-    def __init__(self, path: str, seed: int = 0, rate: float = RATE, variants: int = VARIANTS) -> None:
+    def __init__(self, path: str, seed: int = 0, rate: float = RATE) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.seed, self.rate, self.variants = seed, int(rate * 2**64), variants if rate > 0 else 1
+        self.seed, self.rate = seed, int(rate * 2**64)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         plain = [i for i in range(len(names)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.pieces = {names[i]: (-model.get_score(i), i) for i in plain}
@@ -65,24 +84,30 @@ class DropoutBpe:
         self.index.clear()
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def segment(self, text: str, key: int, variant: int) -> list[int]:
-        """The ids of one segment; spaces are U+2581 in it."""
-        pieces, n = self.pieces, len(text)
+        #: Where each segment begins. A number from 0 is a fork, -1 a way not gone yet, and from -2 down an end.
+        self.roots = np.empty(0, np.int64)
+        #: Of each fork: the hash part of its candidate, how many forks lie before it, and what follows if it merges or is skipped.
+        self.codes, self.depths, self.next = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, 2), np.int64)
+
+    def segment(self, text: str, base: int) -> tuple[list[int], list[tuple[int, bool]]]:
+        """The ids of one segment, where spaces are U+2581, and its candidates as they came: hash part, skipped or not. base:
+        that of the document, moved on to the segment's place."""
+        pieces, n, rate = self.pieces, len(text), self.rate
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ends = list(range(1, n + 1))
         agenda = [(p[0], i, i + 1, i + 2) for i in range(n - 1) if (p := pieces.get(text[i : i + 2]))]
         heapq.heapify(agenda)
-        alive = [True] * n
-        base = (key ^ (self.seed * 0x9E3779B97F4A7C15 + variant * 0xD6E8FEB86659FD93)) & _MASK
+        alive, taken = [True] * n, []
+        x, y, z = _PLACES
         while agenda:
             _, a, m, b = heapq.heappop(agenda)
             if not alive[a] or ends[a] != m or m >= n or not alive[m] or ends[m] != b:
                 continue
-            if self.rate:
-                h = (base + ((a << 40) + (m << 20) + b + 1) * 0xBF58476D1CE4E5B9) & _MASK
-                h = ((h ^ h >> 31) * 0x94D049BB133111EB) & _MASK
-                if (h ^ h >> 29) < self.rate:
+            if rate:
+                code = (a * x + m * y + b * z) & _MASK
+                skipped = mixed((base + code) & _MASK) < rate
+                taken.append((code, skipped))
+                if skipped:
                     continue
             alive[m] = False
             ends[a] = b
@@ -91,8 +116,8 @@ class DropoutBpe:
                 before[b] = a
                 if p := pieces.get(text[a : ends[b]]):
                     heapq.heappush(agenda, (p[0], a, b, ends[b]))
-            if (x := before[a]) >= 0 and (p := pieces.get(text[x:b])):
-                heapq.heappush(agenda, (p[0], x, a, b))
+            if (left := before[a]) >= 0 and (p := pieces.get(text[left:b])):
+                heapq.heappush(agenda, (p[0], left, a, b))
         out, i = [], 0
         while i < n:
             if p := pieces.get(text[i : ends[i]]):
@@ -100,24 +125,63 @@ class DropoutBpe:
             else:
                 out += [self.bytes[v] for v in text[i : ends[i]].replace(_ESCAPE, _BLANK).encode("utf-8", "surrogatepass")]
             i = ends[i]
-        return out
-
-    def _remember(self, items: list[tuple[str, int, int]]) -> np.ndarray:
-        ids = [self.segment(*x) for x in items]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-        while self.used + len(flat) > len(self.flat):
+        return out, taken
+
+    def _learn(self, items: list[tuple[str, int, int]]) -> np.ndarray:
+        """The ways of segments (text, base, how many forks are known): where what is new of each begins."""
+        refs, ids, lengths = [], [], []
+        codes, depths, follows = [], [], []
+        for text, base, depth in items:
+            out, taken = self.segment(text, base)
+            end = -2 - len(self.starts) - len(lengths)
+            ids += out
+            lengths.append(len(out))
+            new, first = taken[depth:], len(self.codes) + len(codes)
+            refs.append(first if new else end)
+            for k, (code, skipped) in enumerate(new, 1):
+                to = first + k if k < len(new) else end
+                codes.append(code)
+                depths.append(depth + k - 1)
+                follows.append((-1, to) if skipped else (to, -1))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        first = len(self.starts)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.used += len(flat)
-        return np.arange(first, first + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        sizes = np.array(lengths, np.int64)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.used += len(ids)
+        if codes:
+            self.codes = np.concatenate([self.codes, np.array(codes, np.uint64)])
+            self.depths = np.concatenate([self.depths, np.array(depths, np.int64)])
+            self.next = np.concatenate([self.next, np.array(follows, np.int64)])
+        return np.array(refs, np.int64)
+
+    def _walk(self, at: np.ndarray, base: np.ndarray, text_of: Callable[[int], str]) -> np.ndarray:
+        """The ends that segments reach from where they stand; ways not gone yet are learnt, one of each at a time."""
+        going, rate = np.flatnonzero(at >= 0), np.uint64(self.rate)
+        while len(going):
+            lost, forks, turns = [], [], []
+            while len(going):
+                fork = at[going]
+                turn = (mix(base[going] + self.codes[fork]) < rate).astype(np.int64)
+                at[going] = to = self.next[fork, turn]
+                new = to == -1
+                lost.append(going[new])
+                forks.append(fork[new])
+                turns.append(turn[new])
+                going = going[to >= 0]
+            lost, forks, turns = (np.concatenate(x) for x in (lost, forks, turns))
+            if len(lost):
+                ways, one, which = np.unique(2 * forks + turns, return_index=True, return_inverse=True)
+                depths, bases = self.depths[ways // 2] + 1, base[lost[one]].tolist()
+                refs = self._learn([(text_of(k), b, d) for k, b, d in zip(lost[one].tolist(), bases, depths.tolist(), strict=True)])
+                self.next[ways // 2, ways % 2] = refs
+                at[lost] = refs[which]
+            going = lost[at[lost] >= 0]
+        return -2 - at
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end (int32), and how many each has. keys: a number for each text, part of the hash
-        that chooses the variants of its segments."""
+        """The ids of all texts end to end (int32), and how many each has. keys: a number for each text, part of its hashes."""
         ids, counts, lo = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
         while lo < len(texts):
             hi, size = lo, 0
@@ -131,51 +195,46 @@ class DropoutBpe:
         return np.concatenate(ids), np.concatenate(counts)
 
     def _encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.index is None or self.index.count > REMEMBERED:
+        if self.index is None or self.index.count > REMEMBERED or max(len(self.codes) // 4, len(self.starts)) > 2 * REMEMBERED:
             self._reset()
-        # the escape stands for a U+2581 of the text; a text that has the escape too is spelled out by itself
-        odd = [k for k, t in enumerate(texts) if _ESCAPE in t]
-        ready = [_BLANK + t.replace(_BLANK, _ESCAPE).replace(" ", _BLANK) if t and _ESCAPE not in t else "" for t in texts]
+        ready = [_BLANK + t.replace(_BLANK, _ESCAPE).replace(" ", _BLANK) if t else "" for t in texts]
         whole = "".join(ready)
+        if not whole:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in ready])]).astype(np.int64)
-        ids, counts = np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        if whole:
-            codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-            start = np.ones(len(codes), np.bool_)
-            start[1:] = ~self._joint(_pairs(codes))
-            start[bounds[:-1][bounds[:-1] < len(codes)]] = True
-            starts = np.flatnonzero(start)
-            ends = np.append(starts[1:], len(codes))
-            at = np.searchsorted(starts, bounds)
-            text = np.repeat(np.arange(len(texts)), np.diff(at))
-            place = (np.arange(len(starts)) - at[text]).astype(np.uint64)
-            content = span_hashes(_VALUES[codes], starts, ends)
-            variant = mix(keys.astype(np.uint64)[text] * np.uint64(0x9E3779B97F4A7C15) + place + np.uint64(self.seed)) % np.uint64(self.variants)
-            key, short = mix(content + variant), ends - starts <= LONG
-            entry = self.index.find(key).astype(np.int64)
-            entry[~short] = -1
-            new = np.flatnonzero((entry < 0) & short)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        start = np.ones(len(codes), np.bool_)
+        start[1:] = ~self._joint(_pairs(codes))
+        start[bounds[:-1][bounds[:-1] < len(codes)]] = True
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(codes))
+        at = np.searchsorted(starts, bounds)
+        text = np.repeat(np.arange(len(texts)), np.diff(at))
+        own = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((self.seed * 0xD6E8FEB86659FD93) & _MASK))
+        base = own[text] + (starts - bounds[text]).astype(np.uint64) * _ALONG
+
+        def text_of(k: int) -> str:
+            return whole[starts[k] : ends[k]]
+
+        key, short = span_hashes(_VALUES[codes], starts, ends), ends - starts <= LONG
+        known = self.index.find(key).astype(np.int64)
+        new = np.flatnonzero((known < 0) & short)
+        if len(new):
             some, first, which = np.unique(key[new], return_index=True, return_inverse=True)
-            for one, back in ((new[first], which), (np.flatnonzero(~short), None)):
-                if len(one):
-                    a, b, c, v = (x[one].tolist() for x in (starts, ends, content, variant))
-                    made = self._remember([(whole[i:j], k, w) for i, j, k, w in zip(a, b, c, v, strict=True)])
-                    if back is None:
-                        entry[one] = made
-                    else:
-                        self.index.add(some, made)
-                        entry[new] = made[back]
-            lengths = self.lengths[entry]
-            total = np.concatenate([[0], np.cumsum(lengths)])
-            ids, counts = gather(self.flat, self.starts[entry], lengths), np.diff(total[at])
-        if odd:
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            for k in odd:
-                spelled = [self.bytes[b] for b in texts[k].encode("utf-8", "surrogatepass")]
-                parts[k] = np.array([self.pieces[_BLANK][1], *spelled], np.int32)
-                counts[k] = len(parts[k])
-            ids = np.concatenate(parts)
-        return ids, counts
+            one = new[first]
+            roots = self._learn([(text_of(k), b, 0) for k, b in zip(one.tolist(), base[one].tolist(), strict=True)])
+            known[new] = len(self.roots) + which
+            self.index.add(some, len(self.roots) + np.arange(len(some)))
+            self.roots = np.concatenate([self.roots, roots])
+        place = np.empty(len(starts), np.int64)
+        place[short] = self.roots[known[short]]
+        long = np.flatnonzero(~short)
+        if len(long):  # with all their forks known, nothing but an end is remembered
+            place[long] = self._learn([(text_of(k), b, _MASK) for k, b in zip(long.tolist(), base[long].tolist(), strict=True)])
+        entry = self._walk(place, base, text_of)
+        lengths = self.lengths[entry]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        return gather(self.flat, self.starts[entry], lengths), np.diff(total[at])
 
     def _joint(self, pairs: np.ndarray) -> np.ndarray:
         """Whether the two characters stand side by side in some piece."""
@@ -194,13 +253,8 @@ class DropoutBpe:
         return data[keep], np.diff(total) - (counts > 0)
 
 
-_made: dict[tuple, DropoutBpe] = {}
-
-
 def _of(*key) -> DropoutBpe:
-    if key not in _made:
-        _made[key] = DropoutBpe(*key)
-    return _made[key]
+    return only(("pieces", *key), lambda: DropoutBpe(*key))
 
 
 def _binary(data: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -167,7 +167,7 @@ def test_pieces(spark, odd):
     texts = [t or "" for _, t, _ in ODD]
     plain = sentencepiece_bpe.encode_pieces(odd, PIECES, rate=0.0).collect()
     for r, t in zip(sorted(plain, key=lambda r: (r["doc_id"] or 0, r["n_pieces"])), sorted(ODD, key=lambda x: (x[0] or 0, len(x[1] or ""))), strict=True):
-        if not re.search("[▁\ue000]", t[1] or ""):
+        if "▁" not in (t[1] or ""):
             assert np.frombuffer(r["pieces"], "<i4").tolist() == model.encode(t[1] or "")
     outs = []
     for seed in (1, 1, 2):
@@ -177,6 +177,54 @@ def test_pieces(spark, odd):
     assert outs[0] == outs[1] != outs[2]
 
 
+def plain_pieces(model, text, seed, doc, rate):
+    """The whole text by one agenda, without segments: of the pairs left, the best that is not skipped merges."""
+    if not text:
+        return []
+    marked = "▁" + text.replace("▁", "\ud800").replace(" ", "▁")
+    x, y, z = sentencepiece_bpe._PLACES
+    symbols, skipped = [(k, k + 1) for k in range(len(marked))], set()
+    while True:
+        pairs = [(model.pieces[marked[a:b]][0], a, m, b) for (a, m), (_, b) in zip(symbols, symbols[1:]) if marked[a:b] in model.pieces and (a, m, b) not in skipped]
+        if not pairs:
+            break
+        _, a, m, b = min(pairs)
+        h = sentencepiece_bpe.mixed((sentencepiece_bpe.base_of(seed, doc) + a * x + m * y + b * z) & (2**64 - 1))
+        if h < int(rate * 2**64):
+            skipped.add((a, m, b))
+        else:
+            k = symbols.index((a, m))
+            symbols[k : k + 2] = [(a, b)]
+    out = []
+    for a, b in symbols:
+        p = model.pieces.get(marked[a:b])
+        out += [p[1]] if p else [model.bytes[v] for v in marked[a:b].replace("\ud800", "▁").encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.3])
+def test_pieces_against_one_agenda(rate, docs, monkeypatch):
+    texts = [t or "" for _, t, _ in ODD if len(t or "") < 1000] + [r["text"][:400] for r in docs.orderBy("doc_id").limit(12).collect()] + ["hello world again \ue000 ▁", "x" * 120, "hello hello hello"]
+    model = sentencepiece_bpe.DropoutBpe(PIECES, 5, rate)
+    for limit in (10**6, 20):  # the second forgets between texts
+        monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", limit)
+        for own in (texts, [[t] for t in texts]):
+            keys = iter(range(len(texts)))
+            for part in [own] if isinstance(own[0], str) else own:
+                ks = np.array([next(keys) for _ in part], np.uint64)
+                ids, counts = model.encode(part, ks)
+                want = [plain_pieces(model, t, 5, int(k), rate) for t, k in zip(part, ks.tolist(), strict=True)]
+                assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_a_word_has_many_segmentations():
+    model = sentencepiece_bpe.DropoutBpe(PIECES, 1, 0.1)
+    ids, counts = model.encode(["international"] * 400, np.arange(400, dtype=np.uint64))
+    assert len({tuple(x.tolist()) for x in np.split(ids, np.cumsum(counts)[:-1])}) > 25
+    again, _ = model.encode([" ".join(["international"] * 400)], np.zeros(1, np.uint64))
+    assert len(set(again.tolist())) > 20  # within one text too
+
+
 # -- duplicates
 
 
