@@ -59,9 +59,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.apply(1, first)
     rollup.apply(2, token_rollup.deletes(words.where("lang = 'en'")))
     lower = docs.where("source = 'src0'").withColumn("text", F.lower("text"))
-    # two signed parts, an old count and a new one, make a revision without a join
-    before = token_rollup.deletes(pieces.where("source = 'src0'"))
-    rollup.apply(3, before.unionByName(token_rollup.inserts(token_rollup.token_counts(lower, tokenizer(), "byte_bpe_50k"))))
+    rollup.apply(3, token_rollup.revisions(pieces.where("source = 'src0'"), token_rollup.token_counts(lower, tokenizer(), "byte_bpe_50k")))
     return rollup.totals()
 
 

@@ -141,23 +141,54 @@ def test_rollup(spark, odd, tmp_path):
         want[s][0] += 1
         want[s][1] += len(ids_of(t, 0)) - 1
     assert {r["source"]: [r["n_docs"], r["n_tokens"]] for r in rollup.totals().collect()} == dict(want)
-    rollup.apply(2, token_rollup.revisions(counts.where("source = 'a'").withColumn("old_tokens", F.col("n_tokens") - 1)))
+    old = counts.where("source = 'a'")
+    rollup.apply(2, token_rollup.revisions(old, old.withColumn("n_tokens", F.col("n_tokens") + 1)))
     rollup.apply(3, token_rollup.deletes(counts.where("source = 'b'")))
-    (tmp_path / "r" / "batch=000000000004").mkdir()  # an attempt that ended early
     got = {r["source"]: [r["n_docs"], r["n_tokens"]] for r in rollup.totals().collect()}
     assert "b" not in got and got["a"] == [want["a"][0], want["a"][1] + want["a"][0]] and rollup.batches() == [1, 2, 3]
-    assert rollup.apply(4, token_rollup.inserts(token_rollup.word_counts(odd))) and rollup.batches() == [1, 2, 3, 4]
+    assert rollup.apply(7, token_rollup.inserts(token_rollup.word_counts(odd))) and rollup.batches() == [1, 2, 3, 7]
+    before = sorted(map(str, rollup.totals().collect()))
+    assert rollup.apply(5, token_rollup.inserts(counts.limit(0))) and rollup.batches() == [1, 2, 3, 5, 7]
+    assert sorted(map(str, rollup.totals().collect())) == before
+    assert token_rollup.token_counts(odd.limit(0), BPE, "v").count() == token_rollup.word_counts(odd.limit(0)).count() == 0
+
+
+def test_rollup_of_two_writers(spark, tmp_path, monkeypatch):
+    """Both start from one version; the second adds to what the first has published, and the same batch counts once."""
+    rollup, other = (token_rollup.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    changes = spark.createDataFrame([("a", "en", "v", 1, 10)], token_rollup.DELTA)
+    publish, calls = rollup.versions.publish, []
+
+    def late(number, content):
+        if not calls:
+            calls.append(other.apply(2, changes))
+        elif len(calls) == 2:
+            calls.append(other.apply(3, changes))
+        publish(number, content)
+
+    monkeypatch.setattr(rollup.versions, "publish", late)
+    assert rollup.apply(1, changes) and calls == [True]
+    calls.append(None)
+    assert not rollup.apply(3, changes) and calls == [True, None, True]
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 3, 30)] and rollup.batches() == [1, 2, 3]
+    # parts that no version names are gone but for the last two totals
+    assert sum(f.name.startswith(("totals-", "delta-")) for f in (tmp_path / "r").iterdir()) <= 3
 
 
 def test_op6_against_plain_counts(spark, sf):
     rows, count = duckdb.sql(f"SELECT source, lang, text FROM '{sf}/documents.parquet'").fetchall(), bpe.cached_bpe(BPE).tokenizer
-    want = collections.Counter()
+    want = collections.defaultdict(lambda: [0, 0])
+
+    def add(key, n):
+        want[key][0] += 1
+        want[key][1] += n
+
     for s, lang, t in rows:
         text = t.lower() if s == "src0" else t
-        want[s, lang, "byte_bpe_50k"] += len(count.encode(text, add_special_tokens=False).ids)
+        add((s, lang, "byte_bpe_50k"), len(count.encode(text, add_special_tokens=False).ids))
         if lang != "en":
-            want[s, lang, "words"] += len(re.findall(r"[^\x20\x09-\x0D]+", t))
-    assert {(r["source"], r["lang"], r["tokenizer"]): r["n_tokens"] for r in queries.op6(spark, sf).collect()} == dict(want)
+            add((s, lang, "words"), len(re.findall(r"[^\x20\x09-\x0D]+", t)))
+    assert {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"]] for r in queries.op6(spark, sf).collect()} == dict(want)
 
 
 def test_pieces(spark, odd):
