@@ -2,9 +2,11 @@
 
 A vector is turned by three rounds of random signs and a fast Hadamard transform; the signed coordinate of greatest
 magnitude is its cross-polytope vertex, and two vertices make a bucket. Each vector lies in its first bucket and in the
-next-best ones (multiprobe), in each of several tables. Two vectors are compared where the first bucket of one is among
-the buckets of the other, in double precision, and each pair counts in the first such bucket only, so no list of pairs is made:
-a bucket gives counts of links and a spanning forest. A bucket over ``block`` vectors is split into pairs of blocks.
+next-best ones (multiprobe), in each of several tables. Equal vectors are one class. Two classes are candidates where the
+first bucket of one is among the buckets of the other; there they meet first with the signs of some rotated coordinates alone, 256
+bits, which rule out what is far from similar. Only what is left meets with its vectors and is compared in double precision,
+and each pair counts in the first bucket it shares only, so no list of pairs is made: a bucket gives counts of links and
+a spanning forest. A bucket over ``block`` classes is split into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -16,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oppsift.llm.segments import mix, spread
-from oppsift.checkpoints import written
+from oppsift.checkpoints import measured, written
+from oppsift.llm.segments import gather, mix, spread
 from oppsift.llm.shared import runs, small_side
-from oppsift.operators.components import connected_components
+from oppsift.operators.components import connected_components, lowest_labels
 
 TABLES, PROBES, ROUNDS, BLOCK = 10, 3, 3, 1024
 
+#: Signs that are kept of a vector, and by how many standard errors of their number two vectors may differ in more of them
+#: than vectors at the threshold do (a chance below one in 10**14).
+SIGNS, ERRORS = 256, 8
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of each row; their length is a power of two."""
@@ -64,72 +70,125 @@ def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.nda
     return out
 
 
-HASHED = pa.schema([("vec_id", pa.int64()), ("bucket", pa.int64()), ("slot", pa.int32()), ("codes", pa.binary()), ("vector", pa.binary())])
-FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
+def signs(x: np.ndarray) -> np.ndarray:
+    """SIGNS bits of each row in longs: the signs of rotated coordinates."""
+    parts, size = [], 0
+    while size < SIGNS:
+        parts.append(rotate(x, 100_003 + len(parts)) > 0)
+        size += parts[-1].shape[1]
+    return np.packbits(np.concatenate(parts, axis=1)[:, :SIGNS], axis=1).view(np.uint64)
+
+
+def most_different(threshold: float) -> float:
+    """In how many signs two vectors at the threshold may differ."""
+    p = float(np.arccos(np.clip(threshold, -1, 1))) / np.pi
+    return SIGNS * p + ERRORS * np.sqrt(SIGNS * p * (1 - p))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], tables: int, probes: int, emit_vectors: bool) -> Iterator[pa.RecordBatch]:
+def _vectors(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """(vec_id, label, embedding) with the embedding as bytes, null if it takes no part."""
     for batch in batches:
-        rows = batch.to_pydict()
-        groups: dict[int, list[int]] = {}
-        for k, (e, label) in enumerate(zip(rows["embedding"], rows["label"], strict=True)):
-            if e and label is not None and rows["vec_id"][k] is not None and None not in e:
-                groups.setdefault(len(e), []).append(k)
-        for size, ks in groups.items():
-            x = np.array([rows["embedding"][k] for k in ks], np.float64)
-            good = np.isfinite(x).all(1) & x.any(1)
-            ks, x = np.array(ks)[good], x[good]
-            if not len(ks):
-                continue
-            scale = np.abs(x).max(1, keepdims=True)
-            codes = buckets(x / scale / np.linalg.norm(x / scale, axis=1, keepdims=True), tables, probes)
-            labels = np.array([rows["label"][k] for k in ks], np.int64).astype(np.uint64)
-            base = mix(labels * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size))
-            n = tables * probes
-            slot = np.tile(np.arange(n, dtype=np.int32), len(ks))
-            key = mix(np.repeat(base, n) + (codes.reshape(-1).astype(np.uint64) * np.uint64(tables) + (slot // probes).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-            ids = np.repeat(np.array([rows["vec_id"][k] for k in ks], np.int64), n)
-            at = np.repeat(np.arange(len(ks)), n)
-            packed = pa.array([c.tobytes() for c in codes], pa.binary()) if emit_vectors else pa.nulls(len(ks), pa.binary())
-            vectors = pa.array([v.tobytes() for v in x], pa.binary()) if emit_vectors else pa.nulls(len(ks), pa.binary())
-            step = 20_000
-            for lo in range(0, len(ids), step):
-                part = at[lo : lo + step]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + step]), pa.array(key[lo : lo + step].view(np.int64)), pa.array(slot[lo : lo + step]), packed.take(pa.array(part)), vectors.take(pa.array(part))], schema=HASHED)
-
-
-def _compare(batches: Iterator[pa.RecordBatch], tables: int, probes: int, least: float) -> Iterator[pa.RecordBatch]:
-    """For each cell: (u, null, links) of its vectors and (u, v, null) that connect what is linked in it."""
+        lists = batch.column(2)
+        n, data = len(lists), lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+
+        def count(some: np.ndarray, offsets: np.ndarray = offsets) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(some)])[offsets])
+
+        size = np.diff(offsets)
+        good = (size > 0) & (count(np.isfinite(data)) == size) & (count(data != 0) > 0) & lists.is_valid().to_numpy(zero_copy_only=False)
+        good &= batch.column(0).is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        width = np.where(good, size, 0)
+        flat = gather(data, offsets[:-1], width).astype(kind).view(np.uint8)
+        each = np.concatenate([[0], np.cumsum(width)]) * np.dtype(kind).itemsize
+        bits = np.packbits(good, bitorder="little").tobytes()
+        binary = pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(bits), pa.py_buffer(each.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary], ["vec_id", "label", "vector"])
+
+
+def _blob(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    width = rows[0].nbytes if len(rows) else 0
+    offsets = (np.arange(len(rows) + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], kind: str, tables: int, probes: int) -> Iterator[pa.RecordBatch]:
+    """(id, label, vector) to (id, signs, codes, buckets)."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 2048):
+            batch = whole.slice(lo, 2048)
+            vectors = batch.column(2).to_pylist()
+            sizes = np.array([len(v) for v in vectors]) // np.dtype(kind).itemsize
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                x = np.frombuffer(b"".join(vectors[k] for k in at.tolist()), kind).reshape(len(at), size).astype(np.float64)
+                x = x / np.abs(x).max(1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                codes, label = buckets(x, tables, probes), batch.column(1).to_numpy()[at].view(np.uint64)
+                base = mix(label * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size))
+                table = np.arange(tables, dtype=np.uint64)[:, None]
+                key = mix(base[:, None, None] + (codes.astype(np.uint64) * np.uint64(tables) + table + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+                offsets = pa.array((np.arange(len(at) + 1) * tables * probes).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(key.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), _blob(signs(x)), _blob(codes), lists], ["id", "signs", "codes", "buckets"])
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Side 0: all pairs of the cell; sides 1 and 2: pairs of one with the other."""
+    if (side != 0).any():
+        return np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    return (np.arange(len(side)),) * 2
+
+
+def _near(batches: Iterator[pa.RecordBatch], probes: int, most: float) -> Iterator[pa.RecordBatch]:
+    """Of each cell (cell, side, slot, id, signs) the rows that some other one may be similar to."""
     for cell in runs(batches, "cell"):
-        if cell.num_rows < 2:
+        first, side = cell["slot"].to_numpy() % probes == 0, cell["side"].to_numpy()
+        if cell.num_rows < 2 or not first.any():
             continue
-        slot = cell["slot"].to_numpy()
-        if not (slot % probes == 0).any():
-            continue
-        ids, side = cell["vec_id"].to_numpy(), cell["side"].to_numpy()
-        x = np.frombuffer(b"".join(cell["vector"].to_pylist()), np.float64).reshape(len(ids), -1)
+        bits = np.frombuffer(b"".join(cell["signs"].to_pylist()), np.uint64).reshape(cell.num_rows, -1)
+        left, right = _sides(side)
+        near = np.zeros(cell.num_rows, np.bool_)
+        for lo in range(0, len(left), 128):
+            part = left[lo : lo + 128]
+            different = np.zeros((len(part), len(right)), np.int64)
+            for k in range(bits.shape[1]):
+                different += np.bitwise_count(bits[part, k][:, None] ^ bits[right, k])
+            pairs = (different <= most) & (first[part][:, None] | first[right]) & (part[:, None] != right)
+            near[part] |= pairs.any(1)
+            near[right] |= pairs.any(0)
+        if near.any():
+            yield cell.drop_columns(["signs"]).filter(pa.array(near)).combine_chunks().to_batches()[0]
+
+
+FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], kind: str, tables: int, probes: int, least: float) -> Iterator[pa.RecordBatch]:
+    """For each cell: (u, null, links) of its classes and (u, v, null) that connect what is linked in it."""
+    for cell in runs(batches, "cell"):
+        slot, ids, weight = (cell[c].to_numpy() for c in ("slot", "id", "n"))
+        x = np.frombuffer(b"".join(cell["vector"].to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
         codes = np.frombuffer(b"".join(cell["codes"].to_pylist()), np.int32).reshape(len(ids), tables, probes)
         first, table = slot % probes == 0, int(slot[0]) // probes
         x = x / np.abs(x).max(1, keepdims=True)
         length = np.sqrt((x * x).sum(1))
-        # side 0: all pairs of the cell; sides 1 and 2: pairs of one with the other
-        two = bool((side != 0).any())
-        left, right = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if two else (np.arange(len(ids)),) * 2
+        left, right = _sides(side := cell["side"].to_numpy())
         us, vs = [], []
         for lo in range(0, len(left), 512):
             part = left[lo : lo + 512]
             cosine = (x[part] @ x[right].T) / (length[part][:, None] * length[right])
             i, j = np.nonzero((cosine >= least) & (first[part][:, None] | first[right]))
-            u, v = part[i], right[j]
-            keep = ids[u] != ids[v] if two else ids[u] < ids[v]
-            us.append(u[keep])
-            vs.append(v[keep])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        if not len(u):
-            continue
+            keep = (side[part[i]] != 0) | (part[i] < right[j])
+            us.append(part[i[keep]])
+            vs.append(right[j[keep]])
+        u, v = (np.concatenate([*k, np.empty(0, np.int64)]).astype(np.int64) for k in (us, vs))
         mine = np.ones(len(u), np.bool_)
         for t in range(table):
             mine &= ~((codes[u, t, :1] == codes[v, t]).any(1) | (codes[v, t, :1] == codes[u, t]).any(1))
+        if not len(u):
+            continue
         a, b, here = codes[u, table, 0], codes[v, table, 0], codes[u[0], table, int(slot[u[0]]) % probes]
         lower = np.where((codes[v, table] == a[:, None]).any(1), a, np.iinfo(np.int32).max)
         lower = np.minimum(lower, np.where((codes[u, table] == b[:, None]).any(1), b, np.iinfo(np.int32).max))
@@ -137,57 +196,65 @@ def _compare(batches: Iterator[pa.RecordBatch], tables: int, probes: int, least:
         u, v = u[mine], v[mine]
         if not len(u):
             continue
-        some, n = np.unique(ids[np.concatenate([u, v])], return_counts=True)
-        root = np.arange(len(ids))
-        while True:
-            low = root.copy()
-            np.minimum.at(low, u, root[v])
-            np.minimum.at(low, v, root[u])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
+        links = np.bincount(u, weight[v], len(ids)) + np.bincount(v, weight[u], len(ids))
+        some, root = np.flatnonzero(links), lowest_labels(len(ids), u, v)
         tied = np.flatnonzero(root != np.arange(len(ids)))
+        none = [None] * len(some)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([some, ids[tied]])), pa.array([None] * len(some) + ids[root[tied]].tolist(), pa.int64()), pa.array(n.tolist() + [None] * len(tied), pa.int64())], schema=FOUND
+            [pa.array(np.concatenate([ids[some], ids[tied]])), pa.array([*none, *ids[root[tied]].tolist()], pa.int64()), pa.array([*links[some].astype(np.int64).tolist(), *[None] * len(tied)], pa.int64())], schema=FOUND
         )
 
 
-def embedding_links(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """(u, v, n): rows with n are parts of u's number of links; rows with v join two vectors of one component.
+def _in_cells(df: DataFrame) -> DataFrame:
+    return df.repartition("cell").sortWithinPartitions("cell")
+
+
+def embedding_links(classes: DataFrame, kind: str, threshold: float = 0.93, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """(u, v, n): rows with n are parts of u's number of linked vectors; rows with v join two classes of one component.
 
-    ``vectors`` has vec_id, label and embedding; only vectors of one label and length are compared. Null ids, null labels,
-    null, empty or zero vectors and those with null or non-finite components are left out.
+    ``classes`` has id, label (long), vector (bytes of ``kind``) and n, how many vectors are equal to it; only those of one
+    label and length are compared.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.where("label is not null").withColumn("label", F.xxhash64(F.col("label").cast("string")))
-    shape = "vec_id long, bucket long, slot int, codes binary, vector binary"
-    hashed = rows.mapInArrow(lambda b: _hashed(b, tables, probes, True), shape)
-    large = rows.mapInArrow(lambda b: _hashed(b, tables, probes, False), shape).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    large = written(large, "buckets")
+    hashed = written(classes.select("id", "label", "vector").mapInArrow(lambda b: _hashed(b, kind, tables, probes), "id long, signs binary, codes binary, buckets array<long>"), "hashed")
+    flat = hashed.select("id", "signs", F.posexplode("buckets").alias("slot", "bucket"))
+    sizes = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("slot") % probes == 0).alias("firsts")).where("n > 1 and firsts > 0").select("bucket", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int")
-    cells = hashed.join(small_side(large), "bucket", "left").withColumn("blocks", F.coalesce(blocks, F.lit(1)))
-    # a vector of block i meets block j in the cell (min, max); in the cell (i, i) its own block
-    cells = cells.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(
-        "vec_id", "slot", "codes", "vector", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))).alias("cell"),
-    )
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _compare(b, tables, probes, threshold), "u long, v long, n long")
+    # a class of block i meets block j in the cell (min, max); in the cell (i, i) its own block
+    cells = flat.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    cells = cells.select("id", "signs", "slot", side.alias("side"), F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+    most = most_different(threshold)
+    near = written(_in_cells(cells).select("cell", "side", "slot", "id", "signs").mapInArrow(lambda b: _near(b, probes, most), "cell long, side int, slot int, id long"), "near")
+    full = near.join(classes.select("id", "vector", "n"), "id").join(hashed.select("id", "codes"), "id")
+    return _in_cells(full).mapInArrow(lambda b: _compare(b, kind, tables, probes, threshold), "u long, v long, n long")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
+    """One row for each row of ``vectors`` (vec_id, label, embedding): vec_id, n_links, component_id, kept.
 
     A pair is linked if its cosine is ``threshold`` or more and some table brings it together (see ``embedding_links``);
-    component_id is the smallest vec_id that links reach. Vectors that take no part have no links and stay; a null vec_id
-    has a null component. Rows that repeat a vec_id each count in the links of others and show the sum of their own. An empty table gives an empty result; other
+    component_id is the smallest vec_id that links reach. Null ids, null labels, null, empty or zero vectors and those with
+    null or non-finite components have no links and stay; a null vec_id has a null component. Rows that repeat a vec_id count
+    each as a vector of its own and are judged each by its own embedding. An empty table gives an empty result; other
     columns are ignored.
     """
-    found = written(embedding_links(vectors, threshold, tables, probes, block), "links")
-    counts = found.where("n is not null").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    joined = connected_components(found.where("v is not null"), "u", "v").withColumnRenamed("node", "vec_id")
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(counts, "vec_id", "left").join(joined, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = "<f4" if element == "float" else "<f8"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string"))).alias("label"), F.col("embedding").cast("array<double>" if kind == "<f8" else "array<float>").alias("embedding"))
+    rows = rows.mapInArrow(lambda b: _vectors(b, kind), "vec_id long, label long, vector binary")
+    keys = [F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(k), "label", "vector")).alias(f"key_{k}") for k in range(2)]
+    signed = written(rows.select("vec_id", *keys), "keys")
+    classes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = written(classes.select("*", *keys, F.monotonically_increasing_id().alias("id")), "classes")
+    found = written(embedding_links(classes, kind, threshold, tables, probes, block), "links")
+    counts = found.where("n is not null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("others"))
+    joined = connected_components(found.where("v is not null"), "u", "v").withColumnRenamed("node", "id")
+    groups = classes.select("id", "least", "n", "key_0", "key_1").join(counts, "id", "left").join(joined, "id", "left").where("n > 1 or others is not null")
+    groups = groups.withColumn("component", F.coalesce("component", "id"))
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    groups = groups.join(least, "component").select("key_0", "key_1", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    groups, n = measured(groups, "groups", n=F.count("*"))
+    out = signed.join(small_side(groups, n["n"]), ["key_0", "key_1"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -393,27 +393,65 @@ def vectors(n=260, d=24):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("block", [1024, 30])
-def test_embedding_dedup(spark, block):
+@pytest.mark.parametrize("block,kind", [(1024, "float"), (30, "double")])
+def test_embedding_dedup(spark, block, kind):
     x = vectors()
+    x[100] = x[101] = x[102]  # equal ones
     rows = [(k, v.tolist(), k % 2 if k < 60 else 0) for k, v in enumerate(x)]
-    rows += [(900, None, 0), (901, [0.0] * 24, 0), (902, [1.0, None], 0), (903, [float("nan")] * 24, 0), (904, x[60].tolist(), None), (905, x[60, :8].tolist(), 0), (906, [], 0), (907, x[61].tolist(), 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("clash"))
+    rows += [(900, None, 0), (901, [0.0] * 24, 0), (902, [1.0, None], 0), (903, [float("nan")] * 24, 0), (904, x[60].tolist(), None), (905, x[60, :8].tolist(), 0), (906, [], 0), (907, x[61].tolist(), 1), (None, x[60].tolist(), 0)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").withColumn("kept", F.lit("clash"))
     got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, block=block).collect()}
+    links, root = plain_links(x, np.array([r[2] for r in rows[: len(x)]]))
+    assert [got[k]["n_links"] for k in range(len(x))] == links.tolist()
+    assert [got[k]["component_id"] for k in range(len(x))] == root.tolist()
+    assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(900, 908)) and got[None]["component_id"] is None
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_embedding_dedup_of_repeated_ids(spark):
+    """Rows of one vec_id are judged each by its own embedding; each counts as a vector."""
+    one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.1]
+    rows = [(1, one), (1, two), (2, one), (3, two), (3, two), (4, [0.0, 0.0, 5.0])]
+    df = spark.createDataFrame([(d, v, "l") for d, v in rows], "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_dedup(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
+def plain_links(x, label, least=0.93):
     y = x.astype(np.float64)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    label = np.array([r[2] for r in rows[: len(x)]])
-    linked = (y @ y.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    linked = (y @ y.T >= least) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
     root = np.arange(len(x))
     while True:
         low = np.minimum(root, np.where(linked, root, len(x)).min(1))
         if (low == root).all():
-            break
+            return linked.sum(1), root
         root = low
-    assert [got[k]["n_links"] for k in range(len(x))] == linked.sum(1).tolist()
-    assert [got[k]["component_id"] for k in range(len(x))] == root.tolist()
-    assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(900, 908))
-    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_op2_finds_planted_pairs(spark, sf, tmp_path):
+    """The query over the table with neighbours at cosines of just over and below the threshold: recall, and nothing below."""
+    rows = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    x, rng = np.array([r[1] for r in rows]), np.random.default_rng(8)
+    new, ids = [], []
+    for k in range(0, len(rows), 2):
+        v = x[k] / np.linalg.norm(x[k])
+        o = rng.normal(size=x.shape[1])
+        o -= (o @ v) * v
+        c = (0.931, 0.929, 0.95, 0.99)[k // 2 % 4]
+        new.append(c * v + np.sqrt(1 - c * c) * o / np.linalg.norm(o))
+        ids.append((10**6 + k, k))
+    every = [(r[0], list(map(float, r[1])), r[2]) for r in rows] + [(d, v.tolist(), rows[k][2]) for (d, k), v in zip(ids, new, strict=True)]
+    kind = duckdb.sql(f"SELECT typeof(label), typeof(embedding) FROM '{sf}/embeddings.parquet' LIMIT 1").fetchall()[0]
+    schema = f"vec_id long, embedding array<{'float' if kind[1].startswith('FLOAT') else 'double'}>, label {'string' if kind[0] == 'VARCHAR' else 'long'}"
+    spark.createDataFrame(every, schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/embeddings.parquet").orderBy("vec_id").collect()
+    y, labels = np.array([r["embedding"] for r in stored]), np.array([hash(r["label"]) for r in stored])
+    links, root = plain_links(y, labels)
+    got = {r["vec_id"]: r for r in queries.op2(spark, str(tmp_path)).collect()}
+    n = np.array([got[r["vec_id"]]["n_links"] for r in stored])
+    assert links.sum() > 300 and (n <= links).all() and n.sum() >= 0.999 * links.sum()
+    assert np.mean([got[r["vec_id"]]["component_id"] == stored[k]["vec_id"] for r, k in zip(stored, root.tolist(), strict=True)]) >= 0.999
 
 
 def test_hadamard_rotation_keeps_angles():
