@@ -147,22 +147,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * union).select("u", "v")
 
 
-def common_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """[row, set]: how many items the sets of ``rows`` share with every set."""
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = often > 1
-    column = (np.cumsum(shared) - 1)[at]
-    keep = shared[at]
-    owner, column = owner[keep], column[keep]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out, width = np.zeros((len(rows), len(sets)), np.float32), 4096
-    for lo in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        part = np.zeros((len(sets), width), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        out += part[rows] @ part.T
+def common_counts(sets: list[np.ndarray], rows: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+    """[row, set]: how many items the sets (sorted, as unsigned) of ``rows`` share with every set; about so many items at once."""
+    out, width = np.zeros((len(rows), len(sets)), np.float32), 2048
+    parts = -(-sum(map(len, sets)) // at_once)
+    bounds = np.array([k * (2**64 - 1) // parts for k in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in sets]
+    for k in range(parts):
+        some = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        flat, owner = np.concatenate(some), np.repeat(np.arange(len(some), dtype=np.int32), [len(x) for x in some])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.empty(0, np.bool_)
+        column = np.cumsum(new) - 1
+        shared = np.bincount(column) > 1 if len(flat) else np.empty(0, np.bool_)
+        keep = shared[column]
+        owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+        for lo in range(0, int(shared.sum()), width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            part = np.zeros((len(sets), width), np.float32)
+            part[owner[a:b], column[a:b] - lo] = 1
+            out += part[rows] @ part.T
     return out
 
 
@@ -211,7 +216,7 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     for cell in runs(batches, "cell"):
         ids, mine, side = (cell[c].to_numpy() for c in ("id", "mine", "side"))
         lists = cell["shingles"].combine_chunks()
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         sets = [flat[lo:hi] for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         size = np.diff(offsets)
         names, member, count = np.unique(mine, return_inverse=True, return_counts=True)
@@ -278,6 +283,7 @@ def judged(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limit: int
     pairs, cells = found.where("cell is null").select("u", "v").distinct(), found.where("cell is not null").withColumnRenamed("u", "id").drop("v")
     sets = sets_of(ends(pairs).unionByName(cells.select("id")), "found")
     forest = cells.join(sets, "id").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _linked(b, percent), "u long, v long")
+    forest = written(forest, "forest")  # two Python steps in one task would need two workers at once
     links = labels.where("id != component").select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(_confirmed(pairs, sets, percent)).unionByName(forest)
     joined = connected_components(links, "u", "v").withColumnRenamed("node", "id")
     groups = classes.select(*same, "id", "doc_id", "n").join(joined, "id", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))

@@ -382,8 +382,10 @@ def test_minhash_of_empty_texts_alone(spark):
 def test_common_counts():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, 20)) for _ in range(30)]
-    got = minhash_dedup.common_counts(sets, np.array([3, 7]))
-    assert got.tolist() == [[len(np.intersect1d(sets[i], s)) for s in sets] for i in (3, 7)]
+    sets = [np.sort(segments.mix(s.astype(np.uint64))) for s in [*sets, np.empty(0, np.int64)]]
+    for at_once in (10**6, 50):
+        got = minhash_dedup.common_counts(sets, np.array([3, 7]), at_once)
+        assert got.tolist() == [[len(np.intersect1d(sets[i], s)) for s in sets] for i in (3, 7)]
 
 
 def vectors(n=260, d=24):
