@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from oppsift.llm.segments import SLICE, HashIndex, gather, span_hashes, spread
+from oppsift.llm.segments import SLICE, HashIndex, code_values, gather, span_hashes
 from oppsift.llm.shared import only
 
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 4
@@ -21,7 +21,6 @@ LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 4
 #: Longer pre-tokens are encoded each time and not remembered.
 LONG = 48
 
-_VALUES = spread(0x110000, 11)
 
 
 class CachedBpe:
@@ -151,7 +150,7 @@ class CachedBpe:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         starts = self._cut(codes, bounds)
         ends = np.append(starts[1:], len(codes))
-        keys, short = span_hashes(_VALUES[codes], starts, ends), ends - starts <= LONG
+        keys, short = span_hashes(code_values()[codes], starts, ends), ends - starts <= LONG
         entry = self.index.find(keys).astype(np.int64)
         entry[~short] = -1
         new = np.flatnonzero((entry < 0) & short)

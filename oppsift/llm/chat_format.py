@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oppsift.llm.shared import arrow
+
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[TEXT]", "[/ROLE]")
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -155,7 +157,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     columns.append(F.col("text") if "text" in turns.columns else F.lit(None).cast("string").alias("text"))
     columns.append(F.col("parts") if "parts" in turns.columns else F.lit(None).cast("array<struct<type: string, text: string, ref: string>>").alias("parts"))
     rows = turns.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_format, FORMATTED)
+    return rows.transform(arrow, _format, FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -198,4 +200,4 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     """What the output of ``format_conversations`` says when read back: of each conversation its number of turns, the
     sha256 of role, line feed, text, line feed of all turns, the length and sha256 of what lies under the loss mask,
     unescaped, and the length of the formatted text. ``formatted`` must be that output as it is, in its order."""
-    return formatted.select("conv_id", "formatted", "start", "loss_start", "loss_end").mapInArrow(_digest, DIGEST)
+    return formatted.select("conv_id", "formatted", "start", "loss_start", "loss_end").transform(arrow, _digest, DIGEST)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from oppsift.checkpoints import measured, written
 from oppsift.llm.segments import gather, mix, spread
-from oppsift.llm.shared import runs, small_side
+from oppsift.llm.shared import arrow, runs, small_side
 from oppsift.operators.components import connected_components, lowest_labels
 
 TABLES, PROBES, ROUNDS, BLOCK = 10, 3, 3, 1024
@@ -215,7 +215,7 @@ def embedding_links(classes: DataFrame, kind: str, threshold: float = 0.93, tabl
     ``classes`` has id, label (long), vector (bytes of ``kind``) and n, how many vectors are equal to it; only those of one
     label and length are compared.
     """
-    hashed = written(classes.select("id", "label", "vector").mapInArrow(lambda b: _hashed(b, kind, tables, probes), "id long, signs binary, codes binary, buckets array<long>"), "hashed")
+    hashed = written(classes.select("id", "label", "vector").transform(arrow, lambda b: _hashed(b, kind, tables, probes), "id long, signs binary, codes binary, buckets array<long>"), "hashed")
     flat = hashed.select("id", "signs", F.posexplode("buckets").alias("slot", "bucket"))
     sizes = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("slot") % probes == 0).alias("firsts")).where("n > 1 and firsts > 0").select("bucket", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -225,9 +225,9 @@ def embedding_links(classes: DataFrame, kind: str, threshold: float = 0.93, tabl
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     cells = cells.select("id", "signs", "slot", side.alias("side"), F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
     most = most_different(threshold)
-    near = written(_in_cells(cells).select("cell", "side", "slot", "id", "signs").mapInArrow(lambda b: _near(b, probes, most), "cell long, side int, slot int, id long"), "near")
+    near = written(_in_cells(cells).select("cell", "side", "slot", "id", "signs").transform(arrow, lambda b: _near(b, probes, most), "cell long, side int, slot int, id long"), "near")
     full = near.join(classes.select("id", "vector", "n"), "id").join(hashed.select("id", "codes"), "id")
-    return _in_cells(full).mapInArrow(lambda b: _compare(b, kind, tables, probes, threshold), "u long, v long, n long")
+    return _in_cells(full).transform(arrow, lambda b: _compare(b, kind, tables, probes, threshold), "u long, v long, n long")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
@@ -242,7 +242,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     kind = "<f4" if element == "float" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string"))).alias("label"), F.col("embedding").cast("array<double>" if kind == "<f8" else "array<float>").alias("embedding"))
-    rows = rows.mapInArrow(lambda b: _vectors(b, kind), "vec_id long, label long, vector binary")
+    rows = rows.transform(arrow, lambda b: _vectors(b, kind), "vec_id long, label long, vector binary")
     keys = [F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(k), "label", "vector")).alias(f"key_{k}") for k in range(2)]
     signed = written(rows.select("vec_id", *keys), "keys")
     classes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))

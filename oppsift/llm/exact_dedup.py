@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oppsift.checkpoints import measured, written
-from oppsift.llm.shared import SMALL_ROWS, small_side, text_or_empty
+from oppsift.llm.shared import SMALL_ROWS, arrow, small_side, text_or_empty
 
 #: Runs of these become one space: the ASCII white space characters.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -155,7 +155,7 @@ def repeated_fingerprints(fingerprints: DataFrame, parts: int | None = None) ->
     """(fp, n) of the values of the one long column that occur more than once. parts: into how many ranges filters are cut."""
     parts = parts or 4 * int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, min(24, (parts - 1).bit_length()))
-    return fingerprints.mapInArrow(lambda b: _filters(b, bits), "part long, filter binary").groupBy("part").applyInPandas(lambda g: _repeated(g, bits), "fp long, n long")
+    return fingerprints.transform(arrow, lambda b: _filters(b, bits), "part long, filter binary").groupBy("part").applyInPandas(lambda g: _repeated(g, bits), "fp long, n long")
 
 
 def normalised(text: str = "text") -> Column:

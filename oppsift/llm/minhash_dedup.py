@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from oppsift.checkpoints import measured, written
 from oppsift.llm.segments import BYTE_VALUES, mix, span_hashes, spread, text_slices, word_spans
-from oppsift.llm.shared import SMALL_ROWS, runs, small_side, text_or_empty
+from oppsift.llm.shared import SMALL_ROWS, arrow, runs, small_side, text_or_empty
 from oppsift.operators.components import connected_components
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, BITS = 5, 128, 4, 2
@@ -249,7 +249,7 @@ def judged(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limit: int
     """What ``minhash_dedup`` gives, with the xxhash64 of each text as text_hash, which tells rows of one doc_id apart."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     shape = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bits array<long>, bands array<long>"
-    signed = written(texts.mapInArrow(lambda b: _sign(b, words), shape), "signatures")
+    signed = written(texts.transform(arrow, lambda b: _sign(b, words), shape), "signatures")
     same = ["set_a", "set_b", "n_shingles"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same)
     classes = classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.count("*").alias("n"))
@@ -260,7 +260,7 @@ def judged(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limit: int
         """(id, shingles) of some classes, from the text of one row of each."""
         wanted, n = measured(classes.join(ids.distinct(), "id", "left_semi").select("id", "doc_id", "text_hash"), f"wanted-{name}", n=F.count("*"))
         some = texts.join(small_side(wanted, n["n"], limit), ["doc_id", "text_hash"]).select("id", "text")
-        return written(some.mapInArrow(lambda b: _sets(b, words), "id long, shingles array<long>").dropDuplicates(["id"]), f"sets-{name}")
+        return written(some.transform(arrow, lambda b: _sets(b, words), "id long, shingles array<long>").dropDuplicates(["id"]), f"sets-{name}")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("u", "v")).alias("id"))
@@ -279,10 +279,10 @@ def judged(docs: DataFrame, percent: int = 75, words: int = SHINGLE, limit: int
     mixed = marked.groupBy("band").agg(F.min("mine").alias("low"), F.max("mine").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all")).where("low != high")
     # bands of the same classes need one look
     mixed = mixed.groupBy("n", "all").agg(F.min("band").alias("band")).select("band", "n")
-    found = written(_cells(marked.join(mixed, "band").join(bits, "id")).mapInArrow(lambda b: _likely(b, percent / 100 - ESTIMATE_MARGIN), "u long, v long, cell long, side int, mine long"), "found")
+    found = written(_cells(marked.join(mixed, "band").join(bits, "id")).transform(arrow, lambda b: _likely(b, percent / 100 - ESTIMATE_MARGIN), "u long, v long, cell long, side int, mine long"), "found")
     pairs, cells = found.where("cell is null").select("u", "v").distinct(), found.where("cell is not null").withColumnRenamed("u", "id").drop("v")
     sets = sets_of(ends(pairs).unionByName(cells.select("id")), "found")
-    forest = cells.join(sets, "id").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _linked(b, percent), "u long, v long")
+    forest = cells.join(sets, "id").repartition("cell").sortWithinPartitions("cell").transform(arrow, lambda b: _linked(b, percent), "u long, v long")
     forest = written(forest, "forest")  # two Python steps in one task would need two workers at once
     links = labels.where("id != component").select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(_confirmed(pairs, sets, percent)).unionByName(forest)
     joined = connected_components(links, "u", "v").withColumnRenamed("node", "id")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oppsift.llm.shared import text_or_empty
+from oppsift.llm.shared import arrow, text_or_empty
 from oppsift.llm.token_files import encoded
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -83,4 +83,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
     pieces. Other columns are ignored. sequence_id tells sequences apart and isn't consecutive between partitions.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(lambda b: _pack(b, tokenizer, end_id, length, window), PIECES)
+    return rows.transform(arrow, lambda b: _pack(b, tokenizer, end_id, length, window), PIECES)

@@ -6,6 +6,7 @@ is odd, so powers have inverses) gives the hash of any span from two entries, an
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,16 @@ def spread(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * BASE + np.uint64(seed))
 
 
-#: One pseudo-random number for each byte value or (see code_values) code point.
+#: One pseudo-random number for each byte value.
 BYTE_VALUES = spread(256, 7)
 
 
+@functools.cache
+def code_values() -> np.ndarray:
+    """One for each code point."""
+    return spread(0x110000, 11)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span [start, end) of ``values`` (uint64); equal spans have equal hashes wherever they lie."""
     prefix = np.zeros(len(values) + 1, np.uint64)

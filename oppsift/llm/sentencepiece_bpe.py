@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oppsift.llm.segments import HashIndex, gather, mix, span_hashes, spread
-from oppsift.llm.shared import only, text_or_empty
+from oppsift.llm.segments import HashIndex, code_values, gather, mix, span_hashes, spread
+from oppsift.llm.shared import arrow, only, text_or_empty
 
 RATE = 0.1
 
@@ -33,7 +33,6 @@ REMEMBERED, LONG, STEP = 500_000, 48, 300_000
 #: A lone surrogate, which no text can hold, stands for a U+2581 of the text.
 _BLANK, _ESCAPE = "\u2581", "\ud800"
 _MASK = (1 << 64) - 1
-_VALUES = spread(0x110000, 61)
 #: Of the first, middle and last place of a candidate, and of all three moved on by one.
 _PLACES = [int(x) | 1 for x in spread(3, 67)]
 _ALONG = np.uint64(sum(_PLACES) & _MASK)
@@ -216,7 +215,7 @@ class DropoutBpe:
         def text_of(k: int) -> str:
             return whole[starts[k] : ends[k]]
 
-        key, short = span_hashes(_VALUES[codes], starts, ends), ends - starts <= LONG
+        key, short = span_hashes(code_values()[codes], starts, ends), ends - starts <= LONG
         known = self.index.find(key).astype(np.int64)
         new = np.flatnonzero((known < 0) & short)
         if len(new):
@@ -291,10 +290,10 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = 0, rate: float = RATE
     ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(lambda b: _encode(b, model, seed, rate), "doc_id long, n_pieces long, pieces binary")
+    return rows.transform(arrow, lambda b: _encode(b, model, seed, rate), "doc_id long, n_pieces long, pieces binary")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """encoded (doc_id, n_pieces, pieces) with the text that the pieces spell."""
     rows = encoded.select("doc_id", "n_pieces", "pieces")
-    return rows.mapInArrow(lambda b: _decode(b, model), "doc_id long, n_pieces long, pieces binary, text string")
+    return rows.transform(arrow, lambda b: _decode(b, model), "doc_id long, n_pieces long, pieces binary, text string")

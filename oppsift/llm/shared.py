@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 200_000
 
 
+#: Bytes of a batch that goes to a Python step or comes from it, where the session leaves Spark's default.
+BATCH_BYTES, _KEY = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches of bounded size: by default ten thousand rows make one, whatever they hold up to 64 MB."""
+    conf = df.sparkSession.conf
+    if conf.get(_KEY).lower() in ("67108864b", "64mb", "64m"):
+        conf.set(_KEY, BATCH_BYTES)
+    return df.mapInArrow(step, schema)
+
+
 def small_side(df: DataFrame, rows: int | None = None, limit: int = SMALL_ROWS) -> DataFrame:
     """df, marked for broadcast only if it has at most ``limit`` rows. df should be a written table, as it is counted."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df

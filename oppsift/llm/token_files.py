@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from oppsift.checkpoints import shared_folder
 from oppsift.llm.bpe import cached_bpe
-from oppsift.llm.shared import text_or_empty
+from oppsift.llm.shared import arrow, text_or_empty
 
 #: Documents are encoded so many code points or so at a time.
 STEP = 600_000
@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    made = rows.mapInArrow(lambda b: _write(b, tokenizer, end_id, folder, kind), "part long, name string, nulls long, n_docs long, n_tokens long").collect()
+    made = rows.transform(arrow, lambda b: _write(b, tokenizer, end_id, folder, kind), "part long, name string, nulls long, n_docs long, n_tokens long").collect()
     shards, documents, tokens = [], 0, 0
     for row in sorted(made, key=lambda r: r["part"]):
         shards.append(row.asDict() | {"doc_base": documents, "token_base": tokens})
@@ -133,7 +133,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         manifest = json.loads(f.readall())
     shards = spark.createDataFrame([(s["name"], s["nulls"], s["token_base"]) for s in manifest["shards"]], "name string, nulls long, token_base long")
     kind = manifest["dtype"]
-    return shards.repartition(max(1, len(manifest["shards"]))).mapInArrow(lambda b: _read(b, folder, kind), "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(max(1, len(manifest["shards"]))).transform(arrow, lambda b: _read(b, folder, kind), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oppsift.llm.bpe import cached_bpe
-from oppsift.llm.shared import text_or_empty
+from oppsift.llm.shared import arrow, text_or_empty
 from oppsift.manifests import Manifests, Taken
 
 KEY = ["source", "lang", "tokenizer"]
@@ -39,7 +39,7 @@ def token_counts(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     Repeated rows are counted each; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", text_or_empty().alias("text"))
-    counted = rows.mapInArrow(lambda b: _counted(b, tokenizer), "doc_id long, source string, lang string, n_tokens long")
+    counted = rows.transform(arrow, lambda b: _counted(b, tokenizer), "doc_id long, source string, lang string, n_tokens long")
     return counted.withColumn("tokenizer", F.lit(version))
 
 
