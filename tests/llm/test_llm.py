@@ -8,6 +8,8 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,10 +90,22 @@ def test_texts_of_more_words_than_slots(monkeypatch):
     assert pieces.tolist() == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
 
 
-def test_token_files(spark, odd, tmp_path):
+@pytest.mark.parametrize("shard_ids,local", [(10**6, True), (40, True), (40, False)])
+def test_token_files(spark, odd, tmp_path, monkeypatch, shard_ids, local):
+    """In large and small shards, mapped and read by ranges."""
     folder = f"file://{tmp_path}/t"
-    shards = token_files.write_token_files(odd, BPE, folder, end_id=0)
-    rows = token_files.read_token_files(spark, folder).collect()
+    if not local:
+        monkeypatch.setattr(token_files, "file_system", lambda uri: (pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), uri.removeprefix("file://")))
+        monkeypatch.setattr(token_files, "PART_DOCS", 2)
+    shards = token_files.write_token_files(odd, BPE, folder, end_id=0, shard_ids=shard_ids)
+    assert shard_ids > 40 or len(shards) > 4
+    if local:
+        rows = token_files.read_token_files(spark, folder).collect()
+    else:  # in this process, where the store is another one
+        kind, rows = "<u2", []
+        parts = [s | {"first": k} for s in shards for k in range(0, s["n_docs"], 2)]
+        for batch in token_files._read(iter([pa.RecordBatch.from_pylist(parts)]), folder, kind):
+            rows += batch.to_pylist()
     rows.sort(key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == [None, None] + sorted(d for d, _, _ in ODD if d is not None)
     start = 0
@@ -100,7 +114,8 @@ def test_token_files(spark, odd, tmp_path):
         assert r["start"] == start and bytes(r["ids"]) in texts and r["n_tokens"] * 4 == len(r["ids"])
         start += r["n_tokens"]
     assert sum(s["n_tokens"] for s in shards) == start
-    assert token_files.write_token_files(odd.limit(0), BPE, f"{folder}0") == [] and token_files.read_token_files(spark, f"{folder}0").count() == 0
+    if local:
+        assert token_files.write_token_files(odd.limit(0), BPE, f"{folder}0") == [] and token_files.read_token_files(spark, f"{folder}0").count() == 0
 
 
 def test_packing(odd):
