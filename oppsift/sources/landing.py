@@ -23,38 +23,60 @@ LISTS = {"hackernews": "hits", "youtube": "entries"}
 IDS = {"github": "fullName", "hackernews": "objectID"}
 
 
-def _bronze(rows: DataFrame, source: str) -> DataFrame:
-    """Lines (value, path) of one source as bronze rows; a line that is no JSON has a null raw."""
-    raw = F.try_parse_json("value")
-    query = F.coalesce(F.try_variant_get(raw, "$._collector_query", "string"), F.regexp_extract("path", r"query=([^/]*)", 1))
-    rows = rows.select(raw.alias("raw"), query.alias("query"), F.col("path"))
-    if source in LISTS:
-        posts = F.try_variant_get("raw", f"$.{LISTS[source]}", "array<variant>")
-        listed = rows.where(posts.isNotNull()).select("query", "path", F.posexplode(posts).alias("at", "raw"))
-        rows = listed.select("query", "path", "at", "raw").unionByName(rows.where(posts.isNull()).select("query", "path", F.lit(0).alias("at"), "raw"))
-    else:
-        rows = rows.withColumn("at", F.lit(0))
+def _numbered(rows: DataFrame, source: str) -> DataFrame:
     # monotonically_increasing_id follows files and lines, which is the order of reading
     return rows.select(F.lit(source).alias("source"), "query", F.monotonically_increasing_id().alias("pos"), "raw")
 
 
+def posts(lines: DataFrame, source: str) -> DataFrame:
+    """Lines (value, path) of one source as bronze rows: source, query, pos, raw. A line that is no JSON has a null raw.
+
+    Posts are in the order in which the collector landed them; the searches give the newest first.
+    """
+    raw = F.try_parse_json("value")
+    query = F.coalesce(F.try_variant_get(raw, "$._collector_query", "string"), F.nullif(F.regexp_extract("path", r"query=([^/]*)", 1), F.lit("")), F.lit("") if source in LISTS else F.col("path"))
+    rows = lines.select(raw.alias("raw"), query.alias("query"))
+    if source in LISTS:
+        listed = F.try_variant_get("raw", f"$.{LISTS[source]}", "array<variant>")
+        one = F.array("raw")
+        rows = rows.select("query", F.explode(F.coalesce(listed, one)).alias("raw"))
+    return _numbered(rows, source)
+
+
 def read_json(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Landed JSON lines of a source; lines that are broken stay, with a null raw, for the quarantine."""
-    return _bronze(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path")), source)
+    return posts(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path")), source)
 
 
-FEED_ITEM = "guid string, id string, title string, link string, author string, creator string, description string, summary string, pubDate string, updated string"
+#: An item of an RSS feed or an entry of an Atom feed. A link is a text there and has an address here, and an author a name.
+FEED_ITEM = (
+    "STRUCT<guid: STRING, id: STRING, title: STRING, link: ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING>>, author: STRUCT<_VALUE: STRING, name: STRING>, creator: STRING, "
+    "description: STRING, summary: STRING, content: STRING, pubDate: STRING, published: STRING, updated: STRING>"
+)
+FEED = f"channel STRUCT<item: ARRAY<{FEED_ITEM}>>, item ARRAY<{FEED_ITEM}>, entry ARRAY<{FEED_ITEM}>"
 
 
-def read_feed(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
-    """An RSS ("item") or Atom ("entry") feed; limits count by feed, its file."""
-    items = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(FEED_ITEM).load(path).select("*", F.col("_metadata.file_path").alias("feed"))
-    moment = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.col("updated").try_cast("timestamp"))
+def feed_posts(files: DataFrame) -> DataFrame:
+    """Whole feeds (value, path), RSS or Atom, as bronze rows; limits count by feed, its file. A feed that is no XML is a row with
+    a null raw, for the quarantine, and harms no other."""
+    feed = F.from_xml(F.col("value"), FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    items = F.coalesce("feed.channel.item", "feed.item", "feed.entry")
+    rows = files.select("path", feed.alias("feed")).select("path", F.explode_outer(items).alias("i"))
+    when = F.coalesce("i.pubDate", "i.published", "i.updated")
+    moment = F.coalesce(F.try_to_timestamp(F.regexp_replace(when, r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_replace(when, r"^\w{3},\s*|GMT$", ""), F.lit("d MMM yyyy HH:mm:ss ")), when.try_cast("timestamp"))
     parts = F.when(moment.isNotNull(), F.array(*(f(moment) for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute, F.second))))
+    plain = F.get(F.filter(F.col("i.link"), lambda x: x["_href"].isNull() | F.coalesce(x["_rel"], F.lit("alternate")).isin("alternate")), F.lit(0))
+    link = F.coalesce(plain["_href"], plain["_VALUE"], F.get("i.link", F.lit(0))["_href"])
     post = F.struct(
-        F.coalesce("guid", "id").alias("id"), "title", "link", F.coalesce("author", "creator").alias("author"), F.coalesce("description", "summary").alias("summary"), parts.alias("published_parsed"), F.col("feed").alias("_collector_query")
+        F.coalesce("i.guid", "i.id").alias("id"), "i.title", link.alias("link"), F.coalesce("i.author.name", "i.author._VALUE", "i.creator").alias("author"), F.coalesce("i.description", "i.summary", "i.content").alias("summary"),
+        parts.alias("published_parsed"), F.col("path").alias("_collector_query"),
     )
-    return items.select(F.lit("rss").alias("source"), F.col("feed").alias("query"), F.monotonically_increasing_id().alias("pos"), F.parse_json(F.to_json(post)).alias("raw"))
+    return _numbered(rows.select(F.col("path").alias("query"), F.when(F.col("i").isNotNull(), F.parse_json(F.to_json(post))).alias("raw")), "rss")
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The RSS and Atom feeds of a folder, a file each."""
+    return feed_posts(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
 
 
 #: How each source is read; a new source is put in here and in ``normalize.SOURCES``.

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from oppsift.manifests import Taken
+from oppsift.operators import normalize as N
 from oppsift.operators import state as ST
+from oppsift.operators import verify as V
 from oppsift.plans.cycle import Engine
 from oppsift.sources import landing
 from oppsift.streaming import loop
@@ -40,6 +43,27 @@ def test_readers(spark, tmp_path):
     assert sorted(json.loads(r[0])["title"] for r in feed.select(F.to_json("raw")).collect()) == ["One", "Two"]
 
 
+ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>
+<entry><id>urn:1</id><title type="html">Atom one</title><link rel="self" href="https://f/self"/><link href="https://f/a1"/><author><name>Ann</name></author><updated>2024-01-02T03:04:05Z</updated><summary type="html">&lt;b&gt;Grant&lt;/b&gt;</summary></entry>
+<entry><id>urn:2</id><title>Atom two</title><link rel="alternate" href="https://f/a2"/></entry></feed>"""
+RSS = """<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title><item><guid isPermaLink="false">g1</guid><title>Rss one</title><link>https://f/r1</link><dc:creator>Bob</dc:creator>
+<pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item></channel></rss>"""
+
+
+def test_feeds(spark, tmp_path):
+    """RSS and Atom through the registry; a feed that is broken harms no other and goes to quarantine."""
+    (tmp_path / "rss").mkdir()
+    for name, text in (("a.xml", ATOM), ("b.xml", RSS), ("c.xml", "<rss><channel><item><title>cut of")):
+        (tmp_path / "rss" / name).write_text(text)
+    rows = landing.read_landed(spark, str(tmp_path))
+    assert rows.where("raw is null").count() == 1
+    got = {r["title"]: r for r in N.normalize(N.raw_dedup(rows), F.lit(T0)).collect()}
+    assert {t: (r["source_id"], r["url"], r["author"], r["published_at"]) for t, r in got.items()} == {
+        "Atom one": ("urn:1", "https://f/a1", "Ann", "2024-01-02T03:04:05+00:00"), "Atom two": ("urn:2", "https://f/a2", "", None), "Rss one": ("g1", "https://f/r1", "Bob", "2024-01-02T03:04:05+00:00"),
+    }
+    assert got["Atom one"]["text"] == "Grant"
+
+
 def test_settings(spark, tmp_path):
     (tmp_path / "env").write_text("# note\nA=1\n\nB = x=y\nA=2\njunk\n")
     assert {r["key"]: r["value"] for r in landing.read_settings(spark, str(tmp_path / "env")).collect()} == {"A": "2", "B": "x=y"}
@@ -102,6 +126,81 @@ def test_streaming(spark, tmp_path):
     assert engine.store.table("signals").count() == 3
 
 
+def test_streaming_of_lists_and_feeds(spark, tmp_path):
+    """Posts within lists, feeds and limits are read from a stream as from a folder."""
+    land(tmp_path / "in", "hackernews", "a.json", [{"hits": [{"objectID": str(k), "title": f"Story number {k} of its own"} for k in range(60)], "_collector_query": "q"}])
+    land(tmp_path / "in", "youtube", "a.json", [{"entries": [{"id": "v1", "title": "Film one"}, {"id": "v2", "title": "Another film"}]}])
+    (tmp_path / "in" / "rss").mkdir()
+    (tmp_path / "in" / "rss" / "a.xml").write_text(ATOM)
+    seen = []
+    query = loop.stream_landed(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda b, n: seen.extend(loop.bronze_of(b).select("source", F.to_json("raw").alias("raw")).collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    batch = landing.read_landed(spark, str(tmp_path / "in")).select("source", F.to_json("raw").alias("raw")).collect()
+    names = lambda rows: sorted((r["source"], json.loads(r["raw"])["title"]) for r in rows)
+    assert names(seen) == names(batch) and [sum(r["source"] == s for r in seen) for s in ("hackernews", "youtube", "rss")] == [50, 2, 2]
+
+
+def test_a_run_that_is_repeated(spark, tmp_path):
+    """It takes the place of its first attempt: no snapshot, signal or opportunity twice, and new ones are new again."""
+    land(tmp_path / "in", "twitter", "a.json", tweets(2))
+    engine = Engine(spark, str(tmp_path / "store"), str(tmp_path / "in"))
+    tables = {}
+    for attempt in range(2):
+        done = engine.run(T0, "r1", threshold=0.05)
+        assert done.scores.where("is_new").count() == 1
+        tables[attempt] = {t: sorted(map(str, engine.store.table(t).collect())) for t in ("opportunities", "signals", "snapshots")}
+    assert tables[0] == tables[1] and len(tables[0]["snapshots"]) == 1
+
+
+def test_two_writers(spark, tmp_path):
+    """What is added while a run goes on is kept; of two runs that replace a table from one version the second fails whole."""
+    a, b = (ST.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    rows = spark.createDataFrame([("o", T0, T0, "t", "u", [], "r")], ST.SCHEMAS["opportunities"])
+    base = a.version()
+    b.record_decision("o", "ignore", 0.4, T0)
+    a.publish({"opportunities": ("replace", rows)}, "r1", base)
+    assert a.table("decisions").count() == 1 and b.table("opportunities").count() == 1
+    with pytest.raises(ST.Busy):
+        b.publish({"opportunities": ("replace", rows.limit(0)), "signals": ("append", b.table("signals"))}, "r2", base)
+    assert a.table("opportunities").count() == 1 and a.version()["signals"] == []
+    number, version = a.versions.latest()
+    with pytest.raises(Taken):
+        a.versions.publish(number, version)
+    engine = Engine(spark, str(tmp_path / "s"), str(tmp_path / "none"))
+    with engine.lock, pytest.raises(ST.Busy):
+        engine.run(T0, "r3")
+
+
+def test_parts_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "PARTS", 3)
+    store = ST.Store(spark, str(tmp_path / "s"))
+    for k in range(7):
+        store.record_decision(f"o{k}", "ignore", 0.4, T0)
+    assert store.table("decisions").count() == 7 and len(store.version()["decisions"]) <= 4
+
+
+def test_verifications_are_remembered(spark, tmp_path):
+    """A page is read once; a protected one is told to the channels; cards and details have what was found."""
+    text = f"{GOOD} hackathon with prizes https://hack.example.org"
+    land(tmp_path / "in", "twitter", "a.json", [t | {"text": f"{text} {k}", "likes": 5000} for k, t in enumerate(tweets(2))])
+    told = []
+    engine = Engine(spark, str(tmp_path / "store"), str(tmp_path / "in"), [lambda title, body: told.append((title, body))])
+    engine.run(T0, "r1", threshold=0.05)
+    top = engine.top().where("tier = 'do_now'").first()
+    assert top is not None
+    pages = spark.createDataFrame([("https://hack.example.org", "Deadline: 12 October 2026, $10,000 in prizes. " + "x" * 3000)], "url string, page_text string")
+    row = engine.verified(pages).first()
+    assert row["note"] == V.VERIFIED and "12 October 2026" in row["deadline_text"]
+    assert engine.verified(pages.limit(0)).first()["note"] == V.VERIFIED
+    assert "12 October 2026" in engine.detail(top["opportunity_id"]) and "Détecté depuis : 2024-01-01" in engine.detail(top["opportunity_id"])
+    assert "12 October 2026" in engine.summary()
+    other = Engine(spark, str(tmp_path / "store2"), str(tmp_path / "in"), [lambda title, body: told.append((title, body))])
+    other.run(T0, "r1", threshold=0.05)
+    told.clear()
+    assert other.verified(pages.withColumn("page_text", F.lit("Checking your browser"))).first()["blocked"]
+    assert len(told) == 1 and "Vérification bloquée" in told[0][1] and "🔒" in other.detail(other.top().first()["opportunity_id"])
+
+
 def test_windowed_stream(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "events"))
