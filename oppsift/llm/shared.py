@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -23,7 +25,30 @@ def arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     conf = df.sparkSession.conf
     if conf.get(_KEY).lower() in ("67108864b", "64mb", "64m"):
         conf.set(_KEY, BATCH_BYTES)
-    return df.mapInArrow(step, schema)
+    return df.mapInArrow(lambda batches: _lean(step, batches), schema)
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told once to give large blocks back to the system as they are freed; None if it isn't glibc."""
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim") or not hasattr(libc, "mallopt"):
+        return None
+    trim, mapped = -1, -3
+    libc.mallopt(mapped, 2 << 20)
+    libc.mallopt(trim, 8 << 20)
+    return libc
+
+
+def _lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What step gives; a worker that waits for its next task afterwards holds no memory that it does not use."""
+    libc = _libc()
+    try:
+        yield from step(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if libc:
+            libc.malloc_trim(0)
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = SMALL_ROWS) -> DataFrame:
