@@ -201,3 +201,16 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     sha256 of role, line feed, text, line feed of all turns, the length and sha256 of what lies under the loss mask,
     unescaped, and the length of the formatted text. ``formatted`` must be that output as it is, in its order."""
     return formatted.select("conv_id", "formatted", "start", "loss_start", "loss_end").transform(arrow, _digest, DIGEST)
+
+
+def oracle_sql() -> str:
+    """The digests of the conversations table and of conversation -1 by SQL. An escape adds one character to each control string."""
+    marks = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in MARKS.items())
+    escapes = _ESCAPES.pattern.replace("'", "''")
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(turn, role)),
+m AS (SELECT *, length(text) + len(regexp_extract_all(text, '{escapes}')) + CASE role {marks} ELSE {sum(map(len, OTHER))} + length(role) + len(regexp_extract_all(role, '{escapes}')) END AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""

@@ -108,5 +108,25 @@ FROM t WINDOW w AS (PARTITION BY norm)
 """
 
 
+#: No two vectors of a label are left out: all pairs, with the links' components.
+ORACLE_SQL["op2_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93::DOUBLE),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept FROM embeddings
+LEFT JOIN (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u) USING (vec_id) LEFT JOIN (SELECT u AS vec_id, min(v) AS low FROM reach GROUP BY u) USING (vec_id)
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE_SQL["op8_minhash_dedup"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM s LEFT JOIN (SELECT u AS doc_id, min(v) AS low FROM reach GROUP BY u) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL | {"op9_url_filter": url_filter.oracle_sql()}
+    return ORACLE_SQL | {"op4_chat_format": chat_format.oracle_sql(), "op9_url_filter": url_filter.oracle_sql()}
