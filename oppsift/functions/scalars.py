@@ -90,12 +90,14 @@ def filled(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(v.cast("string"), F.lit("")) for v in values))
 
 
-def natural_key(row: dict[str, Column]) -> Column:
-    """The first filled of id, fullName, objectID, guid, link and url, else a fingerprint of all fields by name."""
-    have = [row[k] for k in ("id", "fullName", "objectID", "guid", "link", "url") if k in row]
-    fields = F.struct(*(row[k].cast("string").alias(k) for k in sorted(row)))
-    return filled(*have, F.sha1(F.to_json(fields, {"ignoreNullFields": "false"})))
-
-
 def content_hash(canonical_url: Column, normalised: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(canonical_url, F.lit("")), F.lit("|"), normalised), 256)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimals, halves up, by its binary value: Spark's own rounds the decimal digits that a double is written with,
+    and so lifts a double just below a half, such as 0.01275, to the next number."""
+    scale = 10.0**digits
+    scaled = x * scale
+    low = F.floor(scaled).cast("double")
+    return (low + F.when(scaled - low >= 0.5, 1.0).otherwise(0.0)) / scale

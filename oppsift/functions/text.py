@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -29,8 +30,13 @@ def _resolved(text: str | None) -> str | None:
 
 @F.arrow_udf(StringType())
 def unescaped(text: pa.Array) -> pa.Array:
-    """HTML entities resolved, then NFKC; Spark has neither (and Arrow's own NFKC leaves characters taken apart)."""
-    return pa.array([_resolved(t) for t in text.to_pylist()], pa.string())
+    """HTML entities resolved, then NFKC; Spark has neither (and Arrow's own NFKC leaves characters taken apart). Texts of
+    ASCII characters without an ampersand, which stay as they are, aren't taken out of their buffers."""
+    plain = pc.and_(pc.string_is_ascii(text), pc.invert(pc.match_substring(text, "&")))
+    if pc.all(plain).as_py() is not False:
+        return text
+    odd = pc.invert(pc.fill_null(plain, True))
+    return pc.replace_with_mask(text, odd, pa.array([_resolved(t) for t in text.filter(odd).to_pylist()], text.type))
 
 
 def squeezed(text: Column) -> Column:
@@ -61,17 +67,27 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def shingles(normalised: Column, k: int = 3) -> Column:
-    """The distinct runs of k words; the whole text if it has fewer; none of an empty one."""
+def _runs(normalised: Column, join: Callable[..., Column], empty: str, k: int) -> Column:
+    """join(...) of each run of k words, distinct; of all words if there are fewer; nothing of none."""
 
     def runs(w: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, k)))
-        short = F.when(F.size(w) > 0, F.array(F.concat_ws(" ", w))).otherwise(F.array().cast("array<string>"))
+        every = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: join(*(F.get(w, i + j) for j in range(k))))
+        short = F.when(F.size(w) > 0, F.array(join(F.array_join(w, " ")))).otherwise(F.array().cast(empty))
         return F.when(F.size(w) >= k, F.array_distinct(every)).otherwise(short)
 
     return bound(words(normalised), runs)
 
 
+def shingles(normalised: Column, k: int = 3) -> Column:
+    """The distinct runs of k words; the whole text if it has fewer; none of an empty one."""
+    return _runs(normalised, lambda *w: F.concat_ws(" ", *w), "array<string>", k)
+
+
+def shingle_ids(normalised: Column, k: int = 3) -> Column:
+    """64-bit hashes in place of the shingles: what sets are compared by."""
+    return _runs(normalised, F.xxhash64, "array<bigint>", k)
+
+
 def entities(text: Column) -> Column:
     """Amounts (without spaces), capitalised phrases of up to three words and over three characters, and hashtags, in lower case, distinct, sorted."""
     text = F.coalesce(text, F.lit(""))

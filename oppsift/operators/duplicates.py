@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oppsift.checkpoints import written
 from oppsift.functions import text as T
-from oppsift.functions.similarity import token_set_ratio_column
+from oppsift.functions.similarity import token_set_bounds, token_set_ratio_column
 
 # The rules of the verdict.
 SAME_JACCARD, WEAK_JACCARD, SHARED_ENTITIES, SAME_FUZZY, LENGTH_RATIO = 0.5, 0.3, 2, 85.0, 0.35
@@ -26,44 +27,52 @@ def first_per_key(signals: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def prepared(signals: DataFrame) -> DataFrame:
-    """What pairs are compared by: key, canonical_url, content_hash, normalized_text, shingles, entities and words."""
+    """What pairs are compared by: key, canonical_url, content_hash, normalized_text, shingles (their hashes), entities and words."""
     body = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("title"), F.lit(""))
     return signals.select(
-        "key", "canonical_url", "content_hash", "normalized_text", T.shingles(F.col("normalized_text")).alias("shingles"), T.entities(body).alias("entities"), F.size(T.words(F.col("normalized_text"))).alias("words")
+        "key", "canonical_url", "content_hash", "normalized_text", T.shingle_ids(F.col("normalized_text")).alias("shingles"), T.entities(body).alias("entities"), F.size(T.words(F.col("normalized_text"))).alias("words")
     )
 
 
 def shingle_pairs(items: DataFrame, threshold: float = CANDIDATE_JACCARD) -> DataFrame:
-    """(a, b, jaccard), a < b, of all pairs of rows of items (key, shingles) with that Jaccard similarity at least.
+    """(a, b, jaccard), a < b, of all pairs of rows of items (key, shingles as hashes) with that Jaccard similarity at least.
 
     Exact: a pair this similar shares one of the rarest shingles of each, so only those are joined, where the lengths
-    allow it. No shingle is left out for being common: rarest first, the common ones are not reached but by texts made of
-    nothing else. Rows with one set of shingles are compared as one class and stand for one another (see ``same_shingles``).
+    allow it, and a pair is looked at only if what it shares of them leaves the similarity possible. No shingle is left
+    out for being common: rarest first, the common ones are not reached but by texts made of nothing else. A shingle
+    of one row alone joins nothing and only takes its place in the order. Rows with one set of shingles are compared as
+    one class and stand for one another (see ``same_shingles``).
     """
-    sets = items.where(F.size("shingles") > 0).select("key", F.transform("shingles", lambda s: F.xxhash64(s)).alias("ids"))
-    flat = sets.select("key", F.size("ids").alias("n"), F.explode("ids").alias("id"))
-    often = flat.groupBy("id").agg(F.count("*").alias("df"))
-    ranked = flat.join(often, "id").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("df", "id")))
-    need = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    # a shingle of one text alone makes no pair but takes its place in the order
-    prefix = ranked.where((F.col("rank") <= need) & (F.col("df") > 1)).select("key", "n", "id")
-    other = prefix.withColumnsRenamed({"key": "b", "n": "m"})
+    sets = written(items.where(F.size("shingles") > 0).select("key", F.col("shingles").alias("ids"), F.size("shingles").alias("n")), "sets")
+    flat = sets.select("key", "n", F.explode("ids").alias("id"))
+    often = flat.groupBy("id").agg(F.count("*").alias("df")).where("df > 1")
+    common = flat.join(often, "id")
+    mine = W.partitionBy("key")
+    ranked = common.withColumn("alone", F.col("n") - F.count("*").over(mine)).withColumn("rank", F.col("alone") + F.row_number().over(mine.orderBy("df", "id")))
+    need = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    prefix = written(ranked.withColumn("need", need).where("rank <= need").select("key", "n", "id", (F.col("n") - F.col("need")).alias("rest")), "prefix")
+    other = prefix.withColumnsRenamed({"key": "b", "n": "m", "rest": "b_rest"})
     fits = (F.col("key") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - 1e-9)
-    pairs = prefix.join(other, "id").where(fits).select(F.col("key").alias("a"), "b").distinct()
-    both = pairs.join(sets.withColumnsRenamed({"key": "a", "ids": "left"}), "a").join(sets.withColumnsRenamed({"key": "b", "ids": "right"}), "b")
+    pairs = prefix.join(other, "id").where(fits).groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("seen"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("rest").alias("rest"), F.max("b_rest").alias("b_rest"))
+    # what both share beyond is in the rest of the row whose prefix ends first
+    possible = F.col("seen") + F.greatest("rest", "b_rest") >= (F.col("n") + F.col("m")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    pairs = pairs.where(possible).select("a", "b")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("ids").alias("left")), "a").join(sets.select(F.col("key").alias("b"), F.col("ids").alias("right")), "b")
     return both.select("a", "b", T.jaccard(F.col("left"), F.col("right")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def same_shingles(items: DataFrame) -> DataFrame:
     """(key, class_key): the smallest key with the same set of shingles; rows without shingles stand alone."""
-    sets = items.withColumn("set_hash", F.when(F.size("shingles") > 0, F.sha2(F.to_json(F.array_sort("shingles")), 256)).otherwise(F.col("key")))
-    classes = sets.groupBy("set_hash").agg(F.min("key").alias("class_key"))
-    return sets.select("key", "set_hash").join(classes, "set_hash").select("key", "class_key")
+    ordered, some = F.sort_array("shingles"), F.size("shingles") > 0
+    sets = written(items.select("key", F.size("shingles").alias("n"), *(F.when(some, F.xxhash64(F.lit(k), ordered)).alias(f"set_{k}") for k in range(2))), "set-hashes")
+    same = ["n", "set_0", "set_1"]
+    classes = sets.where("n > 0").groupBy(*same).agg(F.min("key").alias("class_key"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return sets.join(classes, same, "left").select("key", F.coalesce("class_key", "key").alias("class_key"))
 
 
 def entity_pairs(items: DataFrame, most: int = ENTITY_BUCKET) -> DataFrame:
     """(a, b), a < b, distinct, of rows that share an entity which 2 to ``most`` rows have: a rule of the operator itself."""
-    flat = items.select("key", F.explode("entities").alias("entity"))
+    flat = written(items.select("key", F.explode("entities").alias("entity")), "entities")
     some = flat.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("entity")
     flat = flat.join(some, "entity")
     other = flat.select("entity", F.col("key").alias("b"))
@@ -87,8 +96,8 @@ def evidence(pairs: DataFrame, left: DataFrame, right: DataFrame, all_fuzzy: boo
     """For pairs (a, b) of rows of left and right (as ``prepared``): same_url, same_hash, jaccard, shared, ratio, fuzzy and
     is_duplicate.
 
-    The fuzzy ratio runs in Python, so it is found only for pairs that the rest leaves open and that are alike in length;
-    all_fuzzy finds it for all.
+    The fuzzy ratio runs in Python, so it is found only for pairs that the rest leaves open, that are alike in length, and
+    whose words and lengths let it reach the rule's; all_fuzzy finds it for all.
     """
     names = [c for c in ("canonical_url", "content_hash", "normalized_text", "shingles", "entities", "words")]
     l = left.select(F.col("key").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names))
@@ -98,7 +107,9 @@ def evidence(pairs: DataFrame, left: DataFrame, right: DataFrame, all_fuzzy: boo
         F.coalesce(F.col("a_content_hash") == F.col("b_content_hash"), F.lit(False)).alias("same_hash"), T.jaccard(F.col("a_shingles"), F.col("b_shingles")).alias("jaccard"),
         F.array_sort(F.array_intersect("a_entities", "b_entities")).alias("shared"), length_ratio(F.col("a_words"), F.col("b_words")).alias("ratio"),
     )
-    both = both.withColumn("open", F.lit(True) if all_fuzzy else ~decided() & (F.col("ratio") >= LENGTH_RATIO))
+    open_ = ~decided() & (F.col("ratio") >= LENGTH_RATIO)
+    most = F.when(open_, token_set_bounds(F.col("a_normalized_text"), F.col("b_normalized_text"))[1])
+    both = written(both.withColumn("open", F.lit(True) if all_fuzzy else F.coalesce(most >= SAME_FUZZY, F.lit(False))), "compared")
     # two branches, as a Python function is run for every row it stands beside
     known = both.where("not open").withColumn("fuzzy", F.lit(None).cast("double"))
     asked = both.where("open").withColumn("fuzzy", token_set_ratio_column("a_normalized_text", "b_normalized_text"))

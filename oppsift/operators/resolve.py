@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from oppsift.checkpoints import written
 from oppsift.functions import text as T
-from oppsift.operators.duplicates import evidence, shingle_pairs
+from oppsift.functions.similarity import token_set_bounds
+from oppsift.operators.duplicates import LENGTH_RATIO, SAME_FUZZY, evidence, length_ratio, shingle_pairs
+
+#: If the words that a text shares give a ratio of SAME_FUZZY by themselves, its others have at most this part of its characters:
+#: own <= (1 - f) * (2 * shared + own), so own / (own + shared) <= 2 * (1 - f) / (2 - f + 1 - f) with f = SAME_FUZZY / 100.
+MAY_LACK = 2 * (1 - SAME_FUZZY / 100) / (3 - 2 * SAME_FUZZY / 100)
 
 NAMES = ["key", "canonical_url", "content_hash", "normalized_text", "shingles", "entities", "words"]
 
@@ -19,7 +24,7 @@ def comparable(clusters: DataFrame) -> DataFrame:
     norm = F.coalesce(F.col("rep.normalized_text"), F.lit(""))
     return clusters.select(
         F.col("cluster_id").alias("key"), F.col("rep.canonical_url").alias("canonical_url"), F.lit(None).cast("string").alias("content_hash"), norm.alias("normalized_text"),
-        T.shingles(norm).alias("shingles"), T.entities(body).alias("entities"), F.size(T.words(norm)).alias("words"),
+        T.shingle_ids(norm).alias("shingles"), T.entities(body).alias("entities"), F.size(T.words(norm)).alias("words"),
     )
 
 
@@ -28,22 +33,47 @@ def stored(opportunities: DataFrame) -> DataFrame:
     norm = F.coalesce("representative_text", F.lit(""))
     return opportunities.select(
         F.col("opportunity_id").alias("key"), F.nullif("representative_url", F.lit("")).alias("canonical_url"), F.lit(None).cast("string").alias("content_hash"), norm.alias("normalized_text"),
-        T.shingles(norm).alias("shingles"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.size(T.words(norm)).alias("words"),
+        T.shingle_ids(norm).alias("shingles"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.size(T.words(norm)).alias("words"),
     )
 
 
+def _rare_words(side: DataFrame, often: DataFrame) -> DataFrame:
+    """(key, word): the rarest words of each row, until they are more of its characters than a like text may lack."""
+    flat = side.select("key", F.explode(F.array_distinct(T.words(F.col("normalized_text")))).alias("word"))
+    mine = W.partitionBy("key")
+    flat = flat.join(often, "word").withColumn("before", F.sum(F.length("word")).over(mine.orderBy("df", "word").rowsBetween(W.unboundedPreceding, -1)))
+    return flat.withColumn("all", F.sum(F.length("word")).over(mine)).where(F.coalesce("before", F.lit(0)) <= MAY_LACK * F.col("all")).select("key", "word")
+
+
+def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) of rows that may reach the fuzzy rule by the words they share.
+
+    If the words of one text are all in the other's, or all but so few that the ratio is reached by the common words, the rarest
+    words of one, up to MAY_LACK of its characters and one word more, cannot all be missing in the other. So these meet all words
+    of the other side, both ways round; only pairs whose bounds leave the rule open are kept.
+    """
+    sides = {n: written(s.select("key", "normalized_text", "words"), "words") for n, s in (("a", left), ("b", right))}
+    every = {n: s.select("key", F.explode(F.array_distinct(T.words(F.col("normalized_text")))).alias("word")) for n, s in sides.items()}
+    often = written(every["a"].unionByName(every["b"]).groupBy("word").agg(F.count("*").alias("df")), "often")
+    found = []
+    for n, m in (("a", "b"), ("b", "a")):
+        rare = _rare_words(sides[n], often).withColumnRenamed("key", n)
+        found.append(rare.join(every[m].withColumnRenamed("key", m), "word").select("a", "b"))
+    pairs = found[0].unionByName(found[1]).distinct()
+    both = pairs.join(sides["a"].select(F.col("key").alias("a"), F.col("normalized_text").alias("x"), F.col("words").alias("n")), "a")
+    both = both.join(sides["b"].select(F.col("key").alias("b"), F.col("normalized_text").alias("y"), F.col("words").alias("m")), "b")
+    both = both.where(length_ratio(F.col("n"), F.col("m")) >= LENGTH_RATIO)
+    return both.where(token_set_bounds(F.col("x"), F.col("y"))[1] >= SAME_FUZZY).select("a", "b")
+
+
 def cross_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): rows of left with those of right that share a URL, enough shingles or an entity; keys of both sides differ."""
+    """(a, b): rows of left with those of right that share a URL, enough shingles, two entities, or the words that the fuzzy
+    rule needs; keys of both sides differ. (One shared entity alone decides nothing.)"""
     url = left.where("canonical_url is not null").select(F.col("key").alias("a"), "canonical_url").join(right.select(F.col("key").alias("b"), "canonical_url"), "canonical_url").select("a", "b")
     both = left.select(F.concat(F.lit("n:"), "key").alias("key"), "shingles").unionByName(right.select(F.concat(F.lit("s:"), "key").alias("key"), "shingles"))
-    near = shingle_pairs(both).where("a like 'n:%' and b like 's:%'").select(F.substring("a", 3, 10_000).alias("a"), F.substring("b", 3, 10_000).alias("b"))
-    # an entity that is common on both sides tells little: as within a run, at most 50 rows of a side may have it
-    sides = []
-    for side, name in ((left, "a"), (right, "b")):
-        flat = side.select(F.col("key").alias(name), F.explode("entities").alias("entity"))
-        sides.append(flat.join(flat.groupBy("entity").agg(F.count("*").alias("n")).where("n <= 50").select("entity"), "entity"))
-    shared = sides[0].join(sides[1], "entity").select("a", "b")
-    return url.unionByName(near).unionByName(shared).distinct()
+    plain = [F.expr(f"substring({c}, 3)").alias(c) for c in ("a", "b")]
+    near = shingle_pairs(both).where("a like 'n:%' and b like 's:%'").select(*plain)
+    return url.unionByName(near).unionByName(word_pairs(left, right)).distinct()
 
 
 def new_id(root: str = "cluster_id"):
@@ -62,8 +92,10 @@ def leaders(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     total, before = keys.count(), 0
     for _ in range(rounds):
         n = known.count()
-        if n == total or n == before:
-            break
+        if n == total:
+            return known
+        if n == before:
+            raise RuntimeError("leaders did not settle")
         before = n
         waiting = edges.join(known.select(F.col("key").alias("b")), "b", "left_anti")
         state = waiting.join(known.select(F.col("key").alias("a"), "leader"), "a", "left")
@@ -72,7 +104,7 @@ def leaders(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
         first_open = state.where("leader is null").groupBy("b").agg(F.min("a").alias("first_open"))
         ready = ready.join(first_open, "b", "left").where("not open or first < first_open")
         known = written(known.unionByName(ready.select(F.col("b").alias("key"), F.coalesce("first", "b").alias("leader"))), "leaders")
-    return known
+    raise RuntimeError("leaders did not settle")
 
 
 def resolve(clusters: DataFrame, opportunities: DataFrame, run_id: str) -> DataFrame:

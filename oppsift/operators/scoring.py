@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oppsift.functions import lexicon as L
-from oppsift.functions.scalars import filled, hours_since, squash
+from oppsift.functions.scalars import filled, hours_since, rounded, squash
+from oppsift.operators.ranking import ranked
 
 # Saturation points, weights and thresholds of the scores and tiers.
 ENGAGEMENT_FULL, VELOCITY_FULL, PLATFORMS_FULL, SIGNALS_FULL, RECENT_HOURS = 10_000, 20, 3, 50, 72
@@ -30,7 +31,7 @@ def score(opportunities: DataFrame, as_of: Column) -> DataFrame:
             "effort": L.effort_score(text), "money": L.money_score(text),
         }
     ).withColumns({"relevance": L.relevance_score(F.col("positive"), F.col("negative")), "total_risk": L.risk_total(F.col("risk_reasons"))})
-    s = s.withColumns({"risk": F.round("total_risk", 3), "composite": 0.20 * F.col("e") + 0.25 * F.col("v") + 0.15 * F.col("d") + 0.20 * F.col("c") + 0.20 * F.col("r"), "early": 1 - F.col("c")})
+    s = s.withColumns({"risk": rounded(F.col("total_risk"), 3), "composite": 0.20 * F.col("e") + 0.25 * F.col("v") + 0.15 * F.col("d") + 0.20 * F.col("c") + 0.20 * F.col("r"), "early": 1 - F.col("c")})
     boost = F.when(F.col("trend") == "accelerating", 1.0).when(F.col("trend") == "insufficient_data", 0.5).otherwise(0.15)
     out = {
         "engagement_score": F.col("e"), "velocity_score": F.col("v"), "diversity_score": F.col("d"), "corroboration_score": F.col("c"), "recency_score": F.col("r"), "composite_score": F.col("composite"),
@@ -39,7 +40,7 @@ def score(opportunities: DataFrame, as_of: Column) -> DataFrame:
         "opportunity_score": F.col("composite") * (0.15 + 0.85 * F.col("relevance")) * (1 - 0.6 * F.col("risk")),
     }
     return s.select(
-        "opportunity_id", "cluster_id", "signal_count", "platforms", "total_engagement", "velocity", "trend", *(F.round(c, 3).alias(k) for k, c in out.items()),
+        "opportunity_id", "cluster_id", "signal_count", "platforms", "total_engagement", "velocity", "trend", *(rounded(c, 3).alias(k) for k, c in out.items()),
         (F.col("trend") == "saturating").alias("saturating"), F.concat("positive", "negative").alias("relevance_reasons"), "source_independence", "independence_details",
         F.col("risk").alias("risk_score"), L.risk_level(F.col("total_risk")).alias("risk_level"), "risk_reasons",
         F.substring(F.coalesce(filled(F.col("rep.text"), F.col("rep.title")), F.lit("")), 1, 300).alias("representative_text"),
@@ -49,7 +50,7 @@ def score(opportunities: DataFrame, as_of: Column) -> DataFrame:
 
 def value_score() -> Column:
     """Reward against effort, for ranking; the risk counts here again."""
-    return F.round(F.col("opportunity_score") * (0.5 + 0.5 * F.col("money_score")) * (1 - 0.5 * F.col("effort_score")) * (1 - 0.6 * F.col("risk_score")), 4)
+    return rounded(F.col("opportunity_score") * (0.5 + 0.5 * F.col("money_score")) * (1 - 0.5 * F.col("effort_score")) * (1 - 0.6 * F.col("risk_score")), 4)
 
 
 def decide(scores: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def decide(scores: DataFrame) -> DataFrame:
     positive = F.filter("relevance_reasons", lambda r: ~r.startswith("OFF-TOPIC"))
     none = F.array().cast("array<string>")
     out = scores.withColumns({"selective": selective, "off_topic": off_topic, "good": positive, "value": value_score()})
-    out = out.withColumn("value_score", F.when(F.col("selective"), F.round(F.col("value") * 0.4, 4)).otherwise(F.col("value")))
+    out = out.withColumn("value_score", F.when(F.col("selective"), rounded(F.col("value") * 0.4, 4)).otherwise(F.col("value")))
     now = (F.col("risk_level") == "LOW") & (F.col("value_score") >= DO_NOW_VALUE) & (F.col("relevance_score") >= DO_NOW_RELEVANCE) & (F.size("good") >= DO_NOW_CONCEPTS) & ~F.col("selective")
     tier = F.when(F.col("off_topic") | (F.col("risk_level") == "HIGH") | (F.col("relevance_score") < LEAST_RELEVANCE), "ignore").when(now, "do_now").when(F.col("value_score") >= WATCH_VALUE, "watch").otherwise("ignore")
     concerns = F.concat(
@@ -76,8 +77,7 @@ def undecided(scores: DataFrame, decisions: DataFrame, delta: float = RESURFACE_
 
 
 def actionable(scores: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows to act on or watch, each with its rank by value in its tier."""
-    from pyspark.sql import Window as W
-
+    """The rows to act on or watch, each with its rank by value in its tier. scores should be a written table: they are
+    filtered by what was decided on, and would be found again for each filter."""
     rows = decide(undecided(scores, decisions)).where("tier in ('do_now', 'watch')")
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("value_score"), "cluster_id")))
+    return ranked(rows, ["tier"], [F.desc("value_score"), "cluster_id"])

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oppsift.checkpoints import measured, written
 from oppsift.functions import lexicon as L
-from oppsift.functions.similarity import token_set_ratio_column
+from oppsift.functions.similarity import token_set_bounds, token_set_ratio_column
 from oppsift.functions.text import URL, bound
 from oppsift.functions.urls import is_social, is_web
 
@@ -66,13 +67,19 @@ def verify(scores: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumns({"checked": tagged, "blocked": F.coalesce("blocked", F.lit(False)), "note": note}).drop("links")
 
 
-def project_matches(hints: DataFrame, projects: DataFrame, least: float = LEAST_MATCH) -> DataFrame:
-    """(opportunity_id, name, url, updated_at, match_score), best first: one's own projects (name, description, url,
-    updatedAt) whose name or description is like a hint's words. The list of projects is short and the hints are the few
-    to act on; both meet by shared words, as a score above 0 in sets of words needs one or a near spelling.
+def project_matches(hints: DataFrame, projects: DataFrame, least: float = LEAST_MATCH, block: int = 1000) -> DataFrame:
+    """(opportunity_id, name, url, updated_at, match_score) of one's own projects (name, description, url, updatedAt) whose name or
+    description is like a hint's words.
+
+    The hints, the few opportunities to act on, are compared with all projects, which come in blocks of about ``block``; pairs
+    that cannot reach ``least`` by their words and lengths don't go to Python. A near spelling needs no common word, so
+    no block is left out.
     """
     hint = hints.select("opportunity_id", F.lower(F.substring("representative_text", 1, 80)).alias("hint"))
-    texts = projects.select("name", "url", F.col("updatedAt").alias("updated_at"), F.lower(F.coalesce("name", F.lit(""))).alias("low"), F.lower(F.coalesce("description", F.lit(""))).alias("about"))
-    near = hint.join(texts, F.lit(True))
+    texts, n = measured(projects.select("name", "url", F.col("updatedAt").alias("updated_at"), F.lower(F.coalesce("name", F.lit(""))).alias("low"), F.lower(F.coalesce("description", F.lit(""))).alias("about")), "projects", n=F.count("*"))
+    blocks = max(1, -(-n["n"] // block))
+    near = hint.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(texts.withColumn("block", F.pmod(F.xxhash64("name", "url"), F.lit(blocks)).cast("int")), "block")
+    most = F.greatest(*(token_set_bounds(F.col("hint"), F.col(c))[1] for c in ("low", "about")))
+    near = written(near.where(most >= least), "near")
     scored = near.withColumn("match_score", F.greatest(token_set_ratio_column("hint", "low"), token_set_ratio_column("hint", "about"))).where(F.col("match_score") >= least)
-    return scored.select("opportunity_id", "name", "url", "updated_at", F.round("match_score", 1).alias("match_score")).orderBy("opportunity_id", F.desc("match_score"), "name")
+    return scored.select("opportunity_id", "name", "url", "updated_at", F.round("match_score", 1).alias("match_score"))

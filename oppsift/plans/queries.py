@@ -98,11 +98,16 @@ judged AS (SELECT *, greatest(0, least(1, 0.12::DOUBLE + 0.20::DOUBLE * least(le
   least(1, ln(1 + money_hits) / ln(6)) AS money FROM tagged)"""
 SCORED = f"""{TAGGED},
 parts AS (SELECT *, 'o' || doc_id AS opportunity_id, 'cluster-' || doc_id AS cluster_id, doc_id % 101 AS eng, ln(2) / ln(51) AS c,
-  greatest(0, 1 - (epoch(TIMESTAMP '{AS_OF}') - (epoch(TIMESTAMP '2024-01-01') + doc_id * 60)) / 3600 / 72) AS r, ln(1 + doc_id % 101) / ln(10001) AS e, round(risk_total, 3) AS risk FROM judged),
-raw AS (SELECT *, 0.20::DOUBLE * e + 0.15::DOUBLE * (1 / 3) + 0.20::DOUBLE * c + 0.20::DOUBLE * r AS composite FROM parts),
-scored AS (SELECT opportunity_id, cluster_id, 1::BIGINT AS signal_count, [source] AS platforms, eng::BIGINT AS total_engagement, round(e, 3) AS engagement_score, round(c, 3) AS corroboration_score, round(r, 3) AS recency_score,
+  greatest(0, 1 - (epoch(TIMESTAMP '{AS_OF}') - (epoch(TIMESTAMP '2024-01-01') + doc_id * 60)) / 3600 / 72) AS r, ln(1 + doc_id % 101) / ln(10001) AS e, (doc_id % 30 - 3)::DOUBLE AS velocity,
+  least(1, greatest(0, doc_id % 30 - 3) / 20) AS v, CASE doc_id % 4 WHEN 0 THEN 'accelerating' WHEN 1 THEN 'steady' WHEN 2 THEN 'saturating' ELSE 'insufficient_data' END AS trend,
+  CASE doc_id % 4 WHEN 0 THEN 1::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.15::DOUBLE END AS boost, CASE WHEN doc_id % 5 = 0 THEN 0.2::DOUBLE ELSE 1::DOUBLE END AS independence,
+  doc_id % 5 = 0 AND list_has_any(risk_reasons, {L.COMPOUND_TRIGGERS}) AS compound FROM judged),
+together AS (SELECT * REPLACE (CASE WHEN compound THEN list_append(risk_reasons, '{L.COMPOUND_REASON}') ELSE risk_reasons END AS risk_reasons, CASE WHEN compound THEN least(1, risk_total + 0.25::DOUBLE) ELSE risk_total END AS risk_total) FROM parts),
+raw AS (SELECT *, round(risk_total, 3) AS risk, 0.20::DOUBLE * e + 0.25::DOUBLE * v + 0.15::DOUBLE * (1 / 3) + 0.20::DOUBLE * c + 0.20::DOUBLE * r AS composite FROM together),
+scored AS (SELECT opportunity_id, cluster_id, 1::BIGINT AS signal_count, [source] AS platforms, eng::BIGINT AS total_engagement, velocity, trend, trend = 'saturating' AS saturating, round(e, 3) AS engagement_score, round(v, 3) AS velocity_score,
+  round((1 / 3)::DOUBLE, 3) AS diversity_score, round(v * boost * (1 - c) * relevance, 3) AS before_viral_score, round(c, 3) AS corroboration_score, round(r, 3) AS recency_score,
   round(composite, 3) AS composite_score, round(relevance, 3) AS relevance_score, round(1 - c, 3) AS early_score, round(money, 3) AS money_score, round(effort, 3) AS effort_score,
-  round(0.4::DOUBLE + 0.3::DOUBLE * (1 / 3) + 0.3::DOUBLE * e, 3) AS confidence_score, round(composite * (0.15::DOUBLE + 0.85::DOUBLE * relevance) * (1 - 0.6::DOUBLE * risk), 3) AS opportunity_score,
+  round(0.4::DOUBLE * independence + 0.3::DOUBLE * (1 / 3) + 0.3::DOUBLE * e, 3) AS confidence_score, round(composite * (0.15::DOUBLE + 0.85::DOUBLE * relevance) * (1 - 0.6::DOUBLE * risk), 3) AS opportunity_score,
   list_concat(positive, negative) AS relevance_reasons, positive, negative, risk AS risk_score, CASE WHEN risk_total >= 0.6 THEN 'HIGH' WHEN risk_total >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
   risk_reasons, text[:300] AS representative_text, money_mention FROM raw)"""
 
@@ -169,7 +174,7 @@ def q_jaccard_pairs(spark, d):
 
 @query(f"WITH {SHINGLED} SELECT doc_id, min(doc_id) OVER (PARTITION BY CASE WHEN len(shingles) > 0 THEN list_sort(shingles) ELSE [doc_id::VARCHAR] END) AS class_id FROM shingled")
 def q_shingle_classes(spark, d):
-    return D.same_shingles(_items(spark, d)).select(F.col("key").cast("long").alias("doc_id"), F.col("class_key").cast("long").alias("class_id"))
+    return D.same_shingles(_items(spark, d).select("key", "shingles")).select(F.col("key").cast("long").alias("doc_id"), F.col("class_key").cast("long").alias("class_id"))
 
 
 @query()
@@ -265,10 +270,11 @@ def q_representative(spark, d):
     return _members(spark, d).groupBy(F.col("root").cast("long").alias("root")).agg(C.representative().alias("r")).select("root", F.col("r.key").cast("long").alias("doc_id"))
 
 
-@query(f"WITH {CLEANED} SELECT source, sha256(string_agg(text, ' ' ORDER BY doc_id)) AS digest, count(*) AS n FROM cleaned WHERE length(text) < 400 GROUP BY source")
+@query(f"WITH RECURSIVE {LINKED} SELECT root, sha256(string_agg(c.text, ' ' ORDER BY c.doc_id)) AS digest, count(*) AS n FROM roots r JOIN cleaned c USING (doc_id) GROUP BY root")
 def q_group_text(spark, d):
-    rows = _docs(spark, d).select("doc_id", "source", T.clean_text(F.col("text")).alias("text")).where(F.length("text") < 400)
-    return rows.groupBy("source").agg(F.sha2(F.expr("listagg(text, ' ') within group (order by doc_id)"), 256).alias("digest"), F.count("*").alias("n"))
+    """The whole texts of each cluster, put together in order."""
+    s = C.cluster_summary(written(_members(spark, d), "members"), "root")
+    return s.select(F.col("root").cast("long").alias("root"), F.sha2("combined_text", 256).alias("digest"), F.col("signal_count").alias("n"))
 
 
 # -- keys, casts, dates, URLs ------------------------------------------------------------------------------------------
@@ -306,14 +312,25 @@ c4 AS (SELECT page_id, u, head, regexp_replace(regexp_replace(rest, '([?&])(utm_
 canon AS (SELECT page_id, CASE WHEN u IS NOT NULL THEN concat(head, regexp_replace(replace(rest, '?&', '?'), '[?&]$', '')) END AS canonical_url FROM c4)"""
 
 
+REPEATED_URLS = "SELECT page_id + n * 1000000000000 AS page_id, CASE n WHEN 0 THEN url WHEN 1 THEN concat(url, CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_source=x') ELSE concat(url, '#part') END AS url FROM pages, range(3) AS r(n)"
+
+
+def _repeated_urls(spark, d) -> DataFrame:
+    pages, url = table(spark, d, "pages").select("page_id", "url"), F.col("url")
+    tracked = F.concat(url, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), F.lit("utm_source=x"))
+    again = pages.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return again.select((F.col("page_id") + F.col("n") * 1000000000000).alias("page_id"), F.when(F.col("n") == 0, url).when(F.col("n") == 1, tracked).otherwise(F.concat(url, F.lit("#part"))).alias("url"))
+
+
 @query(f"WITH {CANONICAL} SELECT * FROM canon")
 def q_canonical_url(spark, d):
     return table(spark, d, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical_url"))
 
 
-@query(f"WITH {CANONICAL}, g AS (SELECT page_id, min(page_id) OVER (PARTITION BY canonical_url) AS head FROM canon WHERE canonical_url <> '') SELECT page_id AS src, head AS dst FROM g WHERE page_id <> head")
+@query(f"WITH {CANONICAL.replace('FROM pages', 'FROM repeated')}, g AS (SELECT page_id, min(page_id) OVER (PARTITION BY canonical_url) AS head FROM canon WHERE canonical_url <> '') SELECT page_id AS src, head AS dst FROM g WHERE page_id <> head".replace("WITH c1", f"WITH repeated AS ({REPEATED_URLS}), c1"))
 def q_url_groups(spark, d):
-    return D.star_edges(table(spark, d, "pages").select(F.col("page_id").alias("key"), U.canonical_url(F.col("url")).alias("canonical_url")), "canonical_url")
+    """Pages three times, with a tracking parameter and with a fragment the second and third time."""
+    return D.star_edges(_repeated_urls(spark, d).select(F.col("page_id").alias("key"), U.canonical_url(F.col("url")).alias("canonical_url")), "canonical_url")
 
 
 RAW = [
@@ -346,7 +363,13 @@ def q_normalize_sources(spark, d):
     return out.withColumn("engagement", F.to_json("engagement")).withColumn("media", F.array_join("media", ",")).withColumn("matched_queries", F.array_join("matched_queries", ","))
 
 
-@query()
+RAW_SQL = "raw(source, query, pos, json) AS (VALUES " + ", ".join(f"('{a}', '{b}', {k}::BIGINT, '{c.replace(chr(39), chr(39) * 2)}')" for k, (a, b, c) in enumerate(RAW)) + ")"
+
+
+@query(
+    f"""WITH {RAW_SQL}, judged AS (SELECT source, query, pos, CASE WHEN source NOT IN ({", ".join(f"'{x}'" for x in N.SOURCES)}) THEN 'unknown source' WHEN json_type(json) IS DISTINCT FROM 'OBJECT' THEN 'no object' END AS reason FROM raw)
+SELECT * FROM judged WHERE reason IS NOT NULL"""
+)
 def q_quarantine(spark, d):
     return N.rejected(raw_rows(spark)).select("source", "query", "pos", "reason")
 
@@ -441,7 +464,7 @@ def q_relevance(spark, d):
 def q_risk(spark, d):
     rows = _cleaned(spark, d).select("doc_id", L.risk_reasons(F.col("text")).alias("r"))
     total = L.risk_total(F.col("r"))
-    return rows.select("doc_id", F.round(total, 3).alias("risk"), L.risk_level(total).alias("level"), F.array_join("r", ",").alias("reasons"))
+    return rows.select("doc_id", S.rounded(total, 3).alias("risk"), L.risk_level(total).alias("level"), F.array_join("r", ",").alias("reasons"))
 
 
 @query(f"WITH {TAGGED} SELECT doc_id, round(effort, 6) AS effort, round(money, 6) AS money, money_mention FROM judged")
@@ -450,6 +473,18 @@ def q_effort_money(spark, d):
     return _cleaned(spark, d).select("doc_id", F.round(L.effort_score(text), 6).alias("effort"), F.round(L.money_score(text), 6).alias("money"), L.money_mention(text).alias("money_mention"))
 
 
+@query(
+    f"""WITH RECURSIVE {LINKED}, s AS (SELECT root, count(*) AS signal_count, count(DISTINCT doc_id % 37) / count(*) AS authors, CASE WHEN count(*) >= 2 THEN least(1, (max(doc_id) - min(doc_id)) / 60 / 6) ELSE 0.5 END AS spread FROM roots GROUP BY root)
+SELECT root, signal_count, CASE WHEN signal_count > 1 THEN round(authors, 3) END AS author_diversity, CASE WHEN signal_count > 1 THEN round(spread::DOUBLE, 3) END AS timing_spread,
+  CASE WHEN signal_count > 1 THEN round(greatest(0, least(1, 0.4::DOUBLE * authors + 0.4::DOUBLE + 0.2::DOUBLE * spread)), 3) ELSE 1::DOUBLE END AS source_independence FROM s"""
+)
+def q_independence_parts(spark, d):
+    """Independence by authors and times, as if no texts were alike."""
+    none = spark.createDataFrame([], "root string, avg_fuzzy double")
+    found = C.independence(C.cluster_summary(written(_members(spark, d), "members"), "root"), none, "root")
+    return found.select(F.col("root").cast("long").alias("root"), "signal_count", F.col("independence_details.author_diversity").alias("author_diversity"), F.col("independence_details.timing_spread").alias("timing_spread"), "source_independence")
+
+
 @query()
 def q_independence(spark, d):
     members = written(_members(spark, d), "members")
@@ -464,12 +499,13 @@ def _scores(spark, d) -> DataFrame:
         F.concat(F.lit("o"), doc).alias("opportunity_id"), F.concat(F.lit("cluster-"), doc).alias("cluster_id"), F.lit(1).cast("long").alias("signal_count"), F.array("source").alias("platforms"),
         (doc % 101).alias("total_engagement"), F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + doc * 60).alias("published_ts"), F.col("text").alias("combined_text"),
         F.struct(F.col("text").alias("text"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("canonical_url"), F.lit("").alias("url")).alias("rep"),
-        F.lit(1.0).alias("source_independence"), F.lit(None).cast("string").alias("independence_details"), F.lit(None).cast("double").alias("velocity"), F.lit("insufficient_data").alias("trend"), F.lit(True).alias("is_new"),
+        F.when(doc % 5 == 0, 0.2).otherwise(1.0).alias("source_independence"), F.lit(None).cast("string").alias("independence_details"), (doc % 30 - 3).cast("double").alias("velocity"),
+        F.when(doc % 4 == 0, "accelerating").when(doc % 4 == 1, "steady").when(doc % 4 == 2, "saturating").otherwise("insufficient_data").alias("trend"), F.lit(True).alias("is_new"),
     )
     return SC.score(rows, _as_of())
 
 
-SCORES = ["opportunity_id", "signal_count", "total_engagement", "engagement_score", "corroboration_score", "recency_score", "composite_score", "relevance_score", "early_score", "money_score", "effort_score", "confidence_score", "opportunity_score", "risk_score", "risk_level", "money_mention", "representative_text"]
+SCORES = ["opportunity_id", "signal_count", "total_engagement", "velocity", "trend", "saturating", "velocity_score", "diversity_score", "before_viral_score", "engagement_score", "corroboration_score", "recency_score", "composite_score", "relevance_score", "early_score", "money_score", "effort_score", "confidence_score", "opportunity_score", "risk_score", "risk_level", "money_mention", "representative_text"]
 
 
 @query(f"WITH {SCORED} SELECT {', '.join(SCORES)}, array_to_string(relevance_reasons, ',') AS relevance_reasons, array_to_string(risk_reasons, ',') AS risk_reasons FROM scored")
@@ -492,12 +528,12 @@ kept AS (SELECT * FROM decided LEFT JOIN prior USING (opportunity_id) WHERE tier
 SELECT opportunity_id, tier, value_score, row_number() OVER (PARTITION BY tier ORDER BY value_score DESC, cluster_id) AS rank FROM kept"""
 )
 def q_actionable(spark, d):
-    return SC.actionable(_scores(spark, d), _decisions(spark, d)).select("opportunity_id", "tier", "value_score", F.col("rank").cast("long").alias("rank"))
+    return SC.actionable(written(_scores(spark, d), "scores"), _decisions(spark, d)).select("opportunity_id", "tier", "value_score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {SCORED} SELECT opportunity_id, opportunity_score, risk_level FROM scored WHERE opportunity_score >= 0.1::DOUBLE ORDER BY opportunity_score DESC, cluster_id LIMIT 5")
+@query(f"WITH {SCORED} SELECT opportunity_id, opportunity_score, risk_level FROM scored WHERE opportunity_score >= 0.1::DOUBLE OR before_viral_score >= 0.1::DOUBLE ORDER BY greatest(opportunity_score, before_viral_score) DESC, cluster_id LIMIT 5")
 def q_top_alerts(spark, d):
-    return A.top(A.eligible(_scores(spark, d), 0.1), 5).select("opportunity_id", "opportunity_score", "risk_level")
+    return A.top(A.eligible(written(_scores(spark, d), "scores"), 0.1), 5).select("opportunity_id", "opportunity_score", "risk_level")
 
 
 def _history(spark, d) -> DataFrame:
@@ -510,12 +546,12 @@ def _history(spark, d) -> DataFrame:
 SELECT opportunity_id, opportunity_score FROM scored LEFT JOIN past USING (opportunity_id) WHERE hours IS NULL OR hours >= 24 OR abs(opportunity_score - s) >= 0.05::DOUBLE"""
 )
 def q_cooldown(spark, d):
-    return A.cooled_down(_scores(spark, d), _history(spark, d), _as_of()).select("opportunity_id", "opportunity_score")
+    return A.cooled_down(written(_scores(spark, d), "scores"), _history(spark, d), _as_of()).select("opportunity_id", "opportunity_score")
 
 
 @query()
 def q_alert_log(spark, d):
-    return A.alert_records(A.top(A.eligible(_scores(spark, d), 0.1), 5), _as_of())
+    return A.alert_records(A.top(A.eligible(written(_scores(spark, d), "scores"), 0.1), 5), _as_of())
 
 
 @query()
@@ -582,7 +618,15 @@ def q_page_facts(spark, d):
     return rows.select("page_id", V.looks_blocked(p).alias("blocked"), V.deadline(p).alias("deadline_text"), V.prize(p).alias("prize_text"))
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT page_id, url, '{PAGE_FACTS}' || regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g') AS p FROM pages),
+one AS (SELECT t.page_id, t.url, t.page_id % 4 <> 0 AS checked, regexp_matches(t.url, '^https?://') AS web, min(o.p) AS p FROM t LEFT JOIN t o ON t.url = o.url GROUP BY ALL),
+w AS (SELECT *, checked AND web AS found, length(p) < 2000 AND regexp_matches(p, '{L.ANTI_BOT}', 'i') AS bot, string_split_regex(p, '(?i)deadline') AS parts FROM one),
+f AS (SELECT *, list_filter([regexp_extract(array_to_string(parts[i:i+8], 'deadline')[:60], '{L.PAGE_DATE}') FOR i IN range(2, greatest(len(parts), 2) + 1)], lambda x: x <> '') AS dates FROM w)
+SELECT 'o' || page_id AS opportunity_id, checked, found AND bot AS blocked, CASE WHEN found THEN url END AS official_url, CASE WHEN found AND NOT bot AND len(dates) > 0 THEN 'deadline : ' || dates[1] END AS deadline_text,
+  CASE WHEN found AND NOT bot THEN nullif(trim(regexp_extract(p, '(?i){L.PRIZE}')), '') END AS prize_text,
+  CASE WHEN NOT checked THEN '{V.NOT_TAGGED}' WHEN NOT web THEN '{V.NO_PAGE.replace("'", "''")}' WHEN bot THEN '{V.BLOCKED}' ELSE '{V.VERIFIED}' END AS note FROM f"""
+)
 def q_verify(spark, d):
     """Opportunities with a link of the pages table, each checked against its page."""
     pages = table(spark, d, "pages").select("url", F.concat(F.lit(PAGE_FACTS), T.strip_tags(F.col("html"))).alias("page_text"), "page_id")
@@ -593,6 +637,15 @@ def q_verify(spark, d):
     return V.verify(scores, pages).select("opportunity_id", "checked", "blocked", "official_url", "deadline_text", "prize_text", "note")
 
 
+@query()
+def q_project_matches(spark, d):
+    """Supplier and part names as one's own projects against the texts of the phrases."""
+    parts = table(spark, d, "part").select(F.col("p_name").alias("name"), F.lit("opportunity hackathon grant").alias("description"), F.concat(F.lit("https://g.example/"), "p_partkey").alias("url"), F.lit("2024-01-01").alias("updatedAt"))
+    own = spark.createDataFrame([("summer-hack", "Summer hackathon prizes registration", "https://g.example/s", "2024-01-02"), ("orbit giveaway", None, "https://g.example/o", None)], parts.schema.simpleString()[7:-1].replace(":", " "))
+    hints = spark.createDataFrame([(f"o{k}", p) for k, p in enumerate(X.PHRASES)], "opportunity_id string, representative_text string")
+    return V.project_matches(hints, parts.unionByName(own))
+
+
 @query()
 def q_flagship(spark, d):
     """Documents with phrases: cleaned, clustered by all evidence, summed up, scored and decided."""

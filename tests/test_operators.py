@@ -1,5 +1,6 @@
 """Operators on hand-made rows; what matters of each behaviour is asserted on the result."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oppsift.functions import text as T
-from oppsift.functions.similarity import token_set_ratio
+from oppsift.functions.scalars import rounded
+from oppsift.functions.similarity import token_set_bounds, token_set_ratio
 from oppsift.operators import alerts as A
 from oppsift.operators import clusters as C
 from oppsift.operators import duplicates as D
@@ -18,6 +20,7 @@ from oppsift.operators import scoring as SC
 from oppsift.operators import state as ST
 from oppsift.operators import verify as V
 from oppsift.operators.components import connected_components
+from oppsift.operators.ranking import ranked
 from oppsift.operators.trend import trend, velocity
 from oppsift.plans import fixtures as X
 from oppsift.plans.queries import q_resolve_runs, q_token_set_ratio, raw_rows
@@ -193,14 +196,76 @@ def test_leaders(spark):
 
 def test_resolve(spark):
     rep = "struct<text: string, title: string, canonical_url: string, normalized_text: string>"
-    texts = {"c1": VARIANTS[0].lower(), "c2": "quarry wine harvest begins in the valley", "c3": "quarry wine harvest begins in the valley today", "c4": "unrelated text of its own kind"}
+    texts = {"c1": VARIANTS[0].lower(), "c2": "quarry wine harvest begins in the valley", "c3": "quarry wine harvest begins in the valley today", "c4": "unrelated text of its own kind", "c5": "today here now credits free win"}
     fresh = spark.createDataFrame([(k, (t, None, None, t)) for k, t in texts.items()], f"cluster_id string, rep {rep}")
-    old = spark.createDataFrame([("o1", T0, T0, VARIANTS[1].lower(), None, []), ("o2", T0 + timedelta(1), T0, VARIANTS[0].lower(), None, [])], ST.SCHEMAS["opportunities"])
+    old = spark.createDataFrame([("o1", T0, T0, VARIANTS[1].lower(), None, [], "q"), ("o2", T0 + timedelta(1), T0, VARIANTS[0].lower(), None, [], "q"), ("o3", T0, T0, "win free credits now here today", None, [], "q")], ST.SCHEMAS["opportunities"])
     got = {r["cluster_id"]: r for r in R.resolve(fresh, old, "r").collect()}
     assert got["c1"]["opportunity_id"] == "o1" and not got["c1"]["is_new"]
+    assert got["c5"]["opportunity_id"] == "o3", "the same words in another order"
     assert got["c2"]["opportunity_id"] == got["c3"]["opportunity_id"] != got["c4"]["opportunity_id"] and got["c2"]["is_new"]
 
 
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(["a", "ab", "win", "free", "credits", "nowhere", "x" * 20]), max_size=7).map(" ".join)] * 2), min_size=1, max_size=20))
+def test_token_set_bounds(spark, pairs):
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", token_set_bounds(F.col("a"), F.col("b")).alias("x")).collect()
+    for r in rows:
+        ratio, (least, most) = token_set_ratio(r["a"], r["b"]), r["x"]
+        assert least - 1e-9 <= ratio <= most + 1e-9
+
+
+def test_word_pairs_miss_no_common_words(spark):
+    """Of random texts, every pair that reaches the rule by common words is found, whatever their order and frequency."""
+    rng = random.Random(3)
+    words = [f"w{k}" * rng.randint(1, 4) for k in range(40)]
+    texts = []
+    for k in range(80):
+        own = rng.sample(words, rng.randint(2, 12))
+        texts.append((f"t{k:02d}", " ".join(own)))
+        if k % 3 == 0:
+            texts.append((f"v{k:02d}", " ".join(rng.sample(own, max(1, len(own) - 1)))))
+            texts.append((f"x{k:02d}", " ".join(rng.sample([*own, rng.choice(words)], len(own) + 1))))
+    items = spark.createDataFrame([(k, t, len(t.split())) for k, t in texts], "key string, normalized_text string, words int")
+    found = {(r["a"], r["b"]) for r in R.word_pairs(items, items).collect()}
+    for a, x in texts:
+        for b, y in texts:
+            both = set(x.split()) & set(y.split())
+            shared = len(" ".join(both))
+            low, high = sorted((len(x.split()), len(y.split())))
+            if both and low / high >= 0.35:
+                by_common = max(2 * shared / (shared + len(" ".join(set(t.split())))) for t in (x, y))
+                assert by_common < 0.85 or (a, b) in found
+
+
+def test_ranked(spark):
+    rows = spark.createDataFrame([(k % 3, (k * 37) % 101, k) for k in range(300)], "kind int, value int, id int")
+    got = ranked(rows, ["kind"], [F.desc("value"), "id"]).collect()
+    for kind in range(3):
+        own = sorted((r for r in got if r["kind"] == kind), key=lambda r: (-r["value"], r["id"]))
+        assert [r["rank"] for r in own] == list(range(1, 101))
+    assert ranked(rows.limit(0), ["kind"], ["id"]).count() == 0 and sorted(r["n"] for r in ranked(rows, [], ["id"], "n").collect()) == list(range(1, 301))
+
+
+def test_average_fuzzy_in_blocks(spark):
+    """The mean over all pairs, however a cluster is dealt out."""
+    rng = random.Random(5)
+    texts = [("c", " ".join(rng.sample("abcdefgh", rng.randint(1, 6)))) for _ in range(30)] + [("c", "a b")] * 3 + [("d", "x"), ("e", "y"), ("e", "y z"), ("f", ""), ("f", "")]
+    members = spark.createDataFrame(texts, "cluster_id string, normalized_text string")
+    for block in (100, 4):
+        got = {r["cluster_id"]: r["avg_fuzzy"] for r in C.average_fuzzy(members, block=block).collect()}
+        for c in ("c", "e", "f"):
+            own = [t for k, t in texts if k == c]
+            ratios = [token_set_ratio(x, y) for k, x in enumerate(own) for y in own[:k]]
+            assert got[c] == pytest.approx(sum(ratios) / len(ratios))
+        assert "d" not in got
+
+
+def test_rounding_goes_by_the_binary_value(spark):
+    values = [0.01275, 0.0125, 2.5, 0.5, 0.1285, 0.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v"), 4).alias("x")).collect()
+    assert [r["x"] for r in got] == [0.0127, 0.0125, 2.5, 0.5, 0.1285, 0.0]
+
+
 def test_verify(spark):
     pages = spark.createDataFrame([("https://h.example/a", "Win! Deadline: 12 October 2026, $10,000 in prizes"), ("https://h.example/b", "Checking your browser"), ("https://x.com/p", "Deadline May 3, 2025")], "url string, page_text string")
     tag, none = ["hackathon_or_competition"], []
