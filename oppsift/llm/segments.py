@@ -55,12 +55,21 @@ def code_values() -> np.ndarray:
     return spread(0x110000, 11)
 
 
+class Spans:
+    """Hashes of spans of one array of values (uint64), as they are asked for."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.prefix, self.down = np.zeros(len(values) + 1, np.uint64), _power("down", len(values) + 1)
+        np.cumsum(values * _power("up", len(values)), out=self.prefix[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span [start, end) of ``values`` (uint64); equal spans have equal hashes wherever they lie."""
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _power("up", len(values)), out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * _power("down", len(values) + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return Spans(values)(starts, ends)
 
 
 def text_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -8,7 +8,8 @@ U+2581 of the text itself is spelled in bytes, so that decoding gives every text
 No piece spans two characters that stand side by side in no piece, so a text falls into segments that merge by
 themselves. What a segment becomes depends on which of its candidates are skipped: a process remembers, for each segment, the
 candidates in the order of the agenda as a tree that branches where one is skipped. All segments of some texts go down their
-trees at once, a hash a step; only ways that have not been gone before run the agenda.
+trees at once, a hash a step; those that come to a way that has not been gone before run their agendas side by side, with
+array operations that take the best candidate of each at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oppsift.llm.segments import HashIndex, code_values, gather, mix, span_hashes, spread
+from oppsift.llm.segments import HashIndex, Spans, code_values, gather, mix, span_hashes, spread
 from oppsift.llm.shared import arrow, only, text_or_empty
 
 RATE = 0.1
@@ -65,6 +66,12 @@ class DropoutBpe:
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         plain = [i for i in range(len(names)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.pieces = {names[i]: (-model.get_score(i), i) for i in plain}
+        codes = np.frombuffer("".join(names[i] for i in plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(names[i]) for i in plain])
+        self.known = HashIndex(2 * len(plain))
+        self.known.add(span_hashes(code_values()[codes], ends - np.diff(ends, prepend=0), ends), np.arange(len(plain)))
+        self.ids = np.array(plain, np.int64)
+        self.ranks = np.unique([self.pieces[names[i]][0] for i in plain], return_inverse=True)[1].astype(np.int64)
         self.bytes = {int(names[i][3:5], 16): i for i in range(len(names)) if model.is_byte(i)}
         inside = [_pairs(np.array([ord(c) for c in names[i]], np.uint32)) for i in plain if len(names[i]) > 1]
         self.apart = None
@@ -86,7 +93,8 @@ class DropoutBpe:
         #: Where each segment begins. A number from 0 is a fork, -1 a way not gone yet, and from -2 down an end.
         self.roots = np.empty(0, np.int64)
         #: Of each fork: the hash part of its candidate, how many forks lie before it, and what follows if it merges or is skipped.
-        self.codes, self.depths, self.next = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, 2), np.int64)
+        self.forks, room = 0, 1 << 16
+        self.codes, self.depths, self.next = np.empty(room, np.uint64), np.empty(room, np.int64), np.empty((room, 2), np.int64)
 
     def segment(self, text: str, base: int) -> tuple[list[int], list[tuple[int, bool]]]:
         """The ids of one segment, where spaces are U+2581, and its candidates as they came: hash part, skipped or not. base:
@@ -126,57 +134,111 @@ class DropoutBpe:
             i = ends[i]
         return out, taken
 
-    def _learn(self, items: list[tuple[str, int, int]]) -> np.ndarray:
-        """The ways of segments (text, base, how many forks are known): where what is new of each begins."""
-        refs, ids, lengths = [], [], []
-        codes, depths, follows = [], [], []
-        for text, base, depth in items:
-            out, taken = self.segment(text, base)
-            end = -2 - len(self.starts) - len(lengths)
-            ids += out
-            lengths.append(len(out))
-            new, first = taken[depth:], len(self.codes) + len(codes)
-            refs.append(first if new else end)
-            for k, (code, skipped) in enumerate(new, 1):
-                to = first + k if k < len(new) else end
-                codes.append(code)
-                depths.append(depth + k - 1)
-                follows.append((-1, to) if skipped else (to, -1))
+    def _agendas(self, codes: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``segment`` gives, for segments of ``sizes`` code points end to end: the ids end to end and how many each has; the
+        segment, hash part and skip of each candidate, as they came within each segment."""
+        hashes, first = Spans(code_values()[codes]), np.cumsum(sizes) - sizes
+        never = np.int64(1) << 30
+
+        def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            found = self.known.find(hashes(a, b))
+            return np.where(found >= 0, self.ranks[found], never)
+
+        cur, seg = np.arange(len(codes)), np.repeat(np.arange(len(sizes)), sizes)
+        end, rank = cur + 1, np.full(len(codes), never)
+        pair = np.flatnonzero(seg[1:] == seg[:-1])
+        rank[pair] = ranks(cur[pair], end[pair + 1])
+        x, y, z = (np.uint64(p) for p in _PLACES)
+        done, taken = [], []
+        while len(cur):
+            heads = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(cur)), heads)
+            going = best < never << 32
+            drop = ~np.repeat(going, np.diff(np.append(heads, len(cur))))
+            done.append((cur[drop], end[drop]))
+            i = best[going] & 0xFFFFFFFF
+            if self.rate:
+                a, m, b = (v.astype(np.uint64) for v in (cur[i] - first[seg[i]], end[i] - first[seg[i]], end[i + 1] - first[seg[i]]))
+                code = a * x + m * y + b * z
+                skipped = mix(base[seg[i]] + code) < np.uint64(self.rate)
+                taken.append((seg[i], code, skipped))
+                rank[i[skipped]] = never
+                i = i[~skipped]
+            end[i], rank[i] = end[i + 1], never
+            drop[i + 1] = True
+            right = i[i + 2 < len(cur)]
+            right = right[seg[right + 2] == seg[right]]
+            rank[right] = ranks(cur[right], end[right + 2])
+            left = i[i > 0]
+            left = left[seg[left - 1] == seg[left]]
+            rank[left - 1] = ranks(cur[left - 1], end[left])
+            cur, end, seg, rank = (v[~drop] for v in (cur, end, seg, rank))
+        a, b = (np.concatenate(v) for v in zip(*done, strict=True))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        of, found = np.searchsorted(first, a, side="right") - 1, self.known.find(hashes(a, b))
+        ids, count = self.ids[found], np.ones(len(a), np.int64)
+        odd = np.flatnonzero(found < 0)
+        if len(odd):  # single characters that are no piece: the bytes that they are spelled in
+            spelled = [[self.bytes[v] for v in chr(c).replace(_ESCAPE, _BLANK).encode("utf-8", "surrogatepass")] for c in codes[a[odd]].tolist()]
+            count[odd] = [len(v) for v in spelled]
+            ids = np.repeat(ids, count)
+            ids[gather(np.arange(len(ids)), (np.cumsum(count) - count)[odd], count[odd])] = [v for one in spelled for v in one]
+        owner, code, skipped = (np.concatenate(v) for v in zip(*taken, strict=True)) if taken else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.bool_))
+        order = np.argsort(owner, kind="stable")
+        return ids, np.bincount(of, count, len(sizes)).astype(np.int64), owner[order], code[order], skipped[order]
+
+    def _entries(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Ends with these ids."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        sizes = np.array(lengths, np.int64)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.lengths = np.concatenate([self.lengths, sizes])
+        out = len(self.starts) + np.arange(len(lengths))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
         self.used += len(ids)
-        if codes:
-            self.codes = np.concatenate([self.codes, np.array(codes, np.uint64)])
-            self.depths = np.concatenate([self.depths, np.array(depths, np.int64)])
-            self.next = np.concatenate([self.next, np.array(follows, np.int64)])
-        return np.array(refs, np.int64)
-
-    def _walk(self, at: np.ndarray, base: np.ndarray, text_of: Callable[[int], str]) -> np.ndarray:
-        """The ends that segments reach from where they stand; ways not gone yet are learnt, one of each at a time."""
+        return out
+
+    def _learn(self, codes: np.ndarray, sizes: np.ndarray, base: np.ndarray, depth: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ends of segments, and of those that are ``new`` where the part of their way begins that lies beyond ``depth`` forks,
+        which are known; it is put into their trees."""
+        ids, lengths, owner, code, skipped = self._agendas(codes, sizes, base)
+        ends = self._entries(ids, lengths)
+        count = np.bincount(owner, minlength=len(sizes))
+        place = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+        put = new[owner] & (place >= depth[owner])
+        owner, code, skipped, place = owner[put], code[put], skipped[put], place[put]
+        node = self.forks + np.arange(len(owner))
+        to = np.where(place == count[owner] - 1, -2 - ends[owner], node + 1)
+        follows = np.full((len(owner), 2), -1)
+        follows[np.arange(len(owner)), skipped.astype(np.int64)] = to
+        refs = -2 - ends
+        refs[owner[place == depth[owner]]] = node[place == depth[owner]]
+        self.forks += len(owner)
+        while self.forks > len(self.codes):
+            self.codes, self.depths, self.next = (np.concatenate([v, np.empty_like(v)]) for v in (self.codes, self.depths, self.next))
+        self.codes[node], self.depths[node], self.next[node] = code, place, follows
+        return ends, refs
+
+    def _walk(self, at: np.ndarray, base: np.ndarray, codes_of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The ends that segments reach from where they stand; ways not gone yet are learnt."""
         going, rate = np.flatnonzero(at >= 0), np.uint64(self.rate)
+        lost, ways = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while len(going):
-            lost, forks, turns = [], [], []
-            while len(going):
-                fork = at[going]
-                turn = (mix(base[going] + self.codes[fork]) < rate).astype(np.int64)
-                at[going] = to = self.next[fork, turn]
-                new = to == -1
-                lost.append(going[new])
-                forks.append(fork[new])
-                turns.append(turn[new])
-                going = going[to >= 0]
-            lost, forks, turns = (np.concatenate(x) for x in (lost, forks, turns))
-            if len(lost):
-                ways, one, which = np.unique(2 * forks + turns, return_index=True, return_inverse=True)
-                depths, bases = self.depths[ways // 2] + 1, base[lost[one]].tolist()
-                refs = self._learn([(text_of(k), b, d) for k, b, d in zip(lost[one].tolist(), bases, depths.tolist(), strict=True)])
-                self.next[ways // 2, ways % 2] = refs
-                at[lost] = refs[which]
-            going = lost[at[lost] >= 0]
+            fork = at[going]
+            turn = (mix(base[going] + self.codes[fork]) < rate).astype(np.int64)
+            at[going] = to = self.next[fork, turn]
+            lost.append(going[to == -1])
+            ways.append((2 * fork + turn)[to == -1])
+            going = going[to >= 0]
+        lost, ways = np.concatenate(lost), np.concatenate(ways)
+        if len(lost):
+            some, one = np.unique(ways, return_index=True)
+            new = np.zeros(len(lost), np.bool_)
+            new[one] = True
+            ends, refs = self._learn(*codes_of(lost), base[lost], self.depths[ways // 2] + 1, new)
+            self.next[some // 2, some % 2] = refs[one]
+            at[lost] = -2 - ends
         return -2 - at
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +256,7 @@ class DropoutBpe:
         return np.concatenate(ids), np.concatenate(counts)
 
     def _encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.index is None or self.index.count > REMEMBERED or max(len(self.codes) // 4, len(self.starts)) > 2 * REMEMBERED:
+        if self.index is None or self.index.count > REMEMBERED or max(self.forks // 4, len(self.starts)) > 2 * REMEMBERED:
             self._reset()
         ready = [_BLANK + t.replace(_BLANK, _ESCAPE).replace(" ", _BLANK) if t else "" for t in texts]
         whole = "".join(ready)
@@ -212,8 +274,9 @@ class DropoutBpe:
         own = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((self.seed * 0xD6E8FEB86659FD93) & _MASK))
         base = own[text] + (starts - bounds[text]).astype(np.uint64) * _ALONG
 
-        def text_of(k: int) -> str:
-            return whole[starts[k] : ends[k]]
+        def codes_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sizes = ends[some] - starts[some]
+            return gather(codes, starts[some], sizes), sizes
 
         key, short = span_hashes(code_values()[codes], starts, ends), ends - starts <= LONG
         known = self.index.find(key).astype(np.int64)
@@ -221,16 +284,17 @@ class DropoutBpe:
         if len(new):
             some, first, which = np.unique(key[new], return_index=True, return_inverse=True)
             one = new[first]
-            roots = self._learn([(text_of(k), b, 0) for k, b in zip(one.tolist(), base[one].tolist(), strict=True)])
+            _, roots = self._learn(*codes_of(one), base[one], np.zeros(len(one), np.int64), np.ones(len(one), np.bool_))
             known[new] = len(self.roots) + which
             self.index.add(some, len(self.roots) + np.arange(len(some)))
             self.roots = np.concatenate([self.roots, roots])
         place = np.empty(len(starts), np.int64)
         place[short] = self.roots[known[short]]
         long = np.flatnonzero(~short)
-        if len(long):  # with all their forks known, nothing but an end is remembered
-            place[long] = self._learn([(text_of(k), b, _MASK) for k, b in zip(long.tolist(), base[long].tolist(), strict=True)])
-        entry = self._walk(place, base, text_of)
+        if len(long):
+            out = [self.segment(whole[starts[k] : ends[k]], b)[0] for k, b in zip(long.tolist(), base[long].tolist(), strict=True)]
+            place[long] = -2 - self._entries(np.fromiter((i for x in out for i in x), np.int64), np.array([len(x) for x in out], np.int64))
+        entry = self._walk(place, base, codes_of)
         lengths = self.lengths[entry]
         total = np.concatenate([[0], np.cumsum(lengths)])
         return gather(self.flat, self.starts[entry], lengths), np.diff(total[at])
