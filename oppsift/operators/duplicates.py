@@ -109,11 +109,11 @@ def evidence(pairs: DataFrame, left: DataFrame, right: DataFrame, all_fuzzy: boo
     )
     open_ = ~decided() & (F.col("ratio") >= LENGTH_RATIO)
     most = F.when(open_, token_set_bounds(F.col("a_normalized_text"), F.col("b_normalized_text"))[1])
-    both = written(both.withColumn("open", F.lit(True) if all_fuzzy else F.coalesce(most >= SAME_FUZZY, F.lit(False))), "compared")
-    # two branches, as a Python function is run for every row it stands beside
-    known = both.where("not open").withColumn("fuzzy", F.lit(None).cast("double"))
-    asked = both.where("open").withColumn("fuzzy", token_set_ratio_column("a_normalized_text", "b_normalized_text"))
-    return known.unionByName(asked).withColumn("is_duplicate", verdict()).drop("open", "a_normalized_text", "b_normalized_text")
+    both = both.withColumn("open", F.lit(True) if all_fuzzy else F.coalesce(most >= SAME_FUZZY, F.lit(False)))
+    # a Python function is run for every row, so the others go to it without their texts
+    ratio = token_set_ratio_column(*(F.when(F.col("open"), F.col(f"{x}_normalized_text")) for x in "ab"))
+    both = both.withColumn("fuzzy", ratio).withColumn("fuzzy", F.when(F.col("open"), F.col("fuzzy")))
+    return both.withColumn("is_duplicate", verdict()).drop("open", "a_normalized_text", "b_normalized_text")
 
 
 def candidate_pairs(items: DataFrame, threshold: float = CANDIDATE_JACCARD) -> DataFrame:

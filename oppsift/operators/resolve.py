@@ -11,9 +11,12 @@ from oppsift.functions import text as T
 from oppsift.functions.similarity import token_set_bounds
 from oppsift.operators.duplicates import LENGTH_RATIO, SAME_FUZZY, evidence, length_ratio, shingle_pairs
 
-#: If the words that a text shares give a ratio of SAME_FUZZY by themselves, its others have at most this part of its characters:
-#: own <= (1 - f) * (2 * shared + own), so own / (own + shared) <= 2 * (1 - f) / (2 - f + 1 - f) with f = SAME_FUZZY / 100.
-MAY_LACK = 2 * (1 - SAME_FUZZY / 100) / (3 - 2 * SAME_FUZZY / 100)
+#: A text's characters are counted with a space for each word. If the words that it shares give a ratio f by themselves, those it
+#: lacks are own <= (1 - f) * (2 * shared + own), which is at most this part of it.
+MAY_LACK = 2 * (1 - SAME_FUZZY / 100) / (2 - SAME_FUZZY / 100)
+
+#: So much of each text, in its rarest words, is looked for in the others.
+LOOKED_FOR = 0.45
 
 NAMES = ["key", "canonical_url", "content_hash", "normalized_text", "shingles", "entities", "words"]
 
@@ -38,19 +41,20 @@ def stored(opportunities: DataFrame) -> DataFrame:
 
 
 def _rare_words(side: DataFrame, often: DataFrame) -> DataFrame:
-    """(key, word): the rarest words of each row, until they are more of its characters than a like text may lack."""
-    flat = side.select("key", F.explode(F.array_distinct(T.words(F.col("normalized_text")))).alias("word"))
+    """(key, word, weight, least): the rarest words of each row, LOOKED_FOR of it, and how much of them a like text shares."""
+    flat = side.select("key", F.explode(F.array_distinct(T.words(F.col("normalized_text")))).alias("word")).withColumn("weight", F.length("word") + 1)
     mine = W.partitionBy("key")
-    flat = flat.join(often, "word").withColumn("before", F.sum(F.length("word")).over(mine.orderBy("df", "word").rowsBetween(W.unboundedPreceding, -1)))
-    return flat.withColumn("all", F.sum(F.length("word")).over(mine)).where(F.coalesce("before", F.lit(0)) <= MAY_LACK * F.col("all")).select("key", "word")
+    flat = flat.join(often, "word").withColumn("before", F.coalesce(F.sum("weight").over(mine.orderBy("df", "word").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rare = flat.withColumn("all", F.sum("weight").over(mine)).where(F.col("before") <= LOOKED_FOR * F.col("all"))
+    return rare.select("key", "word", "weight", (F.sum("weight").over(mine) - MAY_LACK * F.col("all")).alias("least"))
 
 
 def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of rows that may reach the fuzzy rule by the words they share.
 
-    If the words of one text are all in the other's, or all but so few that the ratio is reached by the common words, the rarest
-    words of one, up to MAY_LACK of its characters and one word more, cannot all be missing in the other. So these meet all words
-    of the other side, both ways round; only pairs whose bounds leave the rule open are kept.
+    If the words of one text are all in the other's, or all but so few that the ratio is reached by the common words, the other
+    lacks at most MAY_LACK of it; so of its rarest words, LOOKED_FOR of it, the other has the rest. These words meet all words of the
+    other side, both ways round, and pairs that share enough of them are kept if their bounds leave the rule open.
     """
     sides = {n: written(s.select("key", "normalized_text", "words"), "words") for n, s in (("a", left), ("b", right))}
     every = {n: s.select("key", F.explode(F.array_distinct(T.words(F.col("normalized_text")))).alias("word")) for n, s in sides.items()}
@@ -58,7 +62,8 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     found = []
     for n, m in (("a", "b"), ("b", "a")):
         rare = _rare_words(sides[n], often).withColumnRenamed("key", n)
-        found.append(rare.join(every[m].withColumnRenamed("key", m), "word").select("a", "b"))
+        shared = rare.join(every[m].withColumnRenamed("key", m), "word").groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.max("least").alias("least"))
+        found.append(shared.where(F.col("shared") >= F.col("least") - 1e-6).select("a", "b"))
     pairs = found[0].unionByName(found[1]).distinct()
     both = pairs.join(sides["a"].select(F.col("key").alias("a"), F.col("normalized_text").alias("x"), F.col("words").alias("n")), "a")
     both = both.join(sides["b"].select(F.col("key").alias("b"), F.col("normalized_text").alias("y"), F.col("words").alias("m")), "b")

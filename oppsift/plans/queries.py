@@ -556,7 +556,7 @@ def q_alert_log(spark, d):
 
 @query()
 def q_cards(spark, d):
-    return SC.decide(_scores(spark, d)).select("opportunity_id", FM.card().alias("card"), FM.teaser().alias("teaser"), FM.detail().alias("detail"))
+    return SC.decide(_scores(spark, d)).select("opportunity_id", FM.card().alias("card"), FM.teaser().alias("teaser"), FM.detail(False).alias("detail"))
 
 
 # -- state -------------------------------------------------------------------------------------------------------------
