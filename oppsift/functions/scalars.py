@@ -101,3 +101,15 @@ def rounded(x: Column, digits: int) -> Column:
     scaled = x * scale
     low = F.floor(scaled).cast("double")
     return (low + F.when(scaled - low >= 0.5, 1.0).otherwise(0.0)) / scale
+
+
+def shown(x: Column, digits: int) -> Column:
+    """x to so many decimals as text, by its exact binary value: what is printed of 0.345 is 0.34 or 0.35 as the double lies."""
+    scale, split = 10.0**digits, 134217729.0
+    scaled = x * scale
+    low = F.floor(scaled)
+    high = x * split - (x * split - x)  # the upper half of the bits, so that both products below are exact
+    error = (high * scale - scaled) + (x - high) * scale
+    half = scaled - low == 0.5
+    up = (scaled - low > 0.5) | half & ((error > 0) | (error == 0) & (low % 2 == 1))
+    return F.format_string(f"%.{digits}f", (low + F.when(up, 1).otherwise(0)) / scale)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oppsift.functions.scalars import shown
 from oppsift.functions.text import snippet
 
 # Wording and bounds.
@@ -16,7 +17,7 @@ LOW_EFFORT, MEDIUM_EFFORT = 0.35, 0.55
 EFFORT = ("effort faible", "effort moyen", "effort élevé")
 NEW, WHY, IGNORED, VERIFIED_HEAD, PRIZE_FACT = " · nouveau", "Pourquoi:", "Ignorée", "Vérifié sur la page officielle:", "dotation : "
 OWN_REPOSITORY = 'ton repo "%s" correspond peut-être (%.0f%%)'
-DETAIL_SCORE, DETAIL_RELEVANCE, DETAIL_SOURCES = "Score global : %.2f  ·  valeur estimée : %.2f", "Pertinence : %.0f%%", "Sources : %d signal(aux) · %s"
+DETAIL_SCORE, DETAIL_RELEVANCE, DETAIL_SOURCES = "Score global : %s  ·  valeur estimée : %s", "Pertinence : %s%%", "Sources : %d signal(aux) · %s"
 DETAIL_REWARD, DETAIL_NO_REWARD, DETAIL_EFFORT, DETAIL_RISK, DETAIL_TREND = "Récompense mentionnée : ", "non précisée dans le texte", "Effort estimé : ", "Risque : ", "Tendance : "
 DETAIL_SINCE, DETAIL_WHY, DETAIL_CONCERNS, DETAIL_BLOCKED = "Détecté depuis : ", "Pourquoi ça vaut le coup :", "Points de vigilance :", "🔒 Page officielle protégée (anti-bot) — vérifie toi-même :"
 BLOCKED_HEAD = "🔒 Vérification bloquée"
@@ -84,11 +85,11 @@ def detail(verified: bool = True) -> Column:
         F.concat(_lookup(F.col("tier"), TIER_MARK, F.lit("⚪")), F.lit(" "), _lookup(F.col("tier"), TIER_LABEL, F.lit(IGNORED))),
         _quoted(220),
         F.lit(""),
-        F.format_string(DETAIL_SCORE, "opportunity_score", "value_score"),
+        F.format_string(DETAIL_SCORE, shown(F.col("opportunity_score"), 2), shown(F.col("value_score"), 2)),
         F.concat(F.lit(DETAIL_REWARD), F.coalesce(F.nullif("money_mention", F.lit("")), F.lit(DETAIL_NO_REWARD))),
         F.concat(F.lit(DETAIL_EFFORT), effort_label()),
         F.concat(F.lit(DETAIL_RISK), risk_label()),
-        F.format_string(DETAIL_RELEVANCE, F.col("relevance_score") * 100),
+        F.format_string(DETAIL_RELEVANCE, shown(F.col("relevance_score") * 100, 0)),
         F.format_string(DETAIL_SOURCES, "signal_count", platforms()),
         F.concat(F.lit(DETAIL_TREND), trend_label()),
         F.concat(F.lit(DETAIL_SINCE), F.date_format("first_seen", "yyyy-MM-dd")) if verified else F.lit(None),

@@ -554,7 +554,30 @@ def q_alert_log(spark, d):
     return A.alert_records(A.top(A.eligible(written(_scores(spark, d), "scores"), 0.1), 5), _as_of())
 
 
-@query()
+def snippet_sql(width: int) -> str:
+    return f"'\"' || CASE WHEN length(line) > {width} THEN rtrim(line[:{width - 1}]) || '…' ELSE line END || '\"'"
+
+
+def bullets_sql(head: str, items: str) -> str:
+    return f"CASE WHEN len({items}) > 0 THEN chr(10) || '{head.replace(chr(39), chr(39) * 2)}' || chr(10) || array_to_string(list_transform({items}, lambda w: '• ' || w), chr(10)) END"
+
+
+def lookup_sql(column: str, table_: dict[str, str], default: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + f" ELSE {default} END"
+
+
+CARDS = f"""{DECIDED},
+said AS (SELECT *, replace(trim(representative_text), chr(10), ' ') AS line, CASE WHEN effort_score < 0.35::DOUBLE THEN '{FM.EFFORT[0]}' WHEN effort_score < 0.55::DOUBLE THEN '{FM.EFFORT[1]}' ELSE '{FM.EFFORT[2]}' END AS effort_label,
+  array_to_string(list_sort(platforms), '/') AS places, {lookup_sql("tier", FM.TIER_MARK, "''")} AS mark, {lookup_sql("tier", FM.TIER_LABEL, "''")} AS label FROM decided),
+short AS (SELECT *, CASE WHEN length(line) > 40 THEN rtrim(line[:39]) || '…' ELSE line END AS brief FROM said),
+cards AS (SELECT opportunity_id, concat_ws(chr(10), mark || ' ' || label || '{FM.NEW}', {snippet_sql(110)}, concat_ws(' · ', nullif(money_mention, ''), effort_label, places), {bullets_sql(FM.WHY, "why[:3]")}) AS card,
+  mark || ' ' || CASE WHEN money_mention <> '' THEN money_mention || ' · ' ELSE '' END || brief AS tease,
+  concat_ws(chr(10), {lookup_sql("tier", FM.TIER_MARK, "'⚪'")} || ' ' || {lookup_sql("tier", FM.TIER_LABEL, f"'{FM.IGNORED}'")}, {snippet_sql(220)}, '', printf('Score global : %.2f  ·  valeur estimée : %.2f', opportunity_score, value_score),
+    '{FM.DETAIL_REWARD}' || coalesce(nullif(money_mention, ''), '{FM.DETAIL_NO_REWARD}'), '{FM.DETAIL_EFFORT}' || effort_label, '{FM.DETAIL_RISK}' || {lookup_sql("risk_level", FM.RISK_LEVELS, "lower(risk_level)")}, printf('Pertinence : %.0f%%', relevance_score * 100),
+    printf('{FM.DETAIL_SOURCES}', signal_count, places), '{FM.DETAIL_TREND}' || {lookup_sql("trend", FM.TRENDS, "trend")}, {bullets_sql(FM.DETAIL_WHY, "why")}, {bullets_sql(FM.DETAIL_CONCERNS, "concerns")}) AS detail FROM short)"""
+
+
+@query(f"WITH {CARDS} SELECT opportunity_id, card, CASE WHEN length(tease) > 60 THEN tease[:59] || '…' ELSE tease END AS teaser, detail FROM cards")
 def q_cards(spark, d):
     return SC.decide(_scores(spark, d)).select("opportunity_id", FM.card().alias("card"), FM.teaser().alias("teaser"), FM.detail(False).alias("detail"))
 
