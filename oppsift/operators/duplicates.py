@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oppsift.checkpoints import written
 from oppsift.functions import text as T
-from oppsift.functions.similarity import token_set_bounds, token_set_ratio_column
+from oppsift.functions.similarity import token_set_bounds, token_set_ratio_column, token_set_ratio_from
 
 # The rules of the verdict.
 SAME_JACCARD, WEAK_JACCARD, SHARED_ENTITIES, SAME_FUZZY, LENGTH_RATIO = 0.5, 0.3, 2, 85.0, 0.35
@@ -97,7 +97,7 @@ def evidence(pairs: DataFrame, left: DataFrame, right: DataFrame, all_fuzzy: boo
     is_duplicate.
 
     The fuzzy ratio runs in Python, so it is found only for pairs that the rest leaves open, that are alike in length, and
-    whose words and lengths let it reach the rule's; all_fuzzy finds it for all.
+    whose words and lengths let it reach the rule's, and given only where it does; all_fuzzy finds and gives it for all.
     """
     names = [c for c in ("canonical_url", "content_hash", "normalized_text", "shingles", "entities", "words")]
     l = left.select(F.col("key").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names))
@@ -111,7 +111,7 @@ def evidence(pairs: DataFrame, left: DataFrame, right: DataFrame, all_fuzzy: boo
     most = F.when(open_, token_set_bounds(F.col("a_normalized_text"), F.col("b_normalized_text"))[1])
     both = both.withColumn("open", F.lit(True) if all_fuzzy else F.coalesce(most >= SAME_FUZZY, F.lit(False)))
     # a Python function is run for every row, so the others go to it without their texts
-    ratio = token_set_ratio_column(*(F.when(F.col("open"), F.col(f"{x}_normalized_text")) for x in "ab"))
+    ratio = (token_set_ratio_column if all_fuzzy else token_set_ratio_from(SAME_FUZZY))(*(F.when(F.col("open"), F.col(f"{x}_normalized_text")) for x in "ab"))
     both = both.withColumn("fuzzy", ratio).withColumn("fuzzy", F.when(F.col("open"), F.col("fuzzy")))
     return both.withColumn("is_duplicate", verdict()).drop("open", "a_normalized_text", "b_normalized_text")
 

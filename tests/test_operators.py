@@ -214,6 +214,13 @@ def test_token_set_bounds(spark, pairs):
         assert least - 1e-9 <= ratio <= most + 1e-9
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc d", max_size=150), st.text("abc d", max_size=150), st.sampled_from([1.0, 60.0, 85.0, 100.0]))
+def test_token_set_ratio_from_a_least(a, b, least):
+    ratio, found = token_set_ratio(a, b), token_set_ratio(a, b, least)
+    assert found == ratio if ratio >= least else found < least
+
+
 def test_word_pairs_miss_no_common_words(spark):
     """Of random texts, every pair that reaches the rule by common words is found, whatever their order and frequency."""
     rng = random.Random(3)
