@@ -645,7 +645,11 @@ def test_kneser_ney_against_the_plain_one(spark):
     counts = counted_words([(t, y) for _, t, y in toxic_rows()] + [("\U00020001\U00020002 한국 \U00020001 été étés", 1), ("\U00020001\U00020002", 1)])
     df = spark.createDataFrame([(w, int(a), int(b)) for w, (a, b) in counts.items()], "word string, toxic long, ordinary long").repartition(3)
     grams = df.mapInArrow(toxicity._cut, "context string, char string, toxic long, ordinary long").groupBy("context", "char").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    rows = toxicity.evidence_of(grams.cache()).collect()
+    grams, total = grams.cache(), sum(sum(n) * (len(w) + 1) for w, n in counts.items())
+    rows = toxicity.evidence_of(grams, int(total)).collect()
+    few = toxicity.evidence_of(grams, 10**9).collect()  # of so many, what comes less than 30 times is too faint
+    often = {r["context"] + r["char"] for r in grams.where("toxic + ordinary >= 30").collect()}
+    assert {r["gram"] for r in few} == {r["gram"] for r in rows} & often and few
     p, by, _ = plain_probabilities(counts)
     want = {h + x: np.log(a / b) for h, seen in by.items() for x in seen for a, b in [p(h, x)]}
     want = {g: v for g, v in want.items() if abs(v) >= toxicity.LEAST}
