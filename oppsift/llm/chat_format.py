@@ -197,10 +197,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """What the output of ``format_conversations`` says when read back: of each conversation its number of turns, the
-    sha256 of role, line feed, text, line feed of all turns, the length and sha256 of what lies under the loss mask,
-    unescaped, and the length of the formatted text. ``formatted`` must be that output as it is, in its order."""
-    return formatted.select("conv_id", "formatted", "start", "loss_start", "loss_end").transform(arrow, _digest, DIGEST)
+    """What the output of ``format_conversations`` says when read back, from wherever it lies and in whatever order: of each
+    conversation its number of turns, the sha256 of role, line feed, text, line feed of all turns, the length and sha256 of what
+    lies under the loss mask, unescaped, and the length of the formatted text."""
+    rows = formatted.select("conv_id", "formatted", "start", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "start")
+    return rows.transform(arrow, _digest, DIGEST)
 
 
 def oracle_sql() -> str:

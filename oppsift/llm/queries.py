@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oppsift.checkpoints import shared_folder
+from oppsift.checkpoints import shared_folder, written
 from oppsift.llm import chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, sentencepiece_bpe, token_files, token_rollup, toxicity, url_filter
 
 
@@ -39,7 +39,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
-    return chat_format.conversation_digests(chat_format.format_conversations(turns.unionByName(own)))
+    return chat_format.conversation_digests(written(chat_format.format_conversations(turns.unionByName(own)), "formatted"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
