@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oppsift.checkpoints import shared_folder, written
-from oppsift.llm import chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, sentencepiece_bpe, token_files, token_rollup, toxicity, url_filter
+from oppsift.llm import chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, periodic_runs, sentencepiece_bpe, token_files, token_rollup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op11: in about a tenth of the documents, told by their ids, a period is repeated from some word on."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), least=24, times=3, change=planted)
+    # exact comparison of length / period
+    best = F.expr(
+        "element_at(array_sort(runs, (a, b) -> CASE WHEN a.length * b.period <> b.length * a.period THEN IF(a.length * b.period > b.length * a.period, -1, 1)"
+        " WHEN a.start <> b.start THEN IF(a.start < b.start, -1, 1) WHEN a.period <> b.period THEN IF(a.period < b.period, -1, 1) ELSE 0 END), 1)"
+    )
+    lines = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1,
@@ -95,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_dedup": op8,
         "op9_url_filter": op9,
         "op10_packing": op10,
+        "op11_periodic_runs": op11,
     }
 
 
