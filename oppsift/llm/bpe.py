@@ -24,14 +24,16 @@ LONG = 48
 
 
 class CachedBpe:
-    """Encodes lists of texts; remembers the ids of at most ``limit`` pre-tokens and then starts anew."""
+    """Encodes lists of texts; remembers the ids of at most ``limit`` pre-tokens and then starts anew. special: whether the
+    strings of special tokens in a text stand for these tokens, or are plain text."""
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000, special: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         self.limit = limit
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.widths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)  # bytes of each id: one character stands for one
