@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oppsift.checkpoints import shared_folder, written
-from oppsift.llm import chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, periodic_runs, sentencepiece_bpe, token_alignment, token_files, token_rollup, toxicity, url_filter
+from oppsift.llm import chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, periodic_runs, sentencepiece_bpe, suffix_dedup, token_alignment, token_files, token_rollup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_counts(table(spark, sf_dir, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
 
@@ -127,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9,
         "op10_packing": op10,
         "op11_periodic_runs": op11,
+        "op12_suffix_dedup": op12,
         "op13_token_alignment": op13,
     }
 
