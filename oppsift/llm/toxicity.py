@@ -1,21 +1,25 @@
 """Toxicity of texts by class-conditional Kneser-Ney models.
 
-A word is spelled from a head sign to a tail sign, each character after the (up to seven) characters before it. Two models, one
-of toxic and one of ordinary texts, give the probability of each character: what a class has counted, less a discount below
-one, and beside it the shared model of all training texts, with the weight of the discounts and of SHARED further counts;
-so a rare expression is judged by shared counts, alike for both classes. The shared model is interpolated in the same way
-with continuation counts, the number of different contexts that a character follows. What neither class has met
-after a context, and what both find about as likely (by a factor below exp(LEAST)), tells nothing.
-
-A toxic text is mostly ordinary prose: of its words a share RATE comes from the toxic model, the others from the ordinary one.
-The log-likelihood of a text if toxic less that if ordinary, by its length in words, decides: a logistic function of this
-mean and of the mean in standard errors (times the root of the length), fitted on training rows that the counts have not
-seen. A word that a text repeats n times counts log2(1 + n) times, in the sum and in the length.
+A word is spelled from a head sign to a tail sign, each character after the four before it. Two models, one of toxic and one of
+ordinary texts, give the probability of each character by interpolated Kneser-Ney recursion over the orders 5 to 1: what a class has
+counted after a context, less a discount, backs off to the class's probability after the context without its first
+character, which rests on continuation counts, the number of different characters that stand before. Beside it, SHARED
+counts of weight come from a model of all texts, in which both classes share their counts, as far as the context is known; so a
+rare expression is judged by shared counts, alike for both classes, and an unknown context by the shorter ones inside it.
+
+Characters are 32 symbols: the letters a to z, a digit, four classes of all others by their code points, and the edge of a
+word. So a model is a table of 32 ** 5 numbers at any size of the corpus, and no count is ever dropped: the counts are gathered from
+all training texts, the 32 parts of the table (by first symbol) are made by as many tasks, and what is broadcast has 67 MB.
+
+A text is judged by its length-normalised log-likelihoods, toxic less ordinary, of two kinds: that of its words, each bounded to
+CLIP, for toxic texts that are so throughout; and for those that are mostly ordinary prose that of a mixture, a share RATE of whose
+words comes from the toxic model and the others from the ordinary one. A logistic function of these means and of the same in standard
+errors (times the root of the length) gives the score. It is fitted on training rows, each judged by the counts of the FOLDS parts of
+the training rows that it is not in. A word that a text repeats n times counts log2(1 + n) times, in the sums and in the length.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,101 +33,94 @@ from oppsift.checkpoints import written
 from oppsift.llm.segments import HashIndex, code_values, span_hashes, word_spans
 from oppsift.llm.shared import arrow, only, small_side, text_or_empty
 
-ORDER, SHARED, RATE, LEAST = 8, 3.0, 0.01, 0.3
+#: The model. ORDER and SYMBOLS bound its size; the others were chosen by cross-validation inside the training rows of two tables.
+ORDER, SYMBOLS, SHARED, KNOWN, RATE, CLIP = 5, 32, 50.0, 1.0, 0.02, 8.0
 
-#: An n-gram with a smaller part of all counts of characters is left to the shared counts, so the table that is broadcast has at
-#: most 1 / FAINT rows of 12 bytes, at any size of corpus; below some 30 million characters of training words none is.
-FAINT = 3e-8
+DIGIT, OTHER, EDGE = 26, 27, 31
 
-#: At most so many labelled rows of a class fit the logistic function, those whose ids have the smallest hashes; all others
+#: At most so many labelled rows of a class fit the logistic function, those whose ids have the smallest hashes; all rows
 #: give counts.
-ROWS_PER_CLASS = 2_000
+ROWS_PER_CLASS, FOLDS = 2_000, 3
 
 #: Words that each process remembers, and characters that it works on at once.
 REMEMBERED, STEP = 200_000, 150_000
 
 _TOP = 0x110000
-_HEAD, _TAIL = 2, 3
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Of each code point: is it part of a word; its lower case."""
-    word, low = np.zeros(_TOP, np.bool_), np.arange(_TOP, dtype=np.uint32)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: is it part of a word; its lower case; the symbol of a lower-case one."""
+    word, low, symbol = np.zeros(_TOP, np.bool_), np.arange(_TOP, dtype=np.uint32), (OTHER + np.arange(_TOP) % 4).astype(np.uint8)
     for c in range(_TOP):
         char = chr(c)
         if char.isalnum():
             word[c] = True
+            if char.isdigit():
+                symbol[c] = DIGIT
             if len(small := char.lower()) == 1:
                 low[c] = ord(small)
-    return word, low
+    symbol[ord("a") : ord("z") + 1] = np.arange(26)
+    return word, low, symbol
 
 
-_made: list[tuple[np.ndarray, np.ndarray]] = []
+_made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
 def _codes(whole: str) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased code points, and which are parts of words."""
     if not _made:
         _made.append(_tables())
-    word, low = _made[0]
+    word, low, _ = _made[0]
     codes = low[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
     return codes, word[codes]
 
 
-def _padded(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words, each between a head and a tail sign: all code points, where each word starts, and the word of each."""
-    size = ends - starts + 2
+def _cells(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each character of the words, and of the tail behind each: its word, and the cell of the table for it and the four before."""
+    before = ORDER - 1
+    size = ends - starts + before + 1
     first = np.cumsum(size) - size
     word = np.repeat(np.arange(len(size)), size)
-    out = codes[np.clip(np.arange(len(word)) - first[word] - 1 + starts[word], 0, len(codes) - 1)]
-    out[first], out[first + size - 1] = _HEAD, _TAIL
-    return out, first, word
-
-
-def _grams(codes: np.ndarray, first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each character but the head signs: its word, and the span of it and of the context before it."""
-    at = np.flatnonzero(codes != _HEAD)
-    return word[at], np.maximum(at - ORDER + 1, first[word[at]]), at + 1
+    place = np.arange(len(word)) - first[word]
+    signs = np.full(len(word), EDGE, np.int32)
+    body = (place >= before) & (place < (size - 1)[word])
+    signs[body] = _made[0][2][codes[(starts[word] + place - before)[body]]]
+    cell = signs
+    for k in range(1, ORDER):
+        cell = cell[:-1] << 5 | signs[k:]
+    use = place[before:] >= before
+    return word[before:][use], cell[use]
 
 
 @dataclass
 class KneserNey:
-    """The evidence of characters in their contexts, by hash: log-likelihood if toxic less that if ordinary."""
+    """The evidence of characters in their contexts, by cell: log-likelihood if toxic less that if ordinary."""
 
-    grams: np.ndarray
     evidence: np.ndarray
     #: Of the logistic function: constant, and one for each of ``Scorer.evidence``'s columns.
     weights: np.ndarray | None = None
 
-    @classmethod
-    def of(cls, grams: list[str], evidence: np.ndarray) -> KneserNey:
-        codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum([len(g) for g in grams], dtype=np.int64)
-        return cls(span_hashes(code_values()[codes], ends - np.diff(ends, prepend=0), ends), evidence.astype(np.float32))
-
     def words(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of each word: log-likelihood in a toxic text less that in an ordinary one."""
-        if "index" not in self.__dict__:
-            self.index = HashIndex(len(self.grams) + 1)
-            self.index.add(self.grams, np.arange(len(self.grams)))
-        codes, first, word = _padded(codes, starts, ends)
-        word, a, b = _grams(codes, first, word)
-        known = self.index.find(span_hashes(code_values()[codes], a, b))
-        has = np.flatnonzero(known >= 0)
-        ratio = np.bincount(word[has], self.evidence[known[has]], len(starts))
-        return np.log1p(RATE * np.expm1(np.clip(ratio, -30, 30)))
+        """Of each word two log-likelihoods, in a toxic text less in an ordinary one: of the mixture, and of the word bounded to CLIP."""
+        word, cell = _cells(codes, starts, ends)
+        ratio = np.bincount(word, self.evidence[cell], len(starts))
+        return np.column_stack([np.log1p(RATE * np.expm1(np.clip(ratio, -30, 30))), np.clip(ratio, -CLIP, CLIP)])
+
+
+#: Columns of a text's evidence.
+FEATURES = ["mixture", "mixture_errors", "words", "words_errors"]
 
 
 class Scorer:
     """Evidence of texts; a word met before is looked up."""
 
     def __init__(self, model: KneserNey) -> None:
-        self.model, self.seen, self.known = model, HashIndex(REMEMBERED), np.empty(0)  # twice as many slots
+        self.model, self.seen, self.known = model, HashIndex(REMEMBERED), np.empty((0, 2))  # twice as many slots
 
     def _words(self, keys: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self.seen.count > REMEMBERED:
             self.seen.clear()
-            self.known = np.empty(0)
+            self.known = np.empty((0, 2))
         entry = self.seen.find(keys).astype(np.int64)
         new = np.flatnonzero(entry < 0)
         if len(new):
@@ -135,8 +132,8 @@ class Scorer:
         return self.known[entry]
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the log-likelihoods' difference by its length, and that in standard errors; zeros without words."""
-        out = np.zeros((len(texts), 2))
+        """Of each text ``FEATURES``: both log-likelihoods' differences by its length, and each in standard errors; zeros without words."""
+        out = np.zeros((len(texts), 4))
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
@@ -153,8 +150,9 @@ class Scorer:
                 weight = np.log2(1 + np.diff(np.append(one, len(keys))))
                 values = self._words(keys[one], codes, starts[order[one]], ends[order[one]])
                 length = np.bincount(text[one], weight, hi - lo)
-                mean = np.bincount(text[one], weight * values, hi - lo) / np.maximum(length, 1)
-                out[lo:hi] = np.column_stack([mean, mean * np.sqrt(length)])
+                for k in range(2):
+                    mean = np.bincount(text[one], weight * values[:, k], hi - lo) / np.maximum(length, 1)
+                    out[lo:hi, 2 * k], out[lo:hi, 2 * k + 1] = mean, mean * np.sqrt(length)
             lo = hi
         return out
 
@@ -170,7 +168,7 @@ def _in_parts(batches: Iterator[pa.RecordBatch], broadcast: Broadcast, rows: int
 
 def _evidence(batches: Iterator[pa.RecordBatch], broadcast: Broadcast) -> Iterator[pa.RecordBatch]:
     for part, x in _in_parts(batches, broadcast):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "mean", "errors"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, x.T)], ["doc_id", *FEATURES])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], broadcast: Broadcast, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -179,58 +177,117 @@ def _scored(batches: Iterator[pa.RecordBatch], broadcast: Broadcast, weights: np
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """The characters of words (word, toxic, ordinary) with their contexts, and the sums of their counts in some words."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, fold, toxic, ordinary): how often each class's texts (text, toxic, fold) of the task have a cell's characters; a word
+    counts once a text."""
+    held, some = [], 0
+
+    def summed() -> list[tuple[np.ndarray, np.ndarray]]:
+        cells, which = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        counts = np.concatenate([n for _, n in held])
+        return [(cells, np.column_stack([np.bincount(which, counts[:, k], len(cells)) for k in range(2)]))]
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            part = batch.slice(lo, rows)
-            words = part.column("word").to_pylist()
-            counts = np.column_stack([part.column(c).to_numpy() for c in ("toxic", "ordinary")]).astype(np.float64)
-            codes, _ = _codes("".join(words))
-            ends = np.cumsum([len(w) for w in words])
-            codes, first, word = _padded(codes, ends - np.diff(ends, prepend=0), ends)
-            whole = codes.tobytes().decode("utf-32-le", "surrogatepass")
-            word, a, b = _grams(codes, first, word)
-            _, one, which = np.unique(span_hashes(code_values()[codes], a, b), return_index=True, return_inverse=True)
-            spans = list(zip(a[one].tolist(), b[one].tolist(), strict=True))
-            sums = [pa.array(np.bincount(which, counts[word, k], len(one)).astype(np.int64)) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([whole[i : j - 1] for i, j in spans], pa.string()), pa.array([whole[j - 1] for _, j in spans], pa.string()), *sums], ["context", "char", "toxic", "ordinary"])
-
-
-def discounts(grams: DataFrame) -> dict[str, float]:
-    """Of each class and of both together, by how many n-grams occurred once and twice."""
-    both = {"toxic": F.col("toxic"), "ordinary": F.col("ordinary"), "both": F.col("toxic") + F.col("ordinary")}
-    n = grams.agg(*(F.count_if(v == k).alias(f"{c}_{k}") for c, v in both.items() for k in (1, 2))).first()
-    return {c: n[f"{c}_1"] / (n[f"{c}_1"] + 2 * n[f"{c}_2"]) if n[f"{c}_1"] and n[f"{c}_2"] else 0.5 for c in both}
-
-
-def evidence_of(grams: DataFrame, total: int) -> DataFrame:
-    """(gram, evidence) of the n-grams (context, char, toxic, ordinary; written, as they are read three times) that tell something.
-    total: the sum of all counts."""
-    d = discounts(grams)
-    toxic, ordinary, both = F.col("toxic").cast("double"), F.col("ordinary").cast("double"), (F.col("toxic") + F.col("ordinary")).cast("double")
-    kinds = grams.groupBy("char").agg(F.count("*").alias("kinds"))
-    every = grams.agg(F.count("*").alias("every"))
-    contexts = grams.groupBy("context").agg(
-        F.sum(toxic).alias("all_toxic"), F.sum(ordinary).alias("all_ordinary"), F.sum(F.least(toxic, F.lit(d["toxic"]))).alias("low_toxic"), F.sum(F.least(ordinary, F.lit(d["ordinary"]))).alias("low_ordinary"),
-        F.sum(F.least(both, F.lit(d["both"]))).alias("low"),
-    )
-    # one row, and one for each character
-    rows = grams.join(contexts, "context").join(kinds, "char").join(F.broadcast(every))
-    often, zero = F.col("all_toxic") + F.col("all_ordinary"), F.lit(0.0)
-    shared = F.greatest(both - d["both"], zero) / often + F.col("low") / often * F.col("kinds") / F.col("every")
-    p = [(F.greatest(v - d[c], zero) + (F.col(f"low_{c}") + SHARED) * shared) / (F.col(f"all_{c}") + SHARED) for c, v in (("toxic", toxic), ("ordinary", ordinary))]
-    return rows.select(F.concat("context", "char").alias("gram"), (F.ln(p[0]) - F.ln(p[1])).alias("evidence"), both.alias("count")).where((F.abs("evidence") >= LEAST) & (F.col("count") >= FAINT * total)).drop("count")
-
-
-def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row: the tables of the model of sorted ``evidence_of`` rows."""
-    held = list(batches)
-    if sum(b.num_rows for b in held):
-        rows, out = pa.Table.from_batches(held), io.BytesIO()
-        model = KneserNey.of(rows["gram"].to_pylist(), rows["evidence"].to_numpy())
-        np.savez(out, grams=model.grams, evidence=model.evidence)
-        yield pa.RecordBatch.from_pylist([{"model": out.getvalue()}])
+        texts, toxic, lo = [t or "" for t in batch.column("text").to_pylist()], batch.column("toxic").to_numpy(zero_copy_only=False), 0
+        fold = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int64)
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= STEP):
+                size += len(texts[hi])
+                hi += 1
+            codes, inside = _codes("".join(texts[lo:hi]))
+            if inside.any():
+                starts, ends, at = word_spans(inside, np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])]))
+                keys, text = span_hashes(code_values()[codes], starts, ends), np.repeat(np.arange(hi - lo), np.diff(at))
+                part = fold[lo:hi][text]
+                order = np.lexsort((text, keys, part))
+                keys, text, part = keys[order], text[order], part[order]
+                new = np.r_[True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])]
+                once = new | np.r_[True, text[1:] != text[:-1]]
+                which, is_toxic = np.cumsum(new)[once] - 1, toxic[lo:hi][text[once]] == 1
+                count = np.column_stack([np.bincount(which, x, int(new.sum())) for x in (is_toxic, ~is_toxic)])
+                word, cell = _cells(codes, starts[order[new]], ends[order[new]])
+                held.append((part[new][word] * SYMBOLS**ORDER + cell, count[word]))
+                some += len(cell)
+            lo = hi
+            if some > 2_000_000 and len(held) > 1:
+                held = summed()
+                some = len(held[0][0]) // 2
+    if held:
+        [(cells, counts)] = summed()
+        for lo in range(0, len(cells), 1 << 18):
+            part = slice(lo, lo + (1 << 18))
+            places = [(cells[part] % SYMBOLS**ORDER).astype(np.int32), (cells[part] // SYMBOLS**ORDER).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, places), *(pa.array(counts[part, k].astype(np.int64)) for k in range(2))], ["cell", "fold", "toxic", "ordinary"])
+
+
+def discount(once: float, twice: float) -> float:
+    """By how many n-grams were counted once and twice."""
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def interpolated(counts: list[np.ndarray], lower: list[np.ndarray], discounts: list[float]) -> list[np.ndarray]:
+    """Probabilities of one order by the recursion, for toxic, ordinary and both: of each context (a row) and next symbol (a column).
+    counts: of these three, lower: the next lower order's probabilities at the contexts without their first symbols."""
+    total, off = [c.sum(1, keepdims=True) for c in counts], [np.minimum(c, d).sum(1, keepdims=True) for c, d in zip(counts, discounts, strict=True)]
+    above = [np.maximum(c - d, 0) for c, d in zip(counts, discounts, strict=True)]
+    both = np.where(total[2] > 0, (above[2] + off[2] * lower[2]) / np.maximum(total[2], 1e-300), lower[2])
+    known = total[2] / (total[2] + KNOWN)
+    return [*((above[k] + off[k] * lower[k] + SHARED * (known * both + (1 - known) * lower[k])) / (total[k] + SHARED) for k in range(2)), both]
+
+
+def lower_orders(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """The probabilities (toxic, ordinary, both) of order ORDER - 1, by cell, of its continuation counts."""
+    kinds = [counts]
+    for k in range(ORDER - 2, 0, -1):
+        kinds.append([(c.reshape(-1, SYMBOLS**k) > 0).sum(0).astype(np.float64) for c in kinds[-1]])
+    p = [np.full(1, 1 / SYMBOLS)] * 3
+    for order, counted in enumerate(reversed(kinds), 1):
+        contexts = SYMBOLS ** (order - 1)
+        back = [x.reshape(-1, SYMBOLS)[np.arange(contexts) % (contexts // SYMBOLS)] if order > 1 else x for x in p]
+        d = [discount((c == 1).sum(), (c == 2).sum()) for c in counted]
+        p = [x.ravel() for x in interpolated([c.reshape(-1, SYMBOLS) for c in counted], back, d)]
+    return p
+
+
+def _evidence_of(p: list[np.ndarray]) -> np.ndarray:
+    return (np.log(p[0]) - np.log(p[1])).astype(np.float16)
+
+
+def _slice(rows: pa.Table, lower: list[np.ndarray], discounts: list[float]) -> np.ndarray:
+    """The evidence of all cells with one first symbol, of which ``rows`` have been counted."""
+    at = rows["cell"].to_numpy() % SYMBOLS ** (ORDER - 1)
+    some, which = np.unique(at // SYMBOLS, return_inverse=True)
+    counts = [np.zeros((len(some), SYMBOLS)) for _ in range(2)]
+    for k, name in enumerate(("toxic", "ordinary")):
+        counts[k][which, at % SYMBOLS] = rows[name].to_numpy()
+    out = _evidence_of(lower).reshape(-1, SYMBOLS)  # of unknown contexts
+    out[some] = _evidence_of(interpolated([*counts, counts[0] + counts[1]], [x.reshape(-1, SYMBOLS)[some] for x in lower], discounts))
+    return out.ravel()
+
+
+def evidence_of(grams: DataFrame) -> np.ndarray:
+    """The evidence of each cell, of counts (cell, toxic, ordinary), each cell once."""
+    spark, size = grams.sparkSession, SYMBOLS ** (ORDER - 1)
+    of = {"toxic": F.col("toxic"), "ordinary": F.col("ordinary"), "both": F.col("toxic") + F.col("ordinary")}
+    n = grams.agg(*(F.count_if(v == k).alias(f"{c}_{k}") for c, v in of.items() for k in (1, 2))).first()
+    discounts = [discount(n[f"{c}_1"], n[f"{c}_2"]) for c in of]
+    kinds = grams.groupBy((F.col("cell") % size).alias("cell")).agg(*(F.count_if(v > 0).alias(c) for c, v in of.items())).toArrow()  # at most SYMBOLS ** 4 rows
+    counts = [np.zeros(size) for _ in of]
+    for c, name in zip(counts, of, strict=True):
+        c[kinds["cell"].to_numpy()] = kinds[name].to_numpy()
+    lower = lower_orders(counts)
+    share = spark.sparkContext.broadcast(lower)
+
+    def made(rows: pa.Table) -> pa.Table:
+        return pa.table({"first": pa.array([rows["cell"][0].as_py() // size], pa.int32()), "evidence": pa.array([_slice(rows, share.value, discounts).tobytes()], pa.binary())})
+
+    parts = grams.groupBy(F.expr(f"cell div {size}")).applyInArrow(made, "first int, evidence binary")
+    out = np.tile(_evidence_of(lower), SYMBOLS)
+    for row in parts.toLocalIterator():  # SYMBOLS parts of 2 MB at most
+        out[row["first"] * size : (row["first"] + 1) * size] = np.frombuffer(row["evidence"], np.float16)
+    share.destroy()
+    return out
 
 
 def remainder(doc_id: str = "doc_id", of: int = 3) -> Column:
@@ -239,7 +296,7 @@ def remainder(doc_id: str = "doc_id", of: int = 3) -> Column:
 
 
 #: Constant and weights, of columns in standard deviations, before any training row is seen.
-PRIOR, BALANCE = np.array([-3.0, 2.0, 2.0]), 0.7
+PRIOR, BALANCE = np.array([-3.0, 1.0, 1.0, 1.0, 1.0]), 0.5
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 100) -> np.ndarray:
@@ -270,35 +327,37 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int =
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> KneserNey:
     """A model of ``docs`` (doc_id, text) as ``labels`` (doc_id, toxic) marks them.
 
-    Only labels whose crc32(doc_id as text) modulo 3 is not 1 are used. Of a fifth of them at most ``rows_per_class`` of each
-    class fit the logistic function; all others give the counts, which say how many texts have a word (a word counts once a text).
-    Null ids and labels other than 0 and 1 are left out; an id marked both ways counts as toxic. Repeated rows count as often as
-    they occur. Without a row of either class, as for empty tables, all scores are 0.
+    Only labels whose crc32(doc_id as text) modulo 3 is not 1 are used. All of them give the counts, which say how many texts have a
+    word (a word counts once a text); at most ``rows_per_class`` of each class fit the logistic function. Null ids and labels other than 0
+    and 1 are left out; an id marked both ways counts as toxic. Repeated rows count as often as they occur. Without a row of either
+    class, as for empty tables, all scores are 0.
     """
     spark = docs.sparkSession
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(remainder() != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = written(marked, "labelled")
-    chosen = [marked.where(F.col("toxic") == k).where(remainder(of=15) < 3).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows_per_class) for k in (0, 1)]
+    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    marked = written(marked.withColumn("fold", F.pmod(hashed, F.lit(FOLDS)).cast("int")), "labelled")
+    chosen = [marked.where(F.col("toxic") == k).orderBy(hashed, "doc_id").limit(rows_per_class) for k in (0, 1)]
     chosen = written(chosen[0].unionByName(chosen[1]), "fitted")  # at most 2 * rows_per_class rows, so it may be broadcast
-    counted = marked.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    words = texts.join(small_side(counted), "doc_id").select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary"))
-    grams = counts.transform(arrow, _cut, "context string, char string, toxic long, ordinary long").groupBy("context", "char").agg(*(F.sum(k).alias(k) for k in ("toxic", "ordinary")))
-    grams = written(grams, "grams")
-    n = grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
-    none = KneserNey(np.empty(0, np.uint64), np.empty(0, np.float32), np.array([-np.inf, 0, 0]))
+    counts = texts.join(small_side(marked), "doc_id").select("text", "toxic", "fold").transform(arrow, _counted, "cell int, fold int, toxic long, ordinary long")
+    sums = [F.sum(k).alias(k) for k in ("toxic", "ordinary")]
+    grams = written(counts.groupBy("cell", "fold").agg(*sums), "grams")
+    n = grams.agg(*sums).first()
     if not n["toxic"] or not n["ordinary"]:
-        return none
-    # what is left of the n-grams is the model itself; one task puts it together, which spares the driver
-    made = evidence_of(grams, n["toxic"] + n["ordinary"]).repartition(1).sortWithinPartitions("gram").transform(arrow, _trained, "model binary").first()
-    model = KneserNey(*(np.load(io.BytesIO(made["model"]))[k] for k in ("grams", "evidence"))) if made else none
-    broadcast = spark.sparkContext.broadcast(model)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").transform(arrow, lambda b: _evidence(b, broadcast), f"doc_id {dict(docs.dtypes)['doc_id']}, mean double, errors double")
-    fit = rows.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("mean", "ascending")])
-    broadcast.destroy()
-    x = np.column_stack([fit[c].to_numpy() for c in ("mean", "errors")])
-    model.weights = fit_logistic(x, fit["toxic"].to_numpy().astype(np.float64))
+        return KneserNey(np.zeros(SYMBOLS**ORDER, np.float16), np.array([-np.inf, *[0] * len(FEATURES)]))
+    rows = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "fold", "toxic"), "rows")
+    fit = []
+    for fold in range(FOLDS):
+        others = KneserNey(evidence_of(written(grams.where(F.col("fold") != fold).groupBy("cell").agg(*sums), "others")))
+        broadcast = spark.sparkContext.broadcast(others)
+        fields = f"doc_id {dict(docs.dtypes)['doc_id']}, {', '.join(f'{c} double' for c in FEATURES)}"
+        found = rows.where(F.col("fold") == fold).select("doc_id", "text").transform(arrow, lambda b, share=broadcast: _evidence(b, share), fields)
+        fit.append(found.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").toArrow())
+        broadcast.destroy()
+    found = pa.concat_tables(fit).sort_by([("doc_id", "ascending"), *((c, "ascending") for c in FEATURES)])
+    model = KneserNey(evidence_of(written(grams.groupBy("cell").agg(*sums), "cells")))
+    x = np.column_stack([found[c].to_numpy() for c in FEATURES])
+    model.weights = fit_logistic(x, found["toxic"].to_numpy().astype(np.float64))
     return model
 
 
