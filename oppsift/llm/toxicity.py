@@ -8,8 +8,9 @@ counts of weight come from a model of all texts, in which both classes share the
 rare expression is judged by shared counts, alike for both classes, and an unknown context by the shorter ones inside it.
 
 Characters are 32 symbols: the letters a to z, a digit, four classes of all others by their code points, and the edge of a
-word. So a model is a table of 32 ** 5 numbers at any size of the corpus, and no count is ever dropped: the counts are gathered from
-all training texts, the 32 parts of the table (by first symbol) are made by as many tasks, and what is broadcast has 67 MB.
+word. So a model is a table of 32 ** 5 numbers at most at any size of the corpus, and no count is ever dropped: the counts are
+gathered from all training texts, the 32 parts of the table (by first symbol) are made by as many tasks, each context that
+has been met is a row of 32 numbers of two bytes, and what is broadcast has 73 MB at most.
 
 A text is judged by its length-normalised log-likelihoods, toxic less ordinary, of two kinds: that of its words, each bounded to
 CLIP, for toxic texts that are so throughout; and for those that are mostly ordinary prose that of a mixture, a share RATE of whose
@@ -94,16 +95,26 @@ def _cells(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 @dataclass
 class KneserNey:
-    """The evidence of characters in their contexts, by cell: log-likelihood if toxic less that if ordinary."""
+    """The evidence of characters in their contexts: log-likelihood if toxic less that if ordinary."""
 
-    evidence: np.ndarray
+    #: Of each context the row in ``known``, -1 of those that no training text has; of these ``lower`` tells, by the last symbols of the cell.
+    place: np.ndarray
+    known: np.ndarray
+    lower: np.ndarray
     #: Of the logistic function: constant, and one for each of ``Scorer.evidence``'s columns.
     weights: np.ndarray | None = None
 
+    def evidence(self, cell: np.ndarray) -> np.ndarray:
+        row = self.place[cell // SYMBOLS]
+        out = self.lower[cell % len(self.lower)]
+        some = row >= 0
+        out[some] = self.known[row[some], cell[some] % SYMBOLS]
+        return out
+
     def words(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of each word two log-likelihoods, in a toxic text less in an ordinary one: of the mixture, and of the word bounded to CLIP."""
         word, cell = _cells(codes, starts, ends)
-        ratio = np.bincount(word, self.evidence[cell], len(starts))
+        ratio = np.bincount(word, self.evidence(cell), len(starts))
         return np.column_stack([np.log1p(RATE * np.expm1(np.clip(ratio, -30, 30))), np.clip(ratio, -CLIP, CLIP)])
 
 
@@ -254,20 +265,19 @@ def _evidence_of(p: list[np.ndarray]) -> np.ndarray:
     return (np.log(p[0]) - np.log(p[1])).astype(np.float16)
 
 
-def _slice(rows: pa.Table, lower: list[np.ndarray], discounts: list[float]) -> np.ndarray:
-    """The evidence of all cells with one first symbol, of which ``rows`` have been counted."""
-    at = rows["cell"].to_numpy() % SYMBOLS ** (ORDER - 1)
-    some, which = np.unique(at // SYMBOLS, return_inverse=True)
+def _slice(rows: pa.Table, lower: list[np.ndarray], discounts: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of ``rows`` (cell, toxic, ordinary), which are all that was counted after them, and their evidence."""
+    cell = rows["cell"].to_numpy()
+    some, which = np.unique(cell // SYMBOLS, return_inverse=True)
     counts = [np.zeros((len(some), SYMBOLS)) for _ in range(2)]
     for k, name in enumerate(("toxic", "ordinary")):
-        counts[k][which, at % SYMBOLS] = rows[name].to_numpy()
-    out = _evidence_of(lower).reshape(-1, SYMBOLS)  # of unknown contexts
-    out[some] = _evidence_of(interpolated([*counts, counts[0] + counts[1]], [x.reshape(-1, SYMBOLS)[some] for x in lower], discounts))
-    return out.ravel()
+        counts[k][which, cell % SYMBOLS] = rows[name].to_numpy()
+    below = [x.reshape(-1, SYMBOLS)[some % (len(x) // SYMBOLS)] for x in lower]
+    return some, _evidence_of(interpolated([*counts, counts[0] + counts[1]], below, discounts))
 
 
-def evidence_of(grams: DataFrame) -> np.ndarray:
-    """The evidence of each cell, of counts (cell, toxic, ordinary), each cell once."""
+def fitted_counts(grams: DataFrame) -> KneserNey:
+    """The model of counts (cell, toxic, ordinary), each cell once."""
     spark, size = grams.sparkSession, SYMBOLS ** (ORDER - 1)
     of = {"toxic": F.col("toxic"), "ordinary": F.col("ordinary"), "both": F.col("toxic") + F.col("ordinary")}
     n = grams.agg(*(F.count_if(v == k).alias(f"{c}_{k}") for c, v in of.items() for k in (1, 2))).first()
@@ -280,14 +290,21 @@ def evidence_of(grams: DataFrame) -> np.ndarray:
     share = spark.sparkContext.broadcast(lower)
 
     def made(rows: pa.Table) -> pa.Table:
-        return pa.table({"first": pa.array([rows["cell"][0].as_py() // size], pa.int32()), "evidence": pa.array([_slice(rows, share.value, discounts).tobytes()], pa.binary())})
+        some, evidence = _slice(rows, share.value, discounts)
+        return pa.table({"contexts": pa.array([some.astype("<i4").tobytes()], pa.binary()), "evidence": pa.array([evidence.tobytes()], pa.binary())})
 
-    parts = grams.groupBy(F.expr(f"cell div {size}")).applyInArrow(made, "first int, evidence binary")
-    out = np.tile(_evidence_of(lower), SYMBOLS)
-    for row in parts.toLocalIterator():  # SYMBOLS parts of 2 MB at most
-        out[row["first"] * size : (row["first"] + 1) * size] = np.frombuffer(row["evidence"], np.float16)
+    parts = grams.groupBy(F.expr(f"cell div {size}")).applyInArrow(made, "contexts binary, evidence binary").collect()  # SYMBOLS parts of 2 MB at most
+    place = np.full(size, -1, np.int32)
+    contexts = np.concatenate([np.frombuffer(r["contexts"], "<i4") for r in parts])
+    place[contexts] = np.arange(len(contexts))
     share.destroy()
-    return out
+    return KneserNey(place, np.concatenate([np.frombuffer(r["evidence"], np.float16) for r in parts]).reshape(-1, SYMBOLS), _evidence_of(lower))
+
+
+def unfitted() -> KneserNey:
+    """A model that knows nothing and gives every text 0."""
+    size = SYMBOLS ** (ORDER - 1)
+    return KneserNey(np.full(size, -1, np.int32), np.zeros((0, SYMBOLS), np.float16), np.zeros(size, np.float16), np.array([-np.inf, *[0] * len(FEATURES)]))
 
 
 def remainder(doc_id: str = "doc_id", of: int = 3) -> Column:
@@ -344,18 +361,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_
     grams = written(counts.groupBy("cell", "fold").agg(*sums), "grams")
     n = grams.agg(*sums).first()
     if not n["toxic"] or not n["ordinary"]:
-        return KneserNey(np.zeros(SYMBOLS**ORDER, np.float16), np.array([-np.inf, *[0] * len(FEATURES)]))
+        return unfitted()
     rows = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "fold", "toxic"), "rows")
     fit = []
     for fold in range(FOLDS):
-        others = KneserNey(evidence_of(written(grams.where(F.col("fold") != fold).groupBy("cell").agg(*sums), "others")))
+        others = fitted_counts(written(grams.where(F.col("fold") != fold).groupBy("cell").agg(*sums), "others"))
         broadcast = spark.sparkContext.broadcast(others)
         fields = f"doc_id {dict(docs.dtypes)['doc_id']}, {', '.join(f'{c} double' for c in FEATURES)}"
         found = rows.where(F.col("fold") == fold).select("doc_id", "text").transform(arrow, lambda b, share=broadcast: _evidence(b, share), fields)
         fit.append(found.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").toArrow())
         broadcast.destroy()
     found = pa.concat_tables(fit).sort_by([("doc_id", "ascending"), *((c, "ascending") for c in FEATURES)])
-    model = KneserNey(evidence_of(written(grams.groupBy("cell").agg(*sums), "cells")))
+    model = fitted_counts(written(grams.groupBy("cell").agg(*sums), "cells"))
     x = np.column_stack([found[c].to_numpy() for c in FEATURES])
     model.weights = fit_logistic(x, found["toxic"].to_numpy().astype(np.float64))
     return model

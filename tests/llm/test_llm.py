@@ -79,7 +79,7 @@ def test_texts_of_more_words_than_slots(monkeypatch):
     text = " ".join(f"w{k}x" for k in range(3000))
     for module in (toxicity, sentencepiece_bpe):
         monkeypatch.setattr(module, "REMEMBERED", 100)
-    model = toxicity.KneserNey(np.linspace(-1, 1, toxicity.SYMBOLS**toxicity.ORDER, dtype=np.float32).astype(np.float16))
+    model = toxicity.unfitted()
     assert np.isfinite(toxicity.Scorer(model).evidence([text])).all()
     small = bpe.CachedBpe(BPE, limit=100)
     small.index = segments.HashIndex(100)
@@ -702,11 +702,11 @@ def test_kneser_ney_against_the_plain_one(spark, merged, monkeypatch):
         return
     df = spark.createDataFrame(texts, "text string, toxic int").withColumn("fold", F.lit(0)).repartition(3)
     grams = df.mapInArrow(toxicity._counted, "cell int, fold int, toxic long, ordinary long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).cache()
-    model = toxicity.KneserNey(toxicity.evidence_of(grams))
+    model = toxicity.fitted_counts(grams)
     rng = np.random.default_rng(1)
     cells = [*counts[5], *(tuple(rng.integers(0, 32, 5).tolist()) for _ in range(200)), *((*g[:4], int(x)) for g in list(counts[5])[:200] for x in rng.integers(0, 32, 3))]
     want = [np.log(a / b) for g in cells for a, b, _ in [p(5, g[:4], g[4])]]
-    assert np.allclose([model.evidence[functools.reduce(lambda c, x: c << 5 | x, g)] for g in cells], want, rtol=2e-3, atol=1e-3)
+    assert np.allclose(model.evidence(np.array([functools.reduce(lambda c, x: c << 5 | x, g) for g in cells])), want, rtol=2e-3, atol=1e-3)
     some = [*(t for _, t, _ in toxic_rows()[:40]), None, "", "...", "Zombog zombog vyxaaa été", "\U00020001\U00020002", "x" * 400, "vyxaaa " * 50]
     features = toxicity.Scorer(model).evidence([t or "" for t in some])
     assert np.allclose(features, plain_features(some, words), rtol=5e-3, atol=1e-2) and features[-1, 0] > 0
