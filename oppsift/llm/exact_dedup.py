@@ -24,6 +24,10 @@ from oppsift.llm.shared import SMALL_ROWS, arrow, small_side, text_or_empty
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: About so many fingerprints meet in a range of quotients, however many rows there are; and the fewest ranges.
+RANGE, RANGES = 500_000, 16
+
+
 class CountingQuotientFilter:
     """Values of ``width`` bits with counts. The top ``quotient_bits`` of a value are its quotient, the rest its remainder; the
     remainders of one quotient are a run, in ascending order, and runs lie in the order of their quotients."""
@@ -151,9 +155,8 @@ def _repeated(group: pd.DataFrame, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"fp": (whole.values(twice) | top).view(np.int64), "n": whole.counts[twice]})
 
 
-def repeated_fingerprints(fingerprints: DataFrame, parts: int | None = None) -> DataFrame:
+def repeated_fingerprints(fingerprints: DataFrame, parts: int = RANGES) -> DataFrame:
     """(fp, n) of the values of the one long column that occur more than once. parts: into how many ranges filters are cut."""
-    parts = parts or 4 * int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, min(24, (parts - 1).bit_length()))
     return fingerprints.transform(arrow, lambda b: _filters(b, bits), "part long, filter binary").groupBy("part").applyInPandas(lambda g: _repeated(g, bits), "fp long, n long")
 
@@ -166,8 +169,9 @@ def judged(docs: DataFrame, fingerprint: Column | None = None, limit: int = SMAL
     """What ``exact_dedup`` gives, with the xxhash64 of each text as text_hash, which tells rows of one doc_id apart."""
     fp = fingerprint if fingerprint is not None else F.xxhash64("norm")
     texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), normalised().alias("norm"))
-    keys = written(texts.select("doc_id", "text_hash", fp.alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "keys")
-    twice, n = measured(repeated_fingerprints(keys.select("fp")).select("fp"), "fingerprints", n=F.count("*"))
+    keys, n = measured(texts.select("doc_id", "text_hash", fp.alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "keys", n=F.count("*"))
+    repeated = repeated_fingerprints(keys.select("fp"), max(RANGES, -(-n["n"] // RANGE)))
+    twice, n = measured(repeated.select("fp"), "fingerprints", n=F.count("*"))
     copies = texts.withColumn("fp", fp).join(small_side(twice, n["n"], limit), "fp", "left_semi")
     groups = copies.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups, n = measured(groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "groups", n=F.count("*"))

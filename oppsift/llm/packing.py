@@ -3,7 +3,7 @@
 A piece of n tokens costs n + n * n / ``length``: the work that is linear in tokens and attention within the piece. What
 fills whole sequences is cut off first. Then the rests, in descending order of cost, each go to the cheapest sequence
 with room for them, among as many as hold all tokens of the window; a rest that fits nowhere whole is cut, into the
-emptiest sequences. So only the last tokens of a window are short of a full sequence.
+emptiest sequences. So all padding of a window together is less than one sequence; it may be spread over many.
 """
 
 from __future__ import annotations
