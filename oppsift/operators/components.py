@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oppsift.checkpoints import measured, removed
+from oppsift.checkpoints import measured, removed, written
 
 #: Edges that a task contracts at once.
 AT_ONCE = 1_000_000
@@ -89,3 +89,29 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", round
         if before["n"]:
             raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merge_components(labels: DataFrame, edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node, component) of the nodes whose component the new ``edges`` change, and of those that are new: what is to be put in
+    the place of their rows in ``labels`` (node, component: the stored result of ``connected_components``, each node once).
+
+    Each end stands for its stored component, so the new edges make a graph of the components that they touch, which is all that
+    is searched; of the stored labels only those of components that get another smallest node are read out. The result is
+    as from all edges together. Edges with a null end count for nothing; a loop makes no node.
+    """
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    known = labels.select(F.col("node").alias("known"), F.col("component").alias("of"))
+    for side in ("a", "b"):
+        ends = ends.join(known, F.col(side) == F.col("known"), "left").withColumn(f"{side}_of", F.coalesce("of", side)).withColumn(f"{side}_new", F.col("of").isNull()).drop("known", "of")
+    ends = written(ends, "ends")
+    lowest = connected_components(ends.where("a_of <> b_of").select("a_of", "b_of").distinct(), "a_of", "b_of")
+    lowest = written(lowest.select(F.col("node").alias("of"), F.col("component").alias("lowest")), "lowest")
+    moved = labels.join(lowest.where("of <> lowest"), F.col("component") == F.col("of")).select("node", F.col("lowest").alias("component"))
+    fresh = ends.where("a_new").select(F.col("a").alias("node")).unionByName(ends.where("b_new").select(F.col("b").alias("node"))).distinct()
+    fresh = fresh.join(lowest, F.col("node") == F.col("of"), "left").select("node", F.coalesce("lowest", "node").alias("component"))
+    return moved.unionByName(fresh)
+
+
+def relabelled(labels: DataFrame, changes: DataFrame) -> DataFrame:
+    """labels with the rows of ``changes`` in place of their own."""
+    return labels.join(changes.select("node"), "node", "left_anti").select("node", "component").unionByName(changes.select("node", "component"))

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from oppsift.checkpoints import written
+from oppsift.checkpoints import measured, written
 from oppsift.functions import text as T
-from oppsift.functions.similarity import token_set_bounds, token_set_ratio_column, token_set_ratio_from
+from oppsift.functions.similarity import common_sizes, ratio_bounds, set_lengths, token_ids, tokens, with_ratio
 
 # The rules of the verdict.
 SAME_JACCARD, WEAK_JACCARD, SHARED_ENTITIES, SAME_FUZZY, LENGTH_RATIO = 0.5, 0.3, 2, 85.0, 0.35
@@ -92,28 +92,63 @@ def verdict() -> Column:
     return decided() | ((F.coalesce("fuzzy", F.lit(0.0)) >= SAME_FUZZY) & (F.col("ratio") >= LENGTH_RATIO))
 
 
+def _dealt(pairs: DataFrame, n: int, each: int) -> DataFrame:
+    """n pairs in parts of ``each`` at most, on all cores at least: they are few bytes but much work, so partitions by size are too few."""
+    return pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n // each)))
+
+
+def _meeting(rows: DataFrame, column: str) -> DataFrame:
+    """(side, key, column): of each row's ids in ``column`` those that another row has too; what one row alone has meets nothing."""
+    flat = rows.select("side", "key", F.explode(column).alias("id"))
+    often = flat.groupBy("id").agg(F.count("*").alias("df")).where("df > 1").select("id")
+    return flat.join(often, "id", "left_semi").groupBy("side", "key").agg(F.collect_list("id").alias(column))
+
+
+def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides, as far as they are in pairs, as what pairs carry of a row, without its text: ids that may meet, and sizes; and the
+    words of these rows, to be fetched by (side, key)."""
+    a, b = (pairs.select(F.col(c).alias("key")) for c in "ab")
+    sides = [(left, a.unionByName(b))] if left is right else [(left, a), (right, b)]
+    sides = [side.join(keys.distinct(), "key", "left_semi") for side, keys in sides]
+    rows = None
+    for k, side in enumerate(sides):
+        x = side.select(F.lit(k).alias("side"), "key", "canonical_url", "content_hash", "entities", "words", F.col("shingles").alias("shingle_ids"), tokens(F.col("normalized_text")).alias("tokens"))
+        rows = x if rows is None else rows.unionByName(x)
+    rows = written(rows.withColumns({"token_ids": token_ids(F.col("tokens")), "n_shingles": F.size("shingle_ids"), "sizes": set_lengths(F.col("tokens"))}), "compared")
+    compact = rows.select("side", "key", "canonical_url", "content_hash", "entities", "words", "n_shingles", "sizes", F.col("token_ids").isNull().alias("wide"))
+    for column in ("shingle_ids", "token_ids"):
+        compact = compact.join(_meeting(rows, column), ["side", "key"], "left").withColumn(column, F.coalesce(column, F.array().cast("array<bigint>")))
+    compact = written(compact, "compact")
+    return compact.where("side = 0").drop("side"), compact.where(f"side = {len(sides) - 1}").drop("side"), rows.select("side", "key", "tokens")
+
+
 def evidence(pairs: DataFrame, left: DataFrame, right: DataFrame, all_fuzzy: bool = False) -> DataFrame:
     """For pairs (a, b) of rows of left and right (as ``prepared``): same_url, same_hash, jaccard, shared, ratio, fuzzy and
     is_duplicate.
 
-    The fuzzy ratio runs in Python, so it is found only for pairs that the rest leaves open, that are alike in length, and
-    whose words and lengths let it reach the rule's, and given only where it does; all_fuzzy finds and gives it for all.
+    Pairs carry hashes and sizes of both rows, not their texts. The fuzzy ratio is found only for pairs that the rest leaves open, that
+    are alike in length, and whose words and lengths let it reach the rule's; these alone fetch words, and it is given only
+    where it reaches the rule's; all_fuzzy finds and gives it for all.
     """
-    names = [c for c in ("canonical_url", "content_hash", "normalized_text", "shingles", "entities", "words")]
-    l = left.select(F.col("key").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names))
-    r = right.select(F.col("key").alias("b"), *(F.col(c).alias(f"b_{c}") for c in names))
-    both = pairs.select("a", "b").join(l, "a").join(r, "b").select(
-        "a", "b", "a_normalized_text", "b_normalized_text", F.coalesce(F.col("a_canonical_url") == F.col("b_canonical_url"), F.lit(False)).alias("same_url"),
-        F.coalesce(F.col("a_content_hash") == F.col("b_content_hash"), F.lit(False)).alias("same_hash"), T.jaccard(F.col("a_shingles"), F.col("b_shingles")).alias("jaccard"),
-        F.array_sort(F.array_intersect("a_entities", "b_entities")).alias("shared"), length_ratio(F.col("a_words"), F.col("b_words")).alias("ratio"),
+    pairs, n = measured(pairs.select("a", "b"), "pairs", n=F.count("*"))
+    l, r, words = _compared(pairs, left, right)
+    l, r = (x.select(*(F.col(c).alias(f"{side}_{c}" if c != "key" else side) for c in x.columns)) for side, x in (("a", l), ("b", r)))
+    both = _dealt(pairs, n["n"], 20_000).join(l, "a").join(r, "b").withColumn("met", F.size(F.array_intersect("a_shingle_ids", "b_shingle_ids")))
+    both = both.select(
+        "a", "b", F.coalesce(F.col("a_canonical_url") == F.col("b_canonical_url"), F.lit(False)).alias("same_url"), F.coalesce(F.col("a_content_hash") == F.col("b_content_hash"), F.lit(False)).alias("same_hash"),
+        F.coalesce(F.try_divide(F.col("met"), F.col("a_n_shingles") + F.col("b_n_shingles") - F.col("met")), F.lit(0.0)).alias("jaccard"), F.array_sort(F.array_intersect("a_entities", "b_entities")).alias("shared"),
+        length_ratio(F.col("a_words"), F.col("b_words")).alias("ratio"), (F.col("a_wide") | F.col("b_wide")).alias("wide"), "a_sizes", "b_sizes", "a_token_ids", "b_token_ids",
     )
     open_ = ~decided() & (F.col("ratio") >= LENGTH_RATIO)
-    most = F.when(open_, token_set_bounds(F.col("a_normalized_text"), F.col("b_normalized_text"))[1])
-    both = both.withColumn("open", F.lit(True) if all_fuzzy else F.coalesce(most >= SAME_FUZZY, F.lit(False)))
-    # a Python function is run for every row, so the others go to it without their texts
-    ratio = (token_set_ratio_column if all_fuzzy else token_set_ratio_from(SAME_FUZZY))(*(F.when(F.col("open"), F.col(f"{x}_normalized_text")) for x in "ab"))
-    both = both.withColumn("fuzzy", ratio).withColumn("fuzzy", F.when(F.col("open"), F.col("fuzzy")))
-    return both.withColumn("is_duplicate", verdict()).drop("open", "a_normalized_text", "b_normalized_text")
+    common = F.when(open_ & ~F.col("wide"), common_sizes(F.col("a_token_ids"), F.col("b_token_ids")))
+    both = both.withColumn("common", common).withColumn("most", F.when(F.col("common").isNotNull(), ratio_bounds(F.col("a_sizes"), F.col("b_sizes"), F.col("common.n"), F.col("common.chars"))[1]))
+    asked = F.lit(True) if all_fuzzy else F.coalesce(open_ & (F.col("wide") | (F.col("most") >= SAME_FUZZY)), F.lit(False))
+    names = ["a", "b", "same_url", "same_hash", "jaccard", "shared", "ratio"]
+    both, n = measured(both.withColumn("open", asked).select(*names, "open"), "judged", n=F.count_if("open"))
+    a, b = (words.where(f"side = {0 if left is right else k}").select(F.col("key").alias(side), F.col("tokens").alias(f"{side}_tokens")) for k, side in enumerate("ab"))
+    asked = _dealt(both.where("open").join(a, "a").join(b, "b"), n["n"], 2_000)
+    asked = with_ratio(asked, "a_tokens", "b_tokens", "fuzzy", 0.0 if all_fuzzy else SAME_FUZZY).select(*names, "fuzzy")
+    return asked.unionByName(both.where("not open").select(*names, F.lit(None).cast("double").alias("fuzzy"))).withColumn("is_duplicate", verdict())
 
 
 def candidate_pairs(items: DataFrame, threshold: float = CANDIDATE_JACCARD) -> DataFrame:

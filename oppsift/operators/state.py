@@ -15,6 +15,8 @@ SCHEMAS = {
     "opportunities": "opportunity_id string, first_seen timestamp, last_seen timestamp, representative_text string, representative_url string, entities array<string>, first_run string",
     "signals": "opportunity_id string, run_id string, key string, source string, source_id string, url string, canonical_url string, author string, published_at string, title string, text string, engagement string, subreddit string, content_hash string",
     "snapshots": "opportunity_id string, run_id string, snapshot_at timestamp, signal_count bigint, new_signal_count bigint, unique_authors bigint, platforms array<string>, total_engagement bigint",
+    "totals": "opportunity_id string, run_id string, signals bigint, authors bigint",
+    "authors": "opportunity_id string, author string",
     "alert_history": "opportunity_id string, last_alerted_at timestamp, last_alerted_score double",
     "decisions": "opportunity_id string, action string, decided_at timestamp, score_at_decision double",
     "verifications": "opportunity_id string, checked boolean, blocked boolean, official_url string, deadline_text string, prize_text string, note string",
@@ -38,20 +40,31 @@ def new_signals(members: DataFrame, signals: DataFrame) -> DataFrame:
     return members.join(signals.select("key"), "key", "left_anti")
 
 
-def snapshot(members: DataFrame, signals: DataFrame, added: DataFrame, run_id: str, at) -> DataFrame:
-    """One row for each opportunity of the run: signals and authors from all that is stored, platforms and engagement from the run.
+def added_authors(added: DataFrame, authors: DataFrame) -> DataFrame:
+    """The distinct (opportunity_id, author) of new signals that are not in ``authors``, which has each pair once."""
+    return added.where("author is not null").select("opportunity_id", "author").distinct().join(authors, ["opportunity_id", "author"], "left_anti")
 
-    members: the run's signals with opportunity_id; signals: stored ones with the run's; added: those new in this run.
+
+def added_totals(added: DataFrame, pairs: DataFrame, run_id: str) -> DataFrame:
+    """What a run adds to the totals: for each opportunity its new signals and its new authors, ``pairs``."""
+    new = added.groupBy("opportunity_id").agg(F.count("*").alias("signals"))
+    seen = pairs.groupBy("opportunity_id").agg(F.count("*").alias("authors"))
+    return new.join(seen, "opportunity_id", "left").select("opportunity_id", F.lit(run_id).alias("run_id"), "signals", F.coalesce("authors", F.lit(0)).cast("bigint").alias("authors"))
+
+
+def snapshot(members: DataFrame, totals: DataFrame, new: DataFrame, run_id: str, at) -> DataFrame:
+    """One row for each opportunity of the run: signals and authors of all runs, platforms and engagement of this one.
+
+    members: the run's signals with opportunity_id; totals: what earlier runs have added; new: what this run adds. So what is
+    counted are the run's own signals, and a row for each earlier run that added to one of its opportunities, not the
+    signals stored.
     """
     now = members.groupBy("opportunity_id").agg(F.array_sort(F.collect_set("source")).alias("platforms"), F.sum(engagement()).alias("total_engagement"))
-    stored = signals.groupBy("opportunity_id").agg(F.count("*").alias("signal_count"), F.count_distinct("author").alias("unique_authors"))
-    new = added.groupBy("opportunity_id").agg(F.count("*").alias("new_signal_count"))
-    rows = now.join(stored, "opportunity_id", "left").join(new, "opportunity_id", "left")
-    zero = F.lit(0)
-    return rows.select(
-        "opportunity_id", F.lit(run_id).alias("run_id"), at.alias("snapshot_at"), F.coalesce("signal_count", zero).cast("bigint").alias("signal_count"), F.coalesce("new_signal_count", zero).cast("bigint").alias("new_signal_count"),
-        F.coalesce("unique_authors", zero).cast("bigint").alias("unique_authors"), "platforms", "total_engagement",
-    )
+    both = totals.join(now.select("opportunity_id"), "opportunity_id", "left_semi").select("opportunity_id", "signals", "authors", F.lit(0).cast("bigint").alias("now"))
+    both = both.unionByName(new.select("opportunity_id", "signals", "authors", F.col("signals").alias("now")))
+    sums = both.groupBy("opportunity_id").agg(F.sum("signals").alias("signal_count"), F.sum("now").alias("new_signal_count"), F.sum("authors").alias("unique_authors"))
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("signal_count", "new_signal_count", "unique_authors")]
+    return now.join(sums, "opportunity_id", "left").select("opportunity_id", F.lit(run_id).alias("run_id"), at.alias("snapshot_at"), *counts, "platforms", "total_engagement")
 
 
 class Store:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from oppsift.checkpoints import measured, written
 from oppsift.functions import lexicon as L
-from oppsift.functions.similarity import token_set_bounds, token_set_ratio_column
+from oppsift.functions.similarity import ratio_of_tokens, tokens
 from oppsift.functions.text import URL, bound
 from oppsift.functions.urls import is_social, is_web
 
@@ -72,14 +72,13 @@ def project_matches(hints: DataFrame, projects: DataFrame, least: float = LEAST_
     description is like a hint's words.
 
     The hints, the few opportunities to act on, are compared with all projects, which come in blocks of about ``block``; pairs
-    that cannot reach ``least`` by their words and lengths don't go to Python. A near spelling needs no common word, so
+    that cannot reach ``least`` by their words and lengths are told without a comparison. A near spelling needs no common word, so
     no block is left out.
     """
-    hint = hints.select("opportunity_id", F.lower(F.substring("representative_text", 1, 80)).alias("hint"))
-    texts, n = measured(projects.select("name", "url", F.col("updatedAt").alias("updated_at"), F.lower(F.coalesce("name", F.lit(""))).alias("low"), F.lower(F.coalesce("description", F.lit(""))).alias("about")), "projects", n=F.count("*"))
+    hint = hints.select("opportunity_id", tokens(F.lower(F.substring("representative_text", 1, 80))).alias("hint"))
+    texts = projects.select("name", "url", F.col("updatedAt").alias("updated_at"), *(tokens(F.lower(F.coalesce(c, F.lit("")))).alias(to) for c, to in (("name", "low"), ("description", "about"))))
+    texts, n = measured(texts, "projects", n=F.count("*"))
     blocks = max(1, -(-n["n"] // block))
     near = hint.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(texts.withColumn("block", F.pmod(F.xxhash64("name", "url"), F.lit(blocks)).cast("int")), "block")
-    most = F.greatest(*(token_set_bounds(F.col("hint"), F.col(c))[1] for c in ("low", "about")))
-    near = written(near.where(most >= least), "near")
-    scored = near.withColumn("match_score", F.greatest(token_set_ratio_column("hint", "low"), token_set_ratio_column("hint", "about"))).where(F.col("match_score") >= least)
+    scored = near.withColumn("match_score", F.greatest(*(ratio_of_tokens(F.col("hint"), F.col(c), least) for c in ("low", "about")))).where(F.col("match_score") >= least)
     return scored.select("opportunity_id", "name", "url", "updated_at", F.round("match_score", 1).alias("match_score"))

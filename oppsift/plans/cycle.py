@@ -79,8 +79,11 @@ def run_cycle(spark: SparkSession, bronze: DataFrame, store: ST.Store, as_of: da
     signals = store.table("signals", run_id, base)
     added = ST.new_signals(members, signals).withColumn("run_id", F.lit(run_id)).withColumn("engagement", F.to_json("engagement"))
     added = written(added.select([f.split()[0] for f in ST.SCHEMAS["signals"].split(", ")]), "added")
-    shots = ST.snapshot(members, signals.unionByName(added), added, run_id, at)
-    store.publish({"opportunities": ("replace", kept.unionByName(founded)), "signals": ("append", added), "snapshots": ("append", shots)}, run_id, base)
+    pairs = written(ST.added_authors(added, store.table("authors", run_id, base)), "authors")
+    new = written(ST.added_totals(added, pairs, run_id), "totals")
+    shots = ST.snapshot(members, store.table("totals", run_id, base), new, run_id, at)
+    changes = {"opportunities": ("replace", kept.unionByName(founded)), "signals": ("append", added), "snapshots": ("append", shots), "totals": ("append", new), "authors": ("append", pairs)}
+    store.publish(changes, run_id, base)
     scores = written(score_members(members, growth(store.table("snapshots")), at), "scores")
     ready = A.top(A.eligible(A.cooled_down(scores, store.alert_history(), at), threshold), limit)
     ready = written(ready, "alerts")

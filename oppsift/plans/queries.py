@@ -22,7 +22,7 @@ from oppsift.operators import resolve as R
 from oppsift.operators import scoring as SC
 from oppsift.operators import state as ST
 from oppsift.operators import verify as V
-from oppsift.operators.components import connected_components
+from oppsift.operators.components import connected_components, merge_components, relabelled
 from oppsift.operators.trend import trend, velocity
 from oppsift.plans import fixtures as X
 from oppsift.plans.fixtures import AS_OF, SNAPSHOTS_SQL, phrased_sql, table
@@ -239,14 +239,19 @@ reach(u, v) AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JO
 roots AS (SELECT doc_id, least(doc_id, coalesce(min(v), doc_id)) AS root FROM documents LEFT JOIN reach ON u = doc_id GROUP BY doc_id)"""
 
 
-def _members(spark, d) -> DataFrame:
-    """Signals with the root of their cluster by texts alone."""
-    signals = X.signals(_docs(spark, d)).withColumn("key", F.lpad("source_id", 12, "0"))
+def _links(signals) -> DataFrame:
+    """(src, dst) of texts that are alike."""
     items = written(D.prepared(signals).select("key", "shingles"), "items")
     classes = D.same_shingles(items)
     heads = items.join(classes.where("key = class_key").select("key"), "key", "left_semi")
     pairs = D.shingle_pairs(heads, 0.5).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    labels = connected_components(pairs.unionByName(classes.where("key != class_key").select(F.col("key").alias("src"), F.col("class_key").alias("dst"))))
+    return pairs.unionByName(classes.where("key != class_key").select(F.col("key").alias("src"), F.col("class_key").alias("dst")))
+
+
+def _members(spark, d) -> DataFrame:
+    """Signals with the root of their cluster by texts alone."""
+    signals = X.signals(_docs(spark, d)).withColumn("key", F.lpad("source_id", 12, "0"))
+    labels = connected_components(_links(signals))
     return signals.join(labels.withColumnsRenamed({"node": "key", "component": "root"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
@@ -255,6 +260,20 @@ def q_components(spark, d):
     return _members(spark, d).select(F.col("key").cast("long").alias("doc_id"), F.col("root").cast("long").alias("root"))
 
 
+@query(f"WITH RECURSIVE {LINKED} SELECT doc_id, root FROM roots")
+def q_components_merged(spark, d):
+    """The same components, found of the links among one half of the documents, by the parity of their numbers, and then updated twice: with
+    the links among the other half, and with those between both."""
+    signals = X.signals(_docs(spark, d)).withColumn("key", F.lpad("source_id", 12, "0"))
+    links = written(_links(signals), "links")
+    odd = lambda c: F.col(c).cast("long") % 2
+    labels = written(connected_components(links.where((odd("src") == 0) & (odd("dst") == 0))), "labels")
+    for later in ((odd("src") == 1) & (odd("dst") == 1), odd("src") != odd("dst")):
+        labels = written(relabelled(labels, written(merge_components(labels, links.where(later)), "changes")), "labels")
+    found = signals.join(labels, F.col("key") == F.col("node"), "left").select(F.col("key").cast("long").alias("doc_id"), F.coalesce("component", "key").cast("long").alias("root"))
+    return found
+
+
 @query(
     f"""WITH RECURSIVE {LINKED} SELECT root, format('cluster-{{:03d}}', (row_number() OVER (ORDER BY root) - 1)::BIGINT) AS cluster_id, count(*) AS signal_count, array_to_string(list_sort(list(DISTINCT source)), ',') AS platforms,
   count(DISTINCT doc_id % 37) AS unique_authors, sum(doc_id % 101)::BIGINT AS total_engagement FROM roots JOIN documents USING (doc_id) GROUP BY root"""
@@ -598,9 +617,13 @@ SELECT opportunity_id, count(*) AS signal_count, count(*) FILTER (run = 1) AS ne
 FROM s GROUP BY opportunity_id HAVING count(*) FILTER (run = 1) > 0"""
 )
 def q_snapshots(spark, d):
+    """Totals of a first run, of even ids, are kept; the snapshots are those of a second, of odd ids."""
     rows = X.signals(_docs(spark, d)).withColumn("opportunity_id", F.concat(F.lit("o"), F.col("pos") % 50))
-    run = rows.where("pos % 2 = 1")
-    out = ST.snapshot(run, rows, run, "r2", _as_of())
+    first, run = rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1")
+    authors = written(ST.added_authors(first, spark.createDataFrame([], ST.SCHEMAS["authors"])), "authors")
+    totals = written(ST.added_totals(first, authors, "r1"), "totals")
+    new = ST.added_totals(run, ST.added_authors(run, authors), "r2")
+    out = ST.snapshot(run, totals, new, "r2", _as_of())
     return out.select("opportunity_id", "signal_count", "new_signal_count", "unique_authors", F.array_join("platforms", ",").alias("platforms"), "total_engagement")
 
 

@@ -1,9 +1,12 @@
 """Column functions, each against values worked out by hand or by plain Python."""
 
 import html
+import random
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from oppsift.functions import lexicon as L
 from oppsift.functions import scalars as S
+from oppsift.functions import similarity
 from oppsift.functions import text as T
 from oppsift.functions import urls as U
 from oppsift.functions.similarity import common_length, token_set_ratio
@@ -96,3 +100,56 @@ def test_lexicon(spark):
     assert values(spark, L.money_mention, ["get $1,000 or 5 ETH", "none"]) == ["$1,000", ""]
     compound = values(spark, lambda v: L.compounded(L.risk_reasons(v), F.lit(0.1)), ["connect your wallet", "claim now"], "string")
     assert compound == [["connect_wallet", L.COMPOUND_REASON], ["claim_now_unverifiable"]]
+
+
+LETTERS = "abcdeé日 "
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_common_lengths_of_many_pairs(seed):
+    """Lanes give what one pair at a time gives, whatever the lengths, alphabets and limits."""
+    rnd = random.Random(seed)
+    texts = [["".join(rnd.choice(LETTERS[: rnd.randint(1, 8)] + "xyz"[k]) for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 130, 300]))) for _ in range(60)] for k in range(2)]
+    want = [common_length(a, b) for a, b in zip(*texts, strict=True)]
+    least = [rnd.choice([0, n - 1, n, n + 0.5, n + 1, n * 1.2]) for n in want]
+    got = similarity.common_lengths(pa.array(texts[0]), pa.array(texts[1]), np.array(least, float))
+    assert got.tolist() == [n if n >= low else -1 for n, low in zip(want, least, strict=True)]
+
+
+@pytest.mark.parametrize("long", [100, 10_000])
+def test_common_lengths_of_long_texts(long, monkeypatch):
+    """One at a time or in lanes of many words, whose carries run through all of them."""
+    monkeypatch.setattr(similarity, "LONG", long)
+    rnd = random.Random(4)
+    a = ["ab" * 4000, "x" * 5000, "".join(rnd.choice("abc") for _ in range(4500)), "short"]
+    b = ["ba" * 4000, "x" * 4800 + "y", a[2][:2000] + "zz" + a[2][2100:], "shot"]
+    want = [common_length(x, y) for x, y in zip(a, b, strict=True)]
+    assert similarity.common_lengths(pa.array(a), pa.array(b), np.zeros(4)).tolist() == want == [7999, 4800, want[2], 4]
+    assert similarity.common_lengths(pa.array(a), pa.array(b), np.array(want) + 0.5).tolist() == [-1] * 4
+
+
+def test_common_lengths_in_small_batches(monkeypatch):
+    monkeypatch.setattr(similarity, "CELLS", 500)
+    rnd = random.Random(1)
+    a, b = (["".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 200))) for _ in range(50)] for _ in range(2))
+    assert similarity.common_lengths(pa.array(a), pa.array(b), np.zeros(50)).tolist() == [common_length(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_token_set_ratio_column_is_the_plain_function(spark):
+    rnd = random.Random(2)
+    words = ["a", "ab", "win", "free", "credits", "nowhere", "now here", "x" * 70, "é日", "tab\there", "　wide\xa0space"]
+    texts = [None, "", "  "] + [" ".join(rnd.sample(words, rnd.randint(1, 7))) for _ in range(60)]
+    pairs = [(a, b) for a in texts[:25] for b in texts]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(3)
+    ratios = [similarity.ratio_of_tokens(similarity.tokens(F.col("a")), similarity.tokens(F.col("b")), low).alias(f"from_{int(low)}") for low in (60.0, 85.0)]
+    for r in df.select("a", "b", similarity.token_set_ratio_column("a", "b").alias("ratio"), *ratios).collect():
+        want = token_set_ratio(r["a"], r["b"])
+        assert r["ratio"] == pytest.approx(want)
+        for low in (60, 85):
+            assert r[f"from_{low}"] == (pytest.approx(want) if want >= low else None)
+    ids = df.select("a", "b", similarity.tokens(F.col("a")).alias("x"), similarity.tokens(F.col("b")).alias("y"))
+    common = similarity.common_sizes(similarity.token_ids(F.col("x")), similarity.token_ids(F.col("y")))
+    bounds = similarity.ratio_bounds(similarity.set_lengths(F.col("x")), similarity.set_lengths(F.col("y")), F.col("common.n"), F.col("common.chars"))
+    for r in ids.withColumn("common", common).select("a", "b", bounds.alias("x")).collect():
+        assert r["x"][0] - 1e-9 <= token_set_ratio(r["a"], r["b"]) <= r["x"][1] + 1e-9
+    assert spark.createDataFrame([("w" * 4096 + " a",)], "t string").select(similarity.token_ids(similarity.tokens(F.col("t"))).isNull().alias("wide")).first()["wide"]

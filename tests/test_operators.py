@@ -19,7 +19,7 @@ from oppsift.operators import resolve as R
 from oppsift.operators import scoring as SC
 from oppsift.operators import state as ST
 from oppsift.operators import verify as V
-from oppsift.operators.components import connected_components
+from oppsift.operators.components import connected_components, merge_components, relabelled
 from oppsift.operators.ranking import ranked
 from oppsift.operators.trend import trend, velocity
 from oppsift.plans import fixtures as X
@@ -63,6 +63,48 @@ def test_components_of_any_graph(spark, pairs):
     assert got == {x: find(x) for x in root if any(a != b and x in (a, b) for a, b in pairs)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_merged_batch_by_batch(spark, seed):
+    """After each batch of edges the labels are those of all edges so far, and what was not touched is not written again."""
+    rng, labels, so_far = random.Random(seed), spark.createDataFrame([], "node long, component long"), []
+    for size in (12, 1, 20, 0, 30):
+        batch = [(rng.randrange(40), rng.randrange(40)) for _ in range(size)] + [(None, 3), (50, 50)]
+        so_far += batch
+        changed = [tuple(r) for r in merge_components(labels, spark.createDataFrame(batch, "src long, dst long")).collect()]
+        before = {r["node"]: r["component"] for r in labels.collect()}
+        assert len({n for n, _ in changed}) == len(changed) and all(before.get(n) != c for n, c in changed)
+        rows = sorted(tuple(r) for r in relabelled(labels, spark.createDataFrame(changed, "node long, component long")).collect())
+        assert rows == sorted(tuple(r) for r in connected_components(spark.createDataFrame(so_far, "src long, dst long")).collect())
+        labels = spark.createDataFrame(rows, "node long, component long")
+
+
+def test_totals_are_those_of_a_recount(spark):
+    """Ten runs, one of them repeated: snapshots by totals and pairs are what counting all signals gives."""
+    rng = random.Random(7)
+    runs = [[(f"o{rng.randrange(4)}", f"k{rng.randrange(60)}", rng.choice(["u1", "u2", "u3", "u4", None])) for _ in range(12)] for _ in range(10)]
+    stored, totals, authors = {}, [], []
+    for n, rows in enumerate([*runs, runs[-1]]):
+        run = f"r{min(n, 9)}"
+        if n == 10:  # the last run again: its own rows are put aside first, as the store does
+            stored = {k: v for k, v in stored.items() if v[2] != run}
+            totals, authors = [t for t in totals if t[1] != run], [a for a in authors if a[2] != run]
+        members = {k: (o, a) for o, k, a in rows}
+        added = [(o, k, a) for k, (o, a) in members.items() if k not in stored]
+        df = spark.createDataFrame(added, "opportunity_id string, key string, author string")
+        pairs = ST.added_authors(df, spark.createDataFrame([a[:2] for a in authors], "opportunity_id string, author string"))
+        new = ST.added_totals(df, pairs, run)
+        engaged = spark.createDataFrame([(o, "s", (1, 1, 1, 1)) for o, _ in members.values()], "opportunity_id string, source string, engagement struct<likes:long,comments:long,views:long,score:long>")
+        shots = ST.snapshot(engaged, spark.createDataFrame(totals, ST.SCHEMAS["totals"]), new, run, F.lit(T0)).collect()
+        totals += [tuple(r) for r in new.select("opportunity_id", "run_id", "signals", "authors").collect()]
+        authors += [(r["opportunity_id"], r["author"], run) for r in pairs.collect()]
+        stored |= {k: (o, a, run) for o, k, a in added}
+        for r in shots:
+            mine = [v for v in stored.values() if v[0] == r["opportunity_id"]]
+            assert (r["signal_count"], r["unique_authors"]) == (len(mine), len({a for _, a, _ in mine if a}))
+            assert r["new_signal_count"] == sum(o == r["opportunity_id"] for o, _, _ in added)
+        assert {r["opportunity_id"] for r in shots} == {o for o, _ in members.values()}
+
+
 def test_normalize(spark):
     rows = {(r["source"], r["source_id"]): r for r in N.normalize(N.raw_dedup(raw_rows(spark)), F.lit(T0)).collect()}
     t = rows["twitter", "t1"]
