@@ -16,7 +16,8 @@ from oppsift.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of ``labels`` finds toxic go."""
+    """Documents that the model of ``labels`` finds toxic go. A null text counts as an empty one, which stays, as rows without an id and
+    repeated rows are judged by their texts alike; an empty table stays empty; a column named score or predicted holds the model's."""
     model = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
 
@@ -37,7 +38,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' tokens, in sequences of 2048."""
+    """The pieces of the documents' tokens, in sequences of 2048. A null or empty text has its end id alone, repeated rows are packed each, a
+    null doc_id stays null, an empty table has no pieces; other columns are not read."""
     pieces = pack_documents(docs, tokenizer(), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
