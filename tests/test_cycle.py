@@ -237,7 +237,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert got and shown(got) == shown(want)
 
 
-@pytest.mark.parametrize("name", ["q_actionable", "q_cards", "q_cooldown", "q_decide", "q_opportunity_score"])
+@pytest.mark.parametrize("name", ["q_actionable", "q_cards", "q_cooldown", "q_decide", "q_opportunity_score", "q_top_alerts"])
 def test_query_equals_its_sql_after_as_of(spark, sf, tmp_path, name):
     """Documents of high numbers are dated after AS_OF."""
     import duckdb
