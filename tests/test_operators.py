@@ -1,5 +1,6 @@
 """Operators on hand-made rows; what matters of each behaviour is asserted on the result."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -8,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from oppsift.checkpoints import shared_folder
 from oppsift.functions import text as T
 from oppsift.functions.scalars import rounded
 from oppsift.functions.similarity import token_set_bounds, token_set_ratio
@@ -344,3 +346,15 @@ def test_token_set_ratio_of_whole_texts(spark, sf):
 def test_stored_opportunities_have_entities(spark, sf, monkeypatch):
     monkeypatch.setattr(R, "resolve", lambda fresh, stored, run_id: stored)
     assert q_resolve_runs(spark, sf).where(F.size("entities") > 0).count() > 0
+
+
+def test_shingle_pairs_leave_only_their_result(spark):
+    """Of the sets, ranges and shares on the way nothing is left on disk when the pairs are there; copies stand for one another."""
+    folder = shared_folder(spark).removeprefix("file://")
+    there = set(os.listdir(folder))
+    rows = [(k, [100 * (k // 3) + j for j in range(20 + k % 3 // 2)]) for k in range(60)] + [(99, [7]), (100, [])]
+    items = D.written(D.with_set(spark.createDataFrame(rows, "key long, shingles array<bigint>")), "items")
+    pairs, classes = D.class_pairs(items, 0.5)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(k, k + 2) for k in range(0, 60, 3)]
+    assert {r["key"]: r["class_key"] for r in classes.collect()} == {k: k - (k % 3 == 1) for k in range(60)} | {99: 99, 100: 100}
+    assert {n[:-33] for n in set(os.listdir(folder)) - there} == {"set-hashes", "shingle-pairs", "class-pairs", "classes"}
