@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from oppsift.checkpoints import written
+from oppsift.checkpoints import measured, removed, written
 from oppsift.functions import text as T
 from oppsift.functions.similarity import common_sizes, ratio_bounds, set_lengths, token_ids, tokens
-from oppsift.operators.duplicates import LENGTH_RATIO, SAME_FUZZY, evidence, length_ratio, shingle_pairs
+from oppsift.operators.duplicates import LENGTH_RATIO, SAME_FUZZY, by_turns, evidence, length_ratio, shingle_pairs, times
 
 #: A text's characters are counted with a space for each word. If the words that it shares give a ratio f by themselves, those it
 #: lacks are own <= (1 - f) * (2 * shared + own), which is at most this part of it.
@@ -57,7 +57,10 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     other side, both ways round, and pairs that share enough of them are kept if their bounds leave the rule open.
     """
     with_tokens = [s.select("key", "normalized_text", "words", tokens(F.col("normalized_text")).alias("tokens")) for s in (left, right)]
-    sides = {n: written(s.withColumns({"ids": token_ids(F.col("tokens")), "size": set_lengths(F.col("tokens"))}).drop("tokens"), "words") for n, s in zip("ab", with_tokens, strict=True)}
+    sides, rows = {}, 0
+    for n, s in zip("ab", with_tokens, strict=True):
+        sides[n], seen = measured(s.withColumns({"ids": token_ids(F.col("tokens")), "size": set_lengths(F.col("tokens"))}).drop("tokens"), "words", n=F.count("*"))
+        rows += seen["n"]
     every = {n: s.select("key", F.explode(F.array_distinct(T.words(F.col("normalized_text")))).alias("word")) for n, s in sides.items()}
     often = written(every["a"].unionByName(every["b"]).groupBy("word").agg(F.count("*").alias("df")), "often")
     found = []
@@ -65,12 +68,17 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         rare = _rare_words(sides[n], often).withColumnRenamed("key", n)
         shared = rare.join(every[m].withColumnRenamed("key", m), "word").groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.max("least").alias("least"))
         found.append(shared.where(F.col("shared") >= F.col("least") - 1e-6).select("a", "b"))
-    pairs = found[0].unionByName(found[1]).distinct()
-    both = pairs.join(sides["a"].select(F.col("key").alias("a"), F.col("ids").alias("x"), F.col("size").alias("x_size"), F.col("words").alias("n")), "a")
-    both = both.join(sides["b"].select(F.col("key").alias("b"), F.col("ids").alias("y"), F.col("size").alias("y_size"), F.col("words").alias("m")), "b")
-    both = both.where(length_ratio(F.col("n"), F.col("m")) >= LENGTH_RATIO).withColumn("common", common_sizes(F.col("x"), F.col("y")))
-    # words too long for their ids leave it open
-    return both.where(F.coalesce(ratio_bounds(F.col("x_size"), F.col("y_size"), F.col("common.n"), F.col("common.chars"))[1] >= SAME_FUZZY, F.lit(True))).select("a", "b")
+    pairs, n = measured(found[0].unionByName(found[1]).distinct(), "word-pairs", n=F.count("*"))
+
+    def reaching(both: DataFrame) -> DataFrame:
+        both = both.where(length_ratio(F.col("n"), F.col("m")) >= LENGTH_RATIO).withColumn("common", common_sizes(F.col("x"), F.col("y")))
+        # words too long for their ids leave it open
+        return both.where(F.coalesce(ratio_bounds(F.col("x_size"), F.col("y_size"), F.col("common.n"), F.col("common.chars"))[1] >= SAME_FUZZY, F.lit(True))).select("a", "b")
+
+    mine, other = (sides[k].select(F.col("key").alias(k), F.col("ids").alias(x), F.col("size").alias(f"{x}_size"), F.col("words").alias(w)) for k, x, w in (("a", "x", "n"), ("b", "y", "m")))
+    out, _ = by_turns(pairs, mine, other, times(n["n"], rows), reaching, "reaching", F.count("*"))
+    removed(pairs, often, *sides.values())
+    return out
 
 
 def cross_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

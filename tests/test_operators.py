@@ -358,3 +358,44 @@ def test_shingle_pairs_leave_only_their_result(spark):
     assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(k, k + 2) for k in range(0, 60, 3)]
     assert {r["key"]: r["class_key"] for r in classes.collect()} == {k: k - (k % 3 == 1) for k in range(60)} | {99: 99, 100: 100}
     assert {n[:-33] for n in set(os.listdir(folder)) - there} == {"set-hashes", "shingle-pairs", "class-pairs", "classes"}
+
+
+def test_pairs_are_compared_by_turns(spark, monkeypatch):
+    """The evidence of pairs is the same however many turns it is found in, and no turn fetches what more than some pairs ask for."""
+    texts = [" ".join(f"w{(7 * k + j * (1 + k % 3)) % 40}" for j in range(8 + k % 5)) + (" Orbit Labs" if k % 4 == 0 else "") for k in range(60)] + ["w1 w2 w3 w4"] * 2
+    rows = posts(spark, [("twitter", f"{k:03}", t, "a", k, "") for k, t in enumerate(texts)])
+    items = D.written(D.prepared(D.with_key(rows)).drop("shingles"), "items")
+    once, seen, real = sorted(map(str, D.find_duplicates(items).collect())), [], D.measured
+
+    def counted(df, name, **measures):
+        out, n = real(df, name, **measures)
+        seen.append((name, out.count()))
+        return out, n
+
+    monkeypatch.setattr(D, "FEWEST", 20)
+    monkeypatch.setattr(D, "measured", counted)
+    found = D.find_duplicates(items)
+    assert sorted(map(str, found.collect())) == once and len(once) > 60
+    turns = [n for name, n in seen if name == "judged"]
+    assert len(turns) > 1 and sum(turns) == len(once) and max(turns) < len(once)
+    jaccard = {(r["a"], r["b"]): r["jaccard"] for r in found.collect()}
+    sets = {f"twitter:{k:03}": {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in enumerate(texts) for w in [t.lower().split()]}
+    assert jaccard == {(a, b): pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in jaccard}
+
+
+def test_ranges_of_shingles_go_as_they_are_read(spark, monkeypatch):
+    """Sets are written once, cut by ranges of their hashes, and each range is removed before the next is shuffled."""
+    folder, left, real = shared_folder(spark).removeprefix("file://"), [], D.written
+    before = set(os.listdir(folder))
+
+    def watched(df, name, by=None):
+        out = real(df, name, by)
+        if name == "common":
+            cut = [n for n in set(os.listdir(folder)) - before if n.startswith("sets-")]
+            left.append(sum(p.startswith("part=") for n in cut for p in os.listdir(f"{folder}/{n}")))
+        return out
+
+    monkeypatch.setattr(D, "written", watched)
+    items = spark.createDataFrame([(k, [1000 * (k // 2) + j for j in range(100)]) for k in range(40)], "key long, shingles array<bigint>")
+    assert D.shingle_pairs(items, 0.5).count() == 20
+    assert left == list(range(D.SLICES + 1, 1, -1))
