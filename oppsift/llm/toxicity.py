@@ -46,6 +46,9 @@ ROWS_PER_CLASS, FOLDS = 2_000, 3
 #: Words that each process remembers, and characters that it works on at once.
 REMEMBERED, STEP = 200_000, 150_000
 
+#: Contexts whose probabilities the driver finds at once.
+CONTEXTS = 2_048
+
 _TOP = 0x110000
 
 
@@ -251,18 +254,27 @@ def lower_orders(counts: list[np.ndarray]) -> list[np.ndarray]:
     """The probabilities (toxic, ordinary, both) of order ORDER - 1, by cell, of its continuation counts."""
     kinds = [counts]
     for k in range(ORDER - 2, 0, -1):
-        kinds.append([(c.reshape(-1, SYMBOLS**k) > 0).sum(0).astype(np.float64) for c in kinds[-1]])
+        kinds.append([(c.reshape(-1, SYMBOLS**k) > 0).sum(0) for c in kinds[-1]])
     p = [np.full(1, 1 / SYMBOLS)] * 3
     for order, counted in enumerate(reversed(kinds), 1):
         contexts = SYMBOLS ** (order - 1)
-        back = [x.reshape(-1, SYMBOLS)[np.arange(contexts) % (contexts // SYMBOLS)] if order > 1 else x for x in p]
         d = [discount((c == 1).sum(), (c == 2).sum()) for c in counted]
-        p = [x.ravel() for x in interpolated([c.reshape(-1, SYMBOLS) for c in counted], back, d)]
+        rows, made = [c.reshape(-1, SYMBOLS) for c in counted], [np.empty((contexts, SYMBOLS)) for _ in counted]
+        for lo in range(0, contexts, CONTEXTS):
+            part = slice(lo, min(lo + CONTEXTS, contexts))
+            back = [x.reshape(-1, SYMBOLS)[np.arange(part.start, part.stop) % (contexts // SYMBOLS)] if order > 1 else x for x in p]
+            for out, x in zip(made, interpolated([c[part].astype(np.float64) for c in rows], back, d), strict=True):
+                out[part] = x
+        p = [x.ravel() for x in made]
     return p
 
 
 def _evidence_of(p: list[np.ndarray]) -> np.ndarray:
-    return (np.log(p[0]) - np.log(p[1])).astype(np.float16)
+    out = np.empty(p[0].shape, np.float16)
+    for lo in range(0, len(out), CONTEXTS * SYMBOLS):
+        part = slice(lo, lo + CONTEXTS * SYMBOLS)
+        out[part] = np.log(p[0][part]) - np.log(p[1][part])
+    return out
 
 
 def _slice(rows: pa.Table, lower: list[np.ndarray], discounts: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,23 +294,33 @@ def fitted_counts(grams: DataFrame) -> KneserNey:
     of = {"toxic": F.col("toxic"), "ordinary": F.col("ordinary"), "both": F.col("toxic") + F.col("ordinary")}
     n = grams.agg(*(F.count_if(v == k).alias(f"{c}_{k}") for c, v in of.items() for k in (1, 2))).first()
     discounts = [discount(n[f"{c}_1"], n[f"{c}_2"]) for c in of]
-    kinds = grams.groupBy((F.col("cell") % size).alias("cell")).agg(*(F.count_if(v > 0).alias(c) for c, v in of.items())).toArrow()  # at most SYMBOLS ** 4 rows
-    counts = [np.zeros(size) for _ in of]
+    # at most SYMBOLS ** 4 rows, whose counts are SYMBOLS at most
+    kinds = grams.groupBy((F.col("cell") % size).alias("cell")).agg(*(F.count_if(v > 0).cast("byte").alias(c) for c, v in of.items())).toArrow()
+    counts = [np.zeros(size, np.uint8) for _ in of]
     for c, name in zip(counts, of, strict=True):
         c[kinds["cell"].to_numpy()] = kinds[name].to_numpy()
+    del kinds
     lower = lower_orders(counts)
     share = spark.sparkContext.broadcast(lower)
+    lower = _evidence_of(lower)  # the driver needs no more of them
 
     def made(rows: pa.Table) -> pa.Table:
         some, evidence = _slice(rows, share.value, discounts)
         return pa.table({"contexts": pa.array([some.astype("<i4").tobytes()], pa.binary()), "evidence": pa.array([evidence.tobytes()], pa.binary())})
 
-    parts = grams.groupBy(F.expr(f"cell div {size}")).applyInArrow(made, "contexts binary, evidence binary").collect()  # SYMBOLS parts of 2 MB at most
-    place = np.full(size, -1, np.int32)
-    contexts = np.concatenate([np.frombuffer(r["contexts"], "<i4") for r in parts])
-    place[contexts] = np.arange(len(contexts))
+    # SYMBOLS parts of 2 MB at most, which the driver holds twice only one by one
+    parts = grams.groupBy(F.expr(f"cell div {size}")).applyInArrow(made, "contexts binary, evidence binary").toArrow().to_batches()
     share.destroy()
-    return KneserNey(place, np.concatenate([np.frombuffer(r["evidence"], np.float16) for r in parts]).reshape(-1, SYMBOLS), _evidence_of(lower))
+    place, rows = np.full(size, -1, np.int32), 0
+    known = np.empty((sum(len(x.as_py()) for b in parts for x in b["contexts"]) // 4, SYMBOLS), np.float16)
+    while parts:
+        batch = parts.pop()
+        for contexts, evidence in zip(batch["contexts"], batch["evidence"], strict=True):
+            contexts = np.frombuffer(contexts.as_buffer(), "<i4")
+            place[contexts] = np.arange(rows, rows + len(contexts))
+            known[rows : rows + len(contexts)] = np.frombuffer(evidence.as_buffer(), np.float16).reshape(-1, SYMBOLS)
+            rows += len(contexts)
+    return KneserNey(place, known, lower)
 
 
 def unfitted() -> KneserNey:
@@ -367,6 +389,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_
     for fold in range(FOLDS):
         others = fitted_counts(written(grams.where(F.col("fold") != fold).groupBy("cell").agg(*sums), "others"))
         broadcast = spark.sparkContext.broadcast(others)
+        del others  # else the driver holds it while the next is made
         fields = f"doc_id {dict(docs.dtypes)['doc_id']}, {', '.join(f'{c} double' for c in FEATURES)}"
         found = rows.where(F.col("fold") == fold).select("doc_id", "text").transform(arrow, lambda b, share=broadcast: _evidence(b, share), fields)
         fit.append(found.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").toArrow())

@@ -794,3 +794,17 @@ def test_stages_on_odd_rows(spark, odd, sf):
             out = stage(spark, df, sf)
             assert name == "packing" or out.columns == rows.columns
             assert out.count() <= 10 * len(ODD)
+
+
+def test_toxicity_model_takes_little_of_the_driver():
+    """The probabilities of the longest context that the driver makes are worth 24 MB; what is worked with beside them is a small part of that."""
+    import tracemalloc
+
+    counts = [np.random.default_rng(k).integers(0, 3, toxicity.SYMBOLS ** (toxicity.ORDER - 1)).astype(np.uint8) for k in range(3)]
+    tracemalloc.start()
+    p = toxicity.lower_orders(counts)
+    evidence = toxicity._evidence_of(p)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.allclose(x.reshape(-1, toxicity.SYMBOLS).sum(1), 1) for x in p) and np.isfinite(evidence).all()
+    assert most < 40e6
