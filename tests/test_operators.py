@@ -399,3 +399,53 @@ def test_ranges_of_shingles_go_as_they_are_read(spark, monkeypatch):
     items = spark.createDataFrame([(k, [1000 * (k // 2) + j for j in range(100)]) for k in range(40)], "key long, shingles array<bigint>")
     assert D.shingle_pairs(items, 0.5).count() == 20
     assert left == list(range(D.SLICES + 1, 1, -1))
+
+
+def near_copies(spark):
+    """Sets of three groups of near copies, each lacking a stretch of its group's numbers, and a few that share less."""
+    rows = [(100 * g + k, [1000 * g + j for j in range(120) if not 3 * k <= j < 3 * k + 6]) for g in range(3) for k in range(36)]
+    rows += [(500 + k, [1000 * (k % 3) + j for j in range(10 * k)] + [9000 + 100 * k + j for j in range(40)]) for k in range(12)] + [(600, []), (601, [9000])]
+    return spark.createDataFrame(rows, "key long, shingles array<bigint>"), {k: set(x) for k, x in rows if x}
+
+
+def test_pairs_meet_seldom(spark, monkeypatch):
+    """Near copies share most shingles of their prefixes; they are shuffled for few of them, for some ranges of keys at a time, and none is lost."""
+    items, sets = near_copies(spark)
+    met, parts, real = [], [], D.measured
+
+    def counted(df, name, **measures):
+        out, n = real(df, name, **measures)
+        if name == "candidates":
+            parts.append(n)
+        return out, n
+
+    class Seen(D.Observation):
+        @property
+        def get(self):
+            met.append(super().get["met"] or 0)
+            return super().get
+
+    monkeypatch.setattr(D, "SLICES", 2)
+    monkeypatch.setattr(D, "measured", counted)
+    monkeypatch.setattr(D, "Observation", Seen)
+    for at_once in (D.AT_ONCE, 3_000):
+        monkeypatch.setattr(D, "AT_ONCE", at_once)
+        met.clear(), parts.clear()
+        for t in (0.2, 0.5):
+            want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+            want = {k: v for k, v in want.items() if v >= t}
+            assert {(r["a"], r["b"]): pytest.approx(r["jaccard"]) for r in D.shingle_pairs(items, t).collect()} == want and len(want) > 1800
+        assert sum(met) < 8 * 2 * len(want) and len(parts) == (2 if at_once > 3_000 else 4)
+
+
+def test_few_links_hang_near_copies_together(spark, monkeypatch):
+    """What hangs together is found of far fewer links than there are pairs."""
+    monkeypatch.setattr(D, "SLICES", 2)
+    items, sets = near_copies(spark)
+    ordered = D.with_set(items)
+    pairs, classes = D.class_pairs(ordered, 0.5)
+    links, same = D.class_pairs(ordered, 0.5, find=D.linking_sets)
+    labels = [sorted(map(tuple, D.connected_components(x, "a", "b").collect())) for x in (pairs, links)]
+    assert labels[0] == labels[1] and len(labels[0]) > 100
+    assert sorted(map(str, classes.collect())) == sorted(map(str, same.collect()))
+    assert {(r["a"], r["b"]) for r in links.collect()} <= {(r["a"], r["b"]) for r in pairs.collect()} and 3 * links.count() < pairs.count()
