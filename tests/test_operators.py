@@ -25,7 +25,7 @@ from oppsift.operators.components import connected_components, merge_components,
 from oppsift.operators.ranking import ranked
 from oppsift.operators.trend import trend, velocity
 from oppsift.plans import fixtures as X
-from oppsift.plans.queries import q_resolve_runs, q_token_set_ratio, raw_rows
+from oppsift.plans.queries import _items, q_minhash_signature, q_resolve_runs, q_token_set_ratio, raw_rows
 
 T0 = datetime(2024, 1, 1)
 
@@ -449,3 +449,37 @@ def test_few_links_hang_near_copies_together(spark, monkeypatch):
     assert labels[0] == labels[1] and len(labels[0]) > 100
     assert sorted(map(str, classes.collect())) == sorted(map(str, same.collect()))
     assert {(r["a"], r["b"]) for r in links.collect()} <= {(r["a"], r["b"]) for r in pairs.collect()} and 3 * links.count() < pairs.count()
+
+
+def test_prefixes_meet_by_ranges_of_hashes(spark, monkeypatch):
+    """Disk holds the prefixes of one range of shingles at a time, and no pair or link is lost between ranges."""
+    items, sets = near_copies(spark)
+    folder, there, real = shared_folder(spark).removeprefix("file://"), [], D.written
+    before = set(os.listdir(folder))
+
+    def watched(df, name, by=None):
+        out = real(df, name, by)
+        if name == "prefix":
+            there.append(sum(n.startswith("prefix-") for n in set(os.listdir(folder)) - before))
+        return out
+
+    monkeypatch.setattr(D, "written", watched)
+    monkeypatch.setattr(D, "SLICES", 4)
+    monkeypatch.setattr(D, "AT_ONCE", 3_000)
+    pairs, links = D.shingle_pairs(items, 0.5), D.class_pairs(D.with_set(items), 0.5, find=D.linking_sets)[0]
+    want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and {(r["a"], r["b"]) for r in links.collect()} <= want
+    one, other = (sorted(map(tuple, D.connected_components(x, "a", "b").collect())) for x in (pairs, links))
+    assert one == other and len(there) >= 6 and set(there) == {1}
+
+
+def test_signatures_are_fetched_by_turns(spark, sf, monkeypatch):
+    """Pairs fetch their signatures some at a time; each has the estimate that the two signatures give."""
+    turns, asked, real = [], [], D.by_turns
+    monkeypatch.setattr(D, "times", lambda n, rows: asked.append((n, rows)) or 3)
+    monkeypatch.setattr(D, "by_turns", lambda *a: turns.append(a[3]) or real(*a))
+    rows = q_minhash_signature(spark, sf).collect()
+    keys = {k for r in rows for k in (r["a"], r["b"])}
+    signed = {r["key"]: r["sig"] for r in _items(spark, sf).where(F.col("key").isin(*keys)).select("key", T.minhash(F.col("shingles")).alias("sig")).collect()}
+    assert turns == [3] and asked == [(len(rows), len(keys))] and len(rows) > 10 and len({(r["a"], r["b"]) for r in rows}) == len(rows)
+    assert [r["estimate"] for r in rows] == [pytest.approx(sum(x == y for x, y in zip(signed[r["a"]], signed[r["b"]], strict=True)) / 128) for r in rows]
