@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ MAY_LACK = 2 * (1 - SAME_FUZZY / 100) / (2 - SAME_FUZZY / 100)
 #: So much of each text, in its rarest words, is looked for in the others.
 LOOKED_FOR = 0.45
 
+#: So many meetings of words, at most, are put together at a time, and in so many turns at most.
+MEETINGS, MOST_TURNS = 20_000_000, 64
+
 NAMES = ["key", "canonical_url", "content_hash", "normalized_text", "shingles", "entities", "words"]
 
 
@@ -41,12 +46,13 @@ def stored(opportunities: DataFrame) -> DataFrame:
 
 
 def _rare_words(side: DataFrame, often: DataFrame) -> DataFrame:
-    """(key, word, weight, least): the rarest words of each row, LOOKED_FOR of it, and how much of them a like text shares."""
+    """(key, word, weight, df, least): the rarest words of each row, LOOKED_FOR of it, how many rows have each, and how much of them a like
+    text shares."""
     flat = side.select("key", F.explode(F.array_distinct(T.words(F.col("normalized_text")))).alias("word")).withColumn("weight", F.length("word") + 1)
     mine = W.partitionBy("key")
     flat = flat.join(often, "word").withColumn("before", F.coalesce(F.sum("weight").over(mine.orderBy("df", "word").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     rare = flat.withColumn("all", F.sum("weight").over(mine)).where(F.col("before") <= LOOKED_FOR * F.col("all"))
-    return rare.select("key", "word", "weight", (F.sum("weight").over(mine) - MAY_LACK * F.col("all")).alias("least"))
+    return rare.select("key", "word", "weight", "df", (F.sum("weight").over(mine) - MAY_LACK * F.col("all")).alias("least"))
 
 
 def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -65,10 +71,17 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     often = written(every["a"].unionByName(every["b"]).groupBy("word").agg(F.count("*").alias("df")), "often")
     found = []
     for n, m in (("a", "b"), ("b", "a")):
-        rare = _rare_words(sides[n], often).withColumnRenamed("key", n)
-        shared = rare.join(every[m].withColumnRenamed("key", m), "word").groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.max("least").alias("least"))
-        found.append(shared.where(F.col("shared") >= F.col("least") - 1e-6).select("a", "b"))
-    pairs, n = measured(found[0].unionByName(found[1]).distinct(), "word-pairs", n=F.count("*"))
+        # a word of one side meets all rows of the other that have it: for some ranges of keys at a time
+        rare, met = measured(_rare_words(sides[n], often), "rare", n=F.sum("df"))
+        turns = max(1, min(MOST_TURNS, -(-(met["n"] or 0) // MEETINGS)))
+        other = every[m].withColumnRenamed("key", m)
+        for k in range(turns):
+            some = rare.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == k) if turns > 1 else rare
+            shared = some.withColumnRenamed("key", n).join(other, "word").groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.max("least").alias("least"))
+            found.append(written(shared.where(F.col("shared") >= F.col("least") - 1e-6).select("a", "b"), "met"))
+        removed(rare)
+    pairs, n = measured(reduce(DataFrame.unionByName, found).distinct(), "word-pairs", n=F.count("*"))
+    removed(*found)
 
     def reaching(both: DataFrame) -> DataFrame:
         both = both.where(length_ratio(F.col("n"), F.col("m")) >= LENGTH_RATIO).withColumn("common", common_sizes(F.col("x"), F.col("y")))
