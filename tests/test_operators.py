@@ -483,3 +483,29 @@ def test_signatures_are_fetched_by_turns(spark, sf, monkeypatch):
     signed = {r["key"]: r["sig"] for r in _items(spark, sf).where(F.col("key").isin(*keys)).select("key", T.minhash(F.col("shingles")).alias("sig")).collect()}
     assert turns == [3] and asked == [(len(rows), len(keys))] and len(rows) > 10 and len({(r["a"], r["b"]) for r in rows}) == len(rows)
     assert [r["estimate"] for r in rows] == [pytest.approx(sum(x == y for x, y in zip(signed[r["a"]], signed[r["b"]], strict=True)) / 128) for r in rows]
+
+
+def test_cells_of_a_cluster_are_compared_some_at_a_time(spark, monkeypatch):
+    """Blocks of texts meet in several turns, which find the mean of all pairs; rows of one text each weigh as they are many."""
+    rng, seen, real = random.Random(6), [], C.written
+    texts = [("c", " ".join(rng.sample("abcdefgh", rng.randint(1, 6)))) for _ in range(30)] + [("c", "a b")] * 3 + [("d", "x"), ("e", "y z")] + [("f", "")] * 2
+    members = spark.createDataFrame(texts, "cluster_id string, normalized_text string")
+    monkeypatch.setattr(C, "WORDS", 1)
+    monkeypatch.setattr(C, "written", lambda df, name: seen.append(name) or real(df, name))
+    got = {r["cluster_id"]: r["avg_fuzzy"] for r in C.average_fuzzy(members, block=8).collect()}
+    own = [t for k, t in texts if k == "c"]
+    ratios = [token_set_ratio(x, y) for k, x in enumerate(own) for y in own[:k]]
+    assert got == {"c": pytest.approx(sum(ratios) / len(ratios)), "f": 0.0} and seen.count("cells") > 1
+
+
+def test_words_meet_some_keys_at_a_time(spark, monkeypatch):
+    """The pairs that share enough words are the same in many turns as in one."""
+    rng, seen, real = random.Random(7), [], R.written
+    base = [" ".join(rng.sample([f"w{k}" for k in range(60)], 12)) for _ in range(12)]
+    rows = [(f"{k:02}", t if k < 12 else t + " more", len(t.split())) for k, t in enumerate(base * 2)]
+    side = spark.createDataFrame(rows, "key string, normalized_text string, words int")
+    once = {(r["a"], r["b"]) for r in R.word_pairs(side, side).collect()}
+    monkeypatch.setattr(R, "MEETINGS", 100)
+    monkeypatch.setattr(R, "written", lambda df, name: seen.append(name) or real(df, name))
+    assert {(r["a"], r["b"]) for r in R.word_pairs(side, side).collect()} == once >= {(f"{k:02}", f"{k + 12:02}") for k in range(12)}
+    assert seen.count("met") > 2
