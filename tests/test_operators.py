@@ -383,6 +383,20 @@ def test_pairs_are_compared_by_turns(spark, monkeypatch):
     assert jaccard == {(a, b): pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in jaccard}
 
 
+@pytest.mark.parametrize("block", [1_000, 2])
+def test_copies_have_all_their_pairs(spark, monkeypatch, block):
+    """Each copy of a text meets the other copies and all that is like it, not the first of them alone; rows without shingles meet nothing."""
+    monkeypatch.setattr(D, "BLOCK", block, raising=False)
+    texts = ["one two three four five six"] * 5 + ["one two three four five seven"] * 3 + ["one two three four nine ten"] + ["far from all the other rows"] * 2 + [""] * 2
+    rows = posts(spark, [("twitter", f"{k:02}", t, "a", k, f"https://x.example/{k}") for k, t in enumerate(texts)])
+    found = D.find_duplicates(D.prepared(D.with_key(rows))).collect()
+    sets = {f"twitter:{k:02}": {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in enumerate(texts) for w in [t.split()] if w}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {p: j for p, j in want.items() if j >= D.CANDIDATE_JACCARD}
+    assert len(found) == len(want) == 37 and {(r["a"], r["b"]): r["jaccard"] for r in found} == pytest.approx(want)
+    assert all(r["is_duplicate"] for r in found if r["jaccard"] >= D.SAME_JACCARD)
+
+
 def test_ranges_of_shingles_go_as_they_are_read(spark, monkeypatch):
     """Sets are written once, cut by ranges of their hashes, and each range is removed before the next is shuffled."""
     folder, left, real = shared_folder(spark).removeprefix("file://"), [], D.written
