@@ -422,6 +422,34 @@ def near_copies(spark):
     return spark.createDataFrame(rows, "key long, shingles array<bigint>"), {k: set(x) for k, x in rows if x}
 
 
+def test_large_groups_are_compared_by_cells(spark, monkeypatch):
+    """The pairs of a group of near copies, which grow with its square, fetch its sets for each cell of it, not for each pair, and none is lost."""
+    items, sets = near_copies(spark)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {p: j for p, j in want.items() if j >= 0.2}
+    fetched = []
+    for cell, dense, turns in ((128, 32, 1_000_000), (8, 5, 1_000_000), (8, 5, 10), (128, 1_000, 1_000_000)):
+        monkeypatch.setattr(D, "CELL", cell, raising=False)
+        monkeypatch.setattr(D, "DENSE", dense, raising=False)
+        monkeypatch.setattr(D, "CHUNK", 50, raising=False)
+        monkeypatch.setattr(D, "AT_ONCE", turns)
+        seen, measured = {}, D.measured
+
+        def counted(df, name, **measures):
+            out, n = measured(df, name, **measures)
+            seen[name] = n
+            if name == "cell-ends":
+                fetched.append((cell, out.count()))
+            return out, n
+
+        with monkeypatch.context() as inside:
+            inside.setattr(D, "measured", counted)
+            found = {(r["a"], r["b"]): r["jaccard"] for r in D.shingle_pairs(items, 0.2).collect()}
+        assert found == pytest.approx(want) and len(want) > 1_500
+        assert ("cell-ends" in seen) == (dense < 1_000)
+    assert fetched and max(n for cell, n in fetched if cell == 128) < len(want) / 5
+
+
 def test_pairs_meet_seldom(spark, monkeypatch):
     """Near copies share most shingles of their prefixes; they are shuffled for few of them, for some ranges of keys at a time, and none is lost."""
     items, sets = near_copies(spark)
